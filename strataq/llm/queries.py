@@ -6,8 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_rules
-from .common import table
+from . import language, mixing, ngram_rules, quality, topk, warc
+from .common import Scratch, table
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.learn_and_identify(table(spark, sf_dir, "documents"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, quality.ratings(table(spark, sf_dir, "labels")), grades=3)
+    graded = quality.classify(docs, model, wanted=2)
+    return graded.select("doc_id", "expected_grade", "tail_probability", (graded.tail_probability >= 0.5).alias("kept"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"), Scratch(spark))
+
+
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_topk(table(spark, sf_dir, "embeddings"), Scratch(spark))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,9 +35,14 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_rules.quality_rules(docs, ratios).drop("score")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_quality_rules,)}
+    found = (op3_language_id, op4_quality_classifier, op5_warc, op6_exact_topk, op7_quality_rules, op9_mixing)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_mixing": mixing.ORACLE}
