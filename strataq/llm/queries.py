@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mixing, ngram_rules, quality, topk, warc
+from . import language, mixing, near_dups, ngram_rules, packing, quality, topk, warc
 from .common import Scratch, table
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.with_digest(packing.pack(table(spark, sf_dir, "documents")))
+
+
+def op2_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark), size=2, percent=80)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.learn_and_identify(table(spark, sf_dir, "documents"))
 
@@ -40,7 +48,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op3_language_id, op4_quality_classifier, op5_warc, op6_exact_topk, op7_quality_rules, op9_mixing)
+    found = (op1_packing, op2_near_dups, op3_language_id, op4_quality_classifier, op5_warc, op6_exact_topk, op7_quality_rules, op9_mixing)
     return {f.__name__: f for f in found}
 
 
