@@ -16,7 +16,8 @@ import numpy as np
 VOCABULARY = "byte_bpe_50k.json"
 ID_BYTES = 4
 JOINED = 256
-WHITE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
+#: Marks that are no letters, digits, white space or apostrophes.
+PLAIN = ".,;:!?&%$#*|"
 
 
 def default_path(name: str = VOCABULARY) -> str:
@@ -28,13 +29,13 @@ def default_path(name: str = VOCABULARY) -> str:
 class Encoder:
     """texts -> bytes of ids, no special tokens added. One per worker: use `encoder(path)`."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 1_400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.most, self.first, self.later = most, {}, {}
+        self.most, self.first, self.later, self.marks = most, {}, {}, {}
         (self.feed,) = self.tok.encode("\n", add_special_tokens=False).ids
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -46,6 +47,8 @@ class Encoder:
 
     def _joined(self, pieces: list[str], lead: str) -> list[bytes]:
         """Ids of pieces without line feeds: encoded by the hundred, a line feed between them, and split at its id."""
+        if not pieces:
+            return []
         out: list[bytes] = []
         sep = "\n" + lead
         runs = [lead + sep.join(pieces[k : k + JOINED]) for k in range(0, len(pieces), JOINED)]
@@ -59,22 +62,36 @@ class Encoder:
         return out
 
     def _learn(self, cache: dict, pieces: set[str], lead: str) -> None:
-        new = [p for p in pieces if p not in cache]
-        plain, other = [], []
-        for p in new:
-            if not p or p[0] in WHITE or p[-1] in WHITE or not p.isascii() and (p[0].isspace() or p[-1].isspace()):
+        """Ids of new pieces. A run of PLAIN marks after a word of letters stands for itself, so only the word is encoded."""
+        words, marked, other = [], [], []
+        for p in pieces.difference(cache):
+            if p.isalpha():
+                words.append(p)
+                continue
+            word = p.rstrip(PLAIN)
+            if word.isalpha():
+                marked.append((p, word))
+            elif not p or p[0].isspace() or p[-1].isspace():
                 cache[p] = None  # only its text can settle it
-            elif "\n" in p:
-                other.append(p)
             else:
-                plain.append(p)
+                other.append(p)
+        words += {w for _, w in marked}.difference(cache, words)
+        cache.update(zip(words, self._joined(words, lead), strict=True))
+        marks = self.marks
+        for p, word in marked:
+            mark = p[len(word) :]
+            if mark not in marks:
+                (marks[mark],) = self._whole([mark])
+            cache[p] = cache[word] + marks[mark]
+        lined = [p for p in other if "\n" in p]
+        plain = [p for p in other if "\n" not in p]
         cache.update(zip(plain, self._joined(plain, lead), strict=True))
-        cache.update(zip(other, self._whole([lead + p for p in other]), strict=True))
+        cache.update(zip(lined, self._whole([lead + p for p in lined]), strict=True))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """A null text counts as empty."""
         if len(self.later) + len(self.first) > self.most:
-            self.first, self.later = {}, {}
+            self.first, self.later, self.marks = {}, {}, {}
         split = [t.split(" ") if t else None for t in texts]
         heads, tails = set(), set()
         for pieces in split:
