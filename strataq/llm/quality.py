@@ -94,13 +94,16 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, fit_rows: int = 8000,
         share = (y > j).mean()
         above = np.bincount(a, np.repeat(y > j, n), PRESENT)
         often |= count * share - above > least * np.sqrt(count * share * (1 - share) + 1e-9)
-    columns = np.concatenate([a, PRESENT + b])
-    rows = np.concatenate([np.repeat(np.arange(len(y)), n), np.repeat(np.arange(len(y)), m)])
-    values = np.concatenate([often[a].astype(np.float64), np.repeat(1 / np.maximum(m, 1), m) * RATE_SCALE])
-    key, back = np.unique(rows * np.int64(PRESENT + RATES) + columns, return_inverse=True)  # counts of an ending in a text to one entry
-    values = np.bincount(back, values)
-    keep = values > 0
-    rows, columns, values = (key // (PRESENT + RATES))[keep], (key % (PRESENT + RATES))[keep], values[keep]
+    keep = often[a]
+    rows, columns, values = [np.repeat(np.arange(len(y), dtype=np.int32), n)[keep]], [a[keep]], [np.ones(int(keep.sum()), np.float32)]
+    ends = np.concatenate([[0], np.cumsum(m)])
+    for i in np.flatnonzero(m):  # an ending's count in a text to one entry
+        bucket, count = np.unique(b[ends[i] : ends[i + 1]], return_counts=True)
+        rows.append(np.full(len(bucket), i, np.int32))
+        columns.append(bucket + PRESENT)
+        values.append((count * (RATE_SCALE / m[i])).astype(np.float32))
+    del a, b, sample
+    rows, columns, values = (np.concatenate(x) for x in (rows, columns, values))
     used, columns = np.unique(columns, return_inverse=True)
     n_words = int((used < PRESENT).sum())
     w, steps = np.zeros(len(used)), np.log(np.linspace(1, 2, grades - 1)) if grades > 2 else np.zeros(grades - 1)
