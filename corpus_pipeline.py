@@ -1,6 +1,77 @@
-"""The corpus pipeline: STAGES in order, each a function (spark, docs, sf_dir) -> DataFrame."""
+"""The corpus pipeline: documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and read again as the next
+stage's docs. All stages but the last keep the columns of the documents table.
+
+1. quality: documents that the classifier rates below the grade "good" go.
+2. near_duplicates: of each group of near copies (five-word shingles, similarity 0.8) the smallest id stays.
+3. secrets: secrets are replaced in the text; every document stays.
+4. mixing: sources are brought to their targets; a document taken twice becomes two rows.
+5. packing: the rows' token ids are packed into sequences; the result has a row per piece, with its ids.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strataq.llm import mixing, near_dups, packing, quality, secret_scan
+from strataq.llm.common import Scratch, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose probability of the highest grade is at least one half. Labels come from the labels table."""
+    model = quality.fit(docs, quality.ratings(table(spark, sf_dir, "labels")), grades=3)
+    graded = quality.classify(docs, model, wanted=2, names=("_expected_grade", "_tail_probability"))
+    return graded.where("_tail_probability >= 0.5").select(*COLUMNS)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each near-duplicate group; rows that repeat a kept id stay once. Rows without an id are linked
+    with nothing, so of them only repeated texts go."""
+    found = near_dups.near_duplicates(docs, Scratch(spark), size=5, percent=80)
+    gone = found.where("not kept").select("doc_id")
+    left = docs.join(gone, "doc_id", "left_anti").withColumn("_text", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
+    return left.dropDuplicates(["doc_id", "_text"]).select(*COLUMNS)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets in the texts."""
+    return secret_scan.redact(docs, secret_scan.train()).select(*COLUMNS)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes it."""
+    copies = mixing.mix(docs, Scratch(spark)).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
+    taken = docs.join(copies, F.col("doc_id") == F.col("_id"))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packed pieces of all rows."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("secrets", secret_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+
+#: SQL expresses neither the classifier nor the tokenizer; tests compare the stages with brute-force versions.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table, each written to the shared scratch folder and read again."""
+    scratch, docs = Scratch(spark), table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs, before = stage(spark, docs, sf_dir), docs
+        if k + 1 < len(STAGES):
+            docs = scratch.save(docs, name)
+            scratch.drop(before)
+    return docs

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mixing, near_dups, ngram_rules, packing, quality, topk, warc
+from . import language, mixing, near_dups, ngram_rules, packing, quality, secret_scan, token_files, topk, warc
 from .common import Scratch, table
 
 
@@ -43,12 +43,29 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_rules.quality_rules(docs, ratios).drop("score")
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.train())
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), Scratch(spark))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_packing, op2_near_dups, op3_language_id, op4_quality_classifier, op5_warc, op6_exact_topk, op7_quality_rules, op9_mixing)
+    found = (
+        op1_packing, op2_near_dups, op3_language_id, op4_quality_classifier, op5_warc, op6_exact_topk, op7_quality_rules, op8_secret_scan,
+        op9_mixing, op10_token_files, pipeline,
+    )
     return {f.__name__: f for f in found}
 
 
