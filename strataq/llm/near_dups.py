@@ -6,8 +6,11 @@
 3. Representatives that share a band key are candidates. A pair is kept if its sizes allow the similarity and the
    population count of the XOR of its odd sketches doesn't put the similarity far below it; it is then confirmed on the
    full sets.
-4. Confirmed links become components. Candidates inside a component need no test, so a bucket is first tested as a star
-   around one member, by round around another, and only what still lies in different components is paired out.
+4. Each bucket is first tested as a star around its smallest member, which joins most groups. Buckets whose members
+   still lie in different components are cut into blocks of 512; a block pair is one unit of work that holds its members'
+   sketches, then the full sets of those with a likely partner, and gives out a spanning forest of its confirmed links.
+   So every pair of a bucket is looked at, but no pair is ever a row unless it is likely (stars) or a link (blocks).
+5. Links become components by alternating stars.
 
 A pair at similarity 0.8 shares no band with probability 3e-6 (at 0.85: 7e-9); the sketch filter is six standard
 deviations wide.
@@ -21,13 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, words
 
 SAMPLES, BANDS, SKETCH_BITS, SEED = 160, 32, 512, 7
-SLACK, ROUNDS, PAIRED_OUT = 0.25, 6, 8
+SLACK, BLOCK = 0.25, 512
 CHUNK = 8192
 
 
@@ -146,77 +149,153 @@ def components(edges: DataFrame, scratch: Scratch, most: int = 40) -> DataFrame:
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).union(tops).distinct()
 
 
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key of a partition that is sorted by its keys; a group may span batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = np.stack([batch.column(k).to_numpy() for k in keys])
+        starts = np.concatenate([[0], np.flatnonzero((columns[:, 1:] != columns[:, :-1]).any(axis=0)) + 1])
+        ends = np.concatenate([starts[1:], [batch.num_rows]])
+        for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True):
+            key = tuple(columns[:, lo].tolist())
+            if key != last and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+
+
+def likely_members(flips: int, percent: int):
+    """For each block of a bucket, its members that have a likely partner in another component: sizes and odd sketches
+    allow the similarity, and no earlier band has both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in groups(batches, ["band", "x", "y"]):
+            m = g.num_rows
+            side, comp, n = (g.column(c).to_numpy() for c in ("side", "comp", "n"))
+            sketch, keys = _matrix(g.column("sketch"), m).view(np.uint64), _matrix(g.column("keys"), m)
+            place, cross = g.column("place")[0].as_py(), g.column("x")[0].as_py() != g.column("y")[0].as_py()
+            involved = np.zeros(m, bool)
+            for lo in range(0, m, 64):
+                i = np.arange(lo, min(m, lo + 64))
+                ok = np.bitwise_count(sketch[i, None, :] ^ sketch[None, :, :]).sum(axis=2, dtype=np.int32) <= flips
+                ok &= comp[i, None] != comp[None, :]
+                ok &= 100 * np.minimum(n[i, None], n[None, :]) >= percent * np.maximum(n[i, None], n[None, :])
+                ok &= (side[i, None] < side[None, :]) if cross else (i[:, None] < np.arange(m)[None, :])
+                a, b = np.nonzero(ok)
+                a = i[a]
+                for k in range(0, len(a), 65536):
+                    u, v = a[k : k + 65536], b[k : k + 65536]
+                    new = ~(keys[u, :place] == keys[v, :place]).any(axis=1)
+                    involved[u[new]] = involved[v[new]] = True
+            if involved.any():
+                yield from g.select(["band", "x", "y", "side", "rep", "comp"]).filter(pa.array(involved)).combine_chunks().to_batches()
+
+    return run
+
+
+def exact_links(percent: int):
+    """For each block the links between components that the full sets confirm, thinned to a spanning forest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in groups(batches, ["band", "x", "y"]):
+            m = g.num_rows
+            rep, side, comp = (g.column(c).to_numpy() for c in ("rep", "side", "comp"))
+            sets = g.column("shingles").combine_chunks()
+            n = np.diff(sets.offsets.to_numpy())
+            row = np.repeat(np.arange(m), n)
+            _, word, count = np.unique(sets.flatten().to_numpy(zero_copy_only=False), return_inverse=True, return_counts=True)
+            shared = np.flatnonzero(count > 1)  # a shingle of one member adds to no intersection
+            number = np.full(len(count), -1)
+            number[shared] = np.arange(len(shared))
+            at = number[word]
+            order = np.argsort(at, kind="stable")
+            row, at = row[order], at[order]
+            common = np.zeros((m, m), np.float32)
+            for k in range(0, len(shared), 4096):
+                lo, hi = np.searchsorted(at, [k, k + 4096])
+                has = np.zeros((m, min(4096, len(shared) - k)), np.float32)
+                has[row[lo:hi], at[lo:hi] - k] = 1
+                common += has @ has.T
+            common = common.astype(np.int64)
+            linked = (100 * common >= percent * (n[:, None] + n[None, :] - common)) & (comp[:, None] != comp[None, :])
+            if g.column("x")[0].as_py() != g.column("y")[0].as_py():
+                linked &= side[:, None] != side[None, :]
+            seen, out = np.zeros(m, bool), []
+            for first in range(m):
+                if seen[first]:
+                    continue
+                seen[first], todo = True, [first]
+                while todo:
+                    u = todo.pop()
+                    for v in np.flatnonzero(linked[u] & ~seen).tolist():
+                        seen[v] = True
+                        todo.append(v)
+                        out.append((u, v))
+            if out:
+                u, v = np.array(out).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[u], rep[v])), pa.array(np.maximum(rep[u], rep[v]))], ["a", "b"])
+
+    return run
+
+
 class Linker:
-    """Finds links between representatives, bucket by bucket, and keeps their components up to date."""
+    """Finds links between representatives. reps: doc_id, n_shingles, sketch, bands, shingles of every candidate."""
+
+    def __init__(self, reps: DataFrame, scratch: Scratch, percent: int):
+        self.reps, self.scratch, self.percent, self.flips = reps, scratch, percent, most_flips(percent / 100 - SLACK)
 
-    def __init__(self, docs: DataFrame, reps: DataFrame, scratch: Scratch, size: int, percent: int, id_col: str, text_col: str):
-        self.docs, self.reps, self.scratch, self.size, self.percent = docs, reps, scratch, size, percent
-        self.id_col, self.text_col = id_col, text_col
-        self.flips = most_flips(percent / 100 - SLACK)
-        self.links = self.tested = None
+    def side(self, x: str, *columns: str) -> DataFrame:
+        return self.reps.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose sizes and odd sketches allow the similarity."""
-        side = lambda x: self.reps.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-        p = pairs.join(side("a"), "a").join(side("b"), "b")
-        differ = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        fits = 100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")
+        p = pairs.join(self.side("a", "n_shingles", "sketch"), "a").join(self.side("b", "n_shingles", "sketch"), "b")
+        differ = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        fits = 100 * F.least("n_shingles_a", "n_shingles_b") >= self.percent * F.greatest("n_shingles_a", "n_shingles_b")
         return p.where(fits & (differ <= self.flips)).select("a", "b")
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
-        """Pairs whose full sets reach the similarity. Only the documents in question are cut into shingles again."""
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        text = self.docs.select(F.col(self.id_col).alias("doc_id"), F.col(self.text_col).alias("text"))
-        sets = self.scratch.save(shingled(text.join(ids, F.col("doc_id") == F.col("id"), "left_semi"), self.size), "sets")
-        side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s_{x}"))
-        p = pairs.join(side("a"), "a").join(side("b"), "b")
-        common = F.size(F.array_intersect("s_a", "s_b"))
-        p = p.where(100 * common >= self.percent * (F.size("s_a") + F.size("s_b") - common)).select("a", "b").distinct()
-        found = self.scratch.save(p, "links")
-        self.scratch.drop(sets)
-        return found
-
-    def labels(self) -> DataFrame:
-        return self.scratch.save(components(self.links, self.scratch), "labels")
-
-    def run(self, buckets: DataFrame) -> DataFrame | None:
-        """buckets: (band, rep), buckets of at least two. Returns (node, component), None without links."""
-        labels = None
-        for step in range(ROUNDS + 1):
-            live = buckets
-            if labels is not None:
-                live = live.join(labels, F.col("rep") == F.col("node"), "left").select("band", "rep", F.coalesce("component", "rep").alias("comp"))
-                mixed = live.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-                live = self.scratch.save(live.join(mixed, "band"), "live")
-            else:
-                live = live.withColumn("comp", F.col("rep"))
-            sizes = live.groupBy("band").agg(F.count("*").alias("n"))
-            total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0))).first()
-            if not total[0]:
-                break
-            last = total[1] <= PAIRED_OUT * total[0] or step == ROUNDS
-            if last:
-                other = live.select("band", F.col("rep").alias("b"), F.col("comp").alias("comp_b"))
-                pairs = live.withColumnRenamed("rep", "a").join(other, "band").where("a < b and comp <> comp_b").select("a", "b")
-            else:
-                order = F.xxhash64("rep", F.lit(step))
-                center = live.groupBy("band").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("center"), F.col("comp").alias("comp_c"))).alias("c")).select("band", "c.center", "c.comp_c")
-                pairs = live.join(center, "band").where("rep <> center and comp <> comp_c").select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b"))
-            pairs = pairs.distinct()
-            if self.tested is not None:
-                pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-            pairs = self.scratch.save(self.likely(pairs), "pairs")
-            if pairs.isEmpty():
-                if last:
-                    break
-                continue
-            self.tested = pairs if self.tested is None else self.tested.union(pairs)
-            found = self.confirm(pairs)
-            self.links = found if self.links is None else self.links.union(found)
-            labels = self.labels()
-            if last:
-                break
-        return labels
+        """Pairs whose full sets reach the similarity."""
+        p = pairs.join(self.side("a", "shingles"), "a").join(self.side("b", "shingles"), "b")
+        common = F.size(F.array_intersect("shingles_a", "shingles_b"))
+        return p.where(100 * common >= self.percent * (F.size("shingles_a") + F.size("shingles_b") - common)).select("a", "b")
+
+    def run(self, buckets: DataFrame) -> DataFrame:
+        """buckets: (band, place, rep, n), buckets of n >= 2 members. Returns (node, component)."""
+        # every bucket as a star around its smallest member: one test a member
+        center = buckets.groupBy("band").agg(F.min("rep").alias("a"))
+        star = buckets.join(center, "band").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+        star = self.scratch.save(self.likely(star), "star-pairs")
+        links = self.scratch.save(self.confirm(star), "star-links")
+        labels = self.scratch.save(components(links, self.scratch), "labels")
+        # what still lies in different components, block against block
+        rows = buckets.where("n > 2").join(labels, F.col("rep") == F.col("node"), "left").select("band", "place", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+        mixed = rows.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
+        rows = self.scratch.save(rows.join(mixed, "band", "left_semi"), "mixed")
+        parts = F.ceil(F.col("n") / BLOCK).cast("int")
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+        block = [F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), (F.col("part") > F.col("other")).cast("int").alias("side")]
+        rows = rows.select("band", "place", *block, "rep", "comp").join(self.side("rep", "n_shingles", "sketch", "bands"), "rep")
+        rows = rows.select("band", "place", "x", "y", "side", "rep", "comp", F.col("n_shingles_rep").alias("n"), F.col("sketch_rep").alias("sketch"), F.col("bands_rep").alias("keys"))
+        by = ["band", "x", "y"]
+        found = rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(likely_members(self.flips, self.percent), "band long, x int, y int, side int, rep long, comp long")
+        found = self.scratch.save(found, "members")
+        exact = found.join(self.side("rep", "shingles"), "rep").select(*by, "side", "rep", "comp", F.col("shingles_rep").alias("shingles"))
+        more = exact.repartition(*by).sortWithinPartitions(*by).mapInArrow(exact_links(self.percent), "a long, b long")
+        more = self.scratch.save(more, "links")
+        if more.isEmpty():
+            return labels
+        return self.scratch.save(components(links.union(more), self.scratch), "labels")
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,15 +310,17 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 5, percent: i
     usable = sig.where("n_shingles > 0 and doc_id is not null")
     classes = scratch.save(usable.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     reps = usable.select("doc_id", "n_shingles", "sketch", "bands", "k1", "k2").join(classes.select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "k1", "k2"])
-    bands = reps.select(F.explode("bands").alias("band"), F.col("doc_id").alias("rep"))
-    shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    bands = reps.select(F.posexplode("bands").alias("place", "band"), F.col("doc_id").alias("rep"))
+    shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     buckets = scratch.save(bands.join(shared, "band"), "buckets")
-    reps = scratch.save(reps.select("doc_id", "n_shingles", "sketch").join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "candidates")
-    labels = Linker(docs, reps, scratch, size, percent, id_col, text_col).run(buckets)
-    named = classes.withColumnRenamed("n_shingles", "n")
-    if labels is not None:
-        named = named.join(labels, F.col("rep") == F.col("node"), "left").withColumn("rep", F.coalesce("component", "rep"))
-    named = named.select("k1", "k2", "n", "rep")
+    found = buckets.select(F.col("rep").alias("doc_id")).distinct()
+    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(found, "doc_id", "left_semi")
+    sets = shingled(text, size).dropDuplicates(["doc_id"])
+    reps = reps.select("doc_id", "n_shingles", "sketch", "bands").dropDuplicates(["doc_id"])
+    reps = scratch.save(reps.join(sets, "doc_id"), "candidates")
+    labels = Linker(reps, scratch, percent).run(buckets)
+    named = classes.withColumnRenamed("n_shingles", "n").join(labels, F.col("rep") == F.col("node"), "left")
+    named = named.select("k1", "k2", "n", F.coalesce("component", "rep").alias("rep"))
     s = sig.select("doc_id", "n_shingles", "k1", "k2")
     # documents without a set share the digest 0, so they look for a key of their own that no class has
     joined = s.join(named.withColumnRenamed("n", "n_shingles"), ["k1", "k2", "n_shingles"], "left")
