@@ -49,8 +49,11 @@ def _features(text: Column, seen: str = "seen", rated: str = "rated") -> list[Co
 def featured(docs: DataFrame, text_col: str, *keep: Column) -> DataFrame:
     """Adds `seen` (distinct buckets of words) and `rated` (a bucket for each word in order)."""
     d = docs.select(*keep, *_features(F.col(text_col)))
-    kind = lambda w, i: F.when(w == F.get("rated", i - 1), F.lit("=")).otherwise(F.right(w, F.lit(2)))
-    endings = F.transform("rated", lambda w, i: F.pmod(F.xxhash64(kind(w, i)), F.lit(RATES)).cast("int"))
+    # the word before stands beside each word: a lambda that looked it up by position could be merged with the split
+    # that makes the array, and would then split the text once a word
+    before = F.slice(F.concat(F.array(F.lit("")), "rated"), F.lit(1), F.size("rated"))
+    kind = F.zip_with("rated", before, lambda w, p: F.when(w == p, F.lit("=")).otherwise(F.right(w, F.lit(2))))
+    endings = F.transform(kind, lambda w: F.pmod(F.xxhash64(w), F.lit(RATES)).cast("int"))
     starts = F.transform("starts", lambda w: F.pmod(F.xxhash64(w, F.lit(0)), F.lit(RATES)).cast("int"))
     return d.withColumn("rated", F.concat(endings, starts)).drop("starts")
 
