@@ -72,10 +72,17 @@ def _sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return ends[at[1:]] - ends[at[:-1]]
 
 
+ROWS = 256
+
+
 def scores(model: Model, seen, rated) -> np.ndarray:
-    """w.x of each row: the weights of its words, plus the mean weight of its endings."""
-    (a, n), (b, m) = _lists(seen), _lists(rated)
-    return _sums(model.weights[a], n) + _sums(model.weights[PRESENT + b], m) / np.maximum(m, 1)
+    """w.x of each row: the weights of its words, plus the mean weight of its endings. A few rows at a time, as a batch of
+    long texts is large and every array made from it as large again."""
+    out = np.zeros(len(seen))
+    for k in range(0, len(seen), ROWS):
+        (a, n), (b, m) = _lists(seen.slice(k, ROWS)), _lists(rated.slice(k, ROWS))
+        out[k : k + ROWS] = _sums(model.weights[a], n) + _sums(model.weights[PRESENT + b], m) / np.maximum(m, 1)
+    return out
 
 
 def fit(docs: DataFrame, ratings: DataFrame, grades: int, fit_rows: int = 8000, least: float = 5.0, rounds: int = 300, rate: float = 0.1, decay: float = 2e-4, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
@@ -146,7 +153,7 @@ def classify(docs: DataFrame, model: Model | None, wanted: int, text_col: str =
 
     @F.arrow_udf("struct<e: double, p: double>")
     def grade(seen: pa.Array, rated: pa.Array) -> pa.Array:
-        blank = _lists(rated)[1] == 0
+        blank = np.diff(rated.offsets.to_numpy()) == 0
         if model is None:
             e, p = np.full(len(seen), float(wanted) / 2), np.full(len(seen), 0.5)
         else:
