@@ -7,7 +7,7 @@
    population count of the XOR of its odd sketches doesn't put the similarity far below it; it is then confirmed on the
    full sets.
 4. Each bucket is first tested as a star around its smallest member, which joins most groups. Buckets whose members
-   still lie in different components are cut into blocks of 512; a block pair is one unit of work that holds its members'
+   still lie in different components are cut into blocks of 1024; a block pair is one unit of work that holds its members'
    sketches, then the full sets of those with a likely partner, and gives out a spanning forest of its confirmed links.
    So every pair of a bucket is looked at, but no pair is ever a row unless it is likely (stars) or a link (blocks).
 5. Links become components by alternating stars.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, words
 
 SAMPLES, BANDS, SKETCH_BITS, SEED = 160, 32, 512, 7
-SLACK, BLOCK = 0.25, 512
+SLACK, BLOCK = 0.25, 1024
 CHUNK = 8192
 
 
