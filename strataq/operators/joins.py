@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 from ..functions.text import ancestors
 
 
-def nearest_ancestor(files: DataFrame, marks: DataFrame, mark: str, path: str = "path") -> DataFrame:
-    """Each file with the mark of the nearest directory at or above its own. marks: directory, and a column `mark`.
+def nearest_ancestor(files: DataFrame, marks: DataFrame, mark: str, path: str = "path", by: tuple[str, ...] = ()) -> DataFrame:
+    """Each file with the mark of the nearest directory at or above its own. marks: directory, a column `mark`, and the
+    columns `by`, which must be equal too.
 
     Directories are exploded with their depth and joined by equality; the deepest hit is a maximum, so no range join.
     """
-    up = files.select(path, F.posexplode(ancestors(F.col(path))).alias("depth", "directory"))
-    best = up.join(marks, "directory").groupBy(path).agg(F.max_by(F.struct("directory", F.col(mark)), "depth").alias("m"))
-    return files.join(best, path, "left").select(*[files[c] for c in files.columns], F.col("m.directory").alias("nearest"), F.col(f"m.{mark}").alias(mark))
+    up = files.select(path, *by, F.posexplode(ancestors(F.col(path))).alias("depth", "directory"))
+    best = up.join(marks, ["directory", *by]).groupBy(path, *by).agg(F.max_by(F.struct("directory", F.col(mark)), "depth").alias("m"))
+    return files.join(best, [path, *by], "left").select(*[files[c] if c not in (path, *by) else F.col(c) for c in files.columns], F.col("m.directory").alias("nearest"), F.col(f"m.{mark}").alias(mark))
 
 
 def longest_prefix(files: DataFrame, prefixes: DataFrame, prefix: str, path: str = "path") -> DataFrame:
