@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,8 +44,7 @@ def read_tree(spark: SparkSession, root: str, most: int = MOST_FILES) -> tuple[D
     """(path, size, content) of the files below a root, ignored directories and root .gitignore rules left out, in path order;
     and whether there were more than `most`."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    prefix = F.lit(root.rstrip("/").removeprefix("file://").removeprefix("file:") + "/")
-    d = raw.select(F.element_at(F.split(F.col("path"), prefix, 2), 2).alias("path"), F.col("length").alias("size"), "content")
+    d = raw.select(F.element_at(F.split(F.col("path"), re.escape(root.rstrip("/").removeprefix("file://").removeprefix("file:") + "/"), 2), 2).alias("path"), F.col("length").alias("size"), "content")
     d = d.where(~F.arrays_overlap(F.slice(F.split("path", "/"), F.lit(1), F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0))), F.array(*map(F.lit, IGNORED))))
     rules = d.where("path = '.gitignore'").select(F.col("content").cast("string")).first()  # one small file
     for pattern, negated in gitignore_patterns(rules[0] if rules else ""):
@@ -55,8 +56,6 @@ def read_tree(spark: SparkSession, root: str, most: int = MOST_FILES) -> tuple[D
 
 def gitignore_patterns(text: str) -> list[tuple[str, bool]]:
     """Regular expressions on paths for the rules of a .gitignore, and whether each is a negation."""
-    import re
-
     out = []
     for line in text.splitlines():
         rule = line.strip()
@@ -106,7 +105,7 @@ def inventory(tree: DataFrame) -> DataFrame:
     """A row per file: language, kind, role, lines, whether it is oversized, content hash and text (null for binary files)."""
     binary = is_binary(F.col("content"))
     d = tree.withColumn("language", language_of(F.col("path"))).withColumn("kind", kind_of(F.col("path"), F.col("language"), binary)).withColumn("role", role_of(F.col("path"), F.col("kind")))
-    text = F.when((F.col("kind") != "BINARY") & (F.col("size") <= OVERSIZED), F.decode("content", F.lit("UTF-8")))
+    text = F.when((F.col("kind") != "BINARY") & (F.col("size") <= OVERSIZED), F.make_valid_utf8(F.col("content").cast("string")))
     d = d.withColumn("content_hash", F.sha2("content", 256)).withColumn("oversized", F.col("size") > OVERSIZED).withColumn("text", text)
     return d.withColumn("lines", line_count(F.col("text"))).drop("content")
 
