@@ -1,6 +1,6 @@
 """Language ID by compression: the language whose dictionary makes a text smallest.
 
-Each language has a Zstandard raw-content dictionary of its own texts. A text is cut into chunks, each chunk is
+Each language has a Zstandard raw-content dictionary of its own texts, lower case as are the texts. A text is cut into chunks, each chunk is
 compressed with every dictionary, and the sizes are summed: chunks keep a long text from becoming its own dictionary,
 so all of it counts. The score is the softmax of the code lengths per byte; predictions whose two best sizes are within
 `margin` are marked as rejected.
@@ -16,8 +16,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SLOTS, DICTIONARY_BYTES, SAMPLE_CHARS = 256, 112 * 1024, 4000
-CHUNK, LEVEL, MARGIN, SHARPNESS = 4096, 1, 0.01, 60.0
+SLOTS, DICTIONARY_BYTES, SAMPLE_CHARS = 256, 200 * 1024, 4000
+CHUNK, LEVEL, MARGIN, SHARPNESS = 4096, 6, 0.01, 60.0
 
 
 def fit_dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
@@ -29,7 +29,7 @@ def fit_dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     d = docs.select(F.xxhash64(id_col).alias("hash"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     d = d.where("lang is not null and text is not null")
     picked = d.groupBy("lang", F.pmod("hash", F.lit(SLOTS)).alias("slot")).agg(F.min("hash").alias("hash"))
-    sample = d.join(F.broadcast(picked.select("lang", "hash")), ["lang", "hash"]).select("lang", "hash", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    sample = d.join(F.broadcast(picked.select("lang", "hash")), ["lang", "hash"]).select("lang", "hash", F.lower(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))
     texts: dict[str, list[tuple[int, str]]] = {}
     for row in sample.collect():  # at most SLOTS rows a language
         texts.setdefault(row["lang"], []).append((row["hash"], row["text"]))
@@ -61,7 +61,7 @@ class Classifier:
 
     def __call__(self, text: str) -> tuple[str, float, bool]:
         """(language, score, rejected). Equal sizes go to the first language in code-point order."""
-        data = text.encode("utf-8", "replace")
+        data = text.lower().encode("utf-8", "replace")
         sizes = self.sizes(data)
         least = min(sizes)
         best = sizes.index(least)
