@@ -1,0 +1,579 @@
+"""Each operator on small fixtures: brute force, exact round trips, held-out accuracy, and the awkward cases."""
+
+import collections
+import io
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from strataq.llm import language, mixing, near_dups, ngram_rules, packing, quality, secret_scan, token_files, tokens, topk, warc
+from strataq.llm.common import Scratch
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def prose(r, n, words=400):
+    return " ".join(f"w{r.randrange(words)}" for _ in range(n))
+
+
+def awkward(spark):
+    """Null texts, ids, languages and sources, empty and very long texts, repeated rows and ties."""
+    r = random.Random(1)
+    long = prose(r, 30_000)
+    rows = [(1, None, "en", "a", 0), (2, "", "en", None, 0), (3, "one", None, "a", 3), (4, " \t\n ", "en", "b", 4), (5, long, "en", "a", len(long)), (6, long, "en", "b", len(long)), (7, "same text here", "de", "a", 14), (7, "same text here", "de", "a", 14), (None, "no id at all", "en", "a", 12), (8, "é ß 漢字 😀", "fr", None, 7), (9, "A b\nA b\n\nA b", "en", "c", 11)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def clashing(df):
+    """The same rows with more columns, named as the operators name theirs."""
+    for name in ("size", "rank", "hash", "bands", "h", "words", "seen", "rated", "row", "component_id", "kept", "start", "length", "target", "payload", "score", "grade", "path", "skey", "copies", "doc"):
+        if name not in df.columns:
+            df = df.withColumn(name, F.lit("x"))
+    return df
+
+
+def table(df):
+    return sorted(map(str, df.collect()))
+
+
+# --- 1 packing
+
+
+def check_packing(rows, expected, capacity=2048):
+    """Every id in exactly one piece; sequences gapless, at most capacity long. Returns padding and ids."""
+    got, sequences = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        got[r["doc_id"]].append((r["start"], r["ids"]))
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+        assert len(r["ids"]) == 4 * r["length"] and r["length"] > 0
+    for doc, ids in expected.items():
+        assert b"".join(x for _, x in sorted(got[doc])) == ids
+        at = 0
+        for start, x in sorted(got[doc]):
+            assert start == at
+            at += len(x) // 4
+    padding = 0
+    for pieces in sequences.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= capacity
+        padding += 0 if at & (at - 1) == 0 else capacity - at
+    return padding
+
+
+def ids_of(texts, end):
+    encode = tokens.Encoder(tokens.default_path())
+    return [x + np.array([end], "<u4").tobytes() for x in encode(texts)]
+
+
+def test_packing_is_whole_and_tight(spark):
+    r = random.Random(2)
+    texts = [prose(r, int(r.paretovariate(0.8) * 20) % 4000) for _ in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    rows = packing.pack(df).collect()
+    padding = check_packing(rows, dict(enumerate(ids_of(texts, 1))))
+    assert padding == 0
+
+
+def test_packing_awkward(spark):
+    df = awkward(spark).where("doc_id <> 7 or doc_id is null")
+    rows = packing.pack(clashing(df)).collect()
+    expected = {r["doc_id"]: ids_of([r["text"]], 1)[0] for r in df.collect()}
+    check_packing(rows, expected)
+    assert packing.pack(df.limit(0)).count() == 0
+
+
+def test_fill_is_the_best_subset_sum():
+    r = random.Random(3)
+    for _ in range(200):
+        counts = collections.Counter(r.randrange(1, 60) for _ in range(r.randrange(1, 9)))
+        room = r.randrange(1, 150)
+        used = packing.fill(dict(counts), sorted(counts, reverse=True), room)
+        reach = {0}
+        for n, k in counts.items():
+            reach = {s + n * i for s in reach for i in range(k + 1) if s + n * i <= room}
+        assert sum(n * k for n, k in used.items()) == max(reach)
+        assert all(k <= counts[n] for n, k in used.items())
+
+
+def test_encoder_equals_the_library():
+    r = random.Random(4)
+    marks = ["", " ", "  ", "\n", "\n\n", "\t", "a", "don't", "x.", "3.14", "é", "漢字", "<|endoftext|>", " ", "A!!", "###", "|", "\r\n", "'s", "ß,", "1st", "　"]
+    texts = ["".join(r.choice(marks) + r.choice(["", " "]) for _ in range(r.randrange(12))) for _ in range(3000)]
+    e = tokens.Encoder(tokens.default_path())
+    whole = [np.array(x.ids, "<u4").tobytes() for x in e.tok.encode_batch(texts, add_special_tokens=False)]
+    assert e(texts) == whole and e(texts) == whole
+    assert e([None, ""]) == [b"", b""]
+
+
+# --- 2 near duplicates
+
+
+def shingles(text, size):
+    w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in WORD.findall(text or "")]
+    return frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else [])
+
+
+def brute_components(rows, size):
+    sets = [(i, shingles(t, size)) for i, t in rows]
+    parent = {i: i for i, _ in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    return {i: find(i) for i, _ in sets}, {i: len(s) for i, s in sets}
+
+
+def edited(r, words, share):
+    return [f"z{r.randrange(10**6)}" if r.random() < share else w for w in words]
+
+
+@pytest.mark.parametrize("size", [2, 5])
+def test_near_duplicates_equal_brute_force(spark, size):
+    r = random.Random(5)
+    rows = []
+    for group in range(12):
+        base = prose(r, r.randrange(3, 200)).split()
+        rows += [" ".join(edited(r, base, r.choice([0, 0, 0.01, 0.03, 0.06, 0.12]))) for _ in range(r.randrange(1, 9))]
+    base = prose(r, 120).split()
+    rows += [" ".join(edited(r, base, 0.04)) for _ in range(60)]  # a bucket with many members, some linked
+    rows += ["Just One", "just one", "word", "WORD", ""]
+    r.shuffle(rows)
+    pairs = list(enumerate(rows))
+    want, n = brute_components(pairs, size)
+    found = near_dups.near_duplicates(spark.createDataFrame(pairs, "doc_id long, text string"), Scratch(spark), size).collect()
+    assert {x["doc_id"]: x["component_id"] for x in found} == want
+    assert {x["doc_id"]: x["n_shingles"] for x in found} == n
+    assert all(x["kept"] == (x["doc_id"] == x["component_id"]) for x in found)
+
+
+def test_blocks_lose_nothing(spark, monkeypatch):
+    """Buckets cut into many small blocks give the same components."""
+    monkeypatch.setattr(near_dups, "BLOCK", 7)
+    r = random.Random(6)
+    base = prose(r, 150).split()
+    pairs = list(enumerate(" ".join(edited(r, base, 0.05)) for _ in range(80)))
+    want, _ = brute_components(pairs, 2)
+    found = near_dups.near_duplicates(spark.createDataFrame(pairs, "doc_id long, text string"), Scratch(spark), 2).collect()
+    assert {x["doc_id"]: x["component_id"] for x in found} == want
+
+
+def test_near_duplicates_awkward(spark):
+    df = awkward(spark)
+    found = near_dups.near_duplicates(clashing(df), Scratch(spark), 2).collect()
+    assert len(found) == df.count()
+    by_id = {x["doc_id"]: (x["n_shingles"], x["component_id"], x["kept"]) for x in found}
+    assert by_id[1] == (0, 1, True) and by_id[2] == (0, 2, True) and by_id[4] == (0, 4, True) and by_id[3] == (1, 3, True)
+    assert by_id[6][1:] == (5, False) and by_id[7][1:] == (7, True) and by_id[None][1:] == (None, True)
+    assert near_dups.near_duplicates(df.limit(0), Scratch(spark), 2).count() == 0
+
+
+def test_odd_sketch_estimates():
+    """The mean estimate of the similarity from the XOR of two sketches is near the truth."""
+    s, r = near_dups.Sketcher(), np.random.default_rng(7)
+    for shared in (0.6, 0.8, 0.95):
+        est = []
+        for _ in range(60):
+            pool = r.integers(0, 2**63, 2000, dtype=np.int64).view(np.uint64)
+            k = int(1000 * 2 * shared / (1 + shared))
+            a, b = pool[:1000], np.concatenate([pool[:k], pool[1000 : 2000 - k]])
+            x, y = s.odd_sketches(np.stack([s.minhash(a), s.minhash(b)])).view(np.uint64)
+            flips = int(np.bitwise_count(x ^ y).sum())
+            est.append(1 + s.bits / (4 * s.samples) * math.log(max(1e-9, 1 - 2 * flips / s.bits)))
+        assert abs(np.mean(est) - shared) < 0.03
+
+
+def test_components(spark):
+    r = random.Random(8)
+    edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(20)]
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    got = {r["node"]: r["component"] for r in near_dups.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}
+    assert got == {x: find(x) for x in parent if any(x in e and e[0] != e[1] for e in edges)}
+
+
+# --- 3 language
+
+
+def test_language_accuracy_on_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = language.learn_and_identify(docs).join(docs.select("doc_id", "lang", "n_chars"), "doc_id").where("held_out and n_chars > 60").collect()
+    assert len(found) > 100
+    assert sum(x["lang_pred"] == x["lang"] for x in found) / len(found) > 0.97
+    assert all(0 <= x["score"] <= 1 for x in found)
+
+
+def test_held_out_by_crc(spark):
+    for row in spark.range(50).select("id", language.held_out("id").alias("h")).collect():
+        assert row["h"] == (zlib.crc32(str(row["id"]).encode()) % 5 == 0)
+
+
+def test_language_awkward(spark):
+    df = awkward(spark)
+    d = {"en": b"the and with from this that " * 50, "de": b"der die und nicht mit von " * 50}
+    found = language.identify(clashing(df), d).collect()
+    assert len(found) == df.count()
+    by_id = {x["doc_id"]: x for x in found}
+    assert all(by_id[k]["lang_pred"] == "und" for k in (1, 2, 4))
+    assert by_id[3]["lang_pred"] in d and by_id[8]["lang_pred"] in d
+    assert [x["lang_pred"] for x in language.identify(spark.createDataFrame([(1, "1234 !!")], "doc_id long, text string"), d).collect()] == ["und"]
+    assert {x["lang_pred"] for x in language.identify(df, {}).collect()} == {"und"}
+    assert language.fit_dictionaries(df.limit(0)) == {} and language.identify(df.limit(0), d).count() == 0
+
+
+def test_narrow_margins_are_rejected():
+    c = language.Classifier({"a": b"abc abd abe " * 20, "b": b"abc abd abe " * 20})
+    assert c("abc abd")[0] == "a" and c("abc abd")[2]
+
+
+# --- 4 quality
+
+
+def rated(spark, r, n=600):
+    rows, labels = [], []
+    for i in range(n):
+        grade = i % 3
+        words = prose(r, r.randrange(20, 120)).split()
+        if grade == 0:
+            words = [w.upper() + "!!" for w in words]
+        if grade == 1:
+            words.insert(r.randrange(len(words)), r.choice(["nasty", "vile"]))
+        rows.append((i, " ".join(words)))
+        labels.append((i, grade))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, grade int")
+
+
+def test_quality_on_held_out(spark):
+    docs, labels = rated(spark, random.Random(9))
+    model = quality.fit(docs, labels.where("doc_id < 400"), 3)
+    assert list(model.thresholds) == sorted(model.thresholds)
+    found = quality.classify(docs, model, 2).join(labels, "doc_id").where("doc_id >= 400").collect()
+    right = [(x["tail_probability"] >= 0.5) == (x["grade"] == 2) for x in found]
+    assert sum(right) / len(right) > 0.97
+    means = [np.mean([x["expected_grade"] for x in found if x["grade"] == g]) for g in range(3)]
+    assert means == sorted(means)
+
+
+def test_quality_awkward(spark):
+    docs, labels = rated(spark, random.Random(10), 90)
+    model = quality.fit(docs, labels.union(labels.limit(3)), 3)
+    df = clashing(awkward(spark))
+    found = quality.classify(df, model, 2)
+    assert found.columns == [*df.columns, "expected_grade", "tail_probability"] and found.count() == df.count()
+    blank = found.where("doc_id in (1, 2, 4)").select("expected_grade", "tail_probability").distinct().collect()
+    assert [tuple(x) for x in blank] == [(0.0, 0.0)]
+    assert quality.fit(docs, labels.limit(0), 3) is None
+    assert quality.classify(df, None, 2).where("doc_id = 5").first()["tail_probability"] == 0.5
+    assert quality.classify(df.limit(0), model, 2).count() == 0
+
+
+# --- 5 archives
+
+
+def pages(spark):
+    big, same = "<p>" + "x" * 500 + "</p>", "<html>" + "copy " * 40 + "</html>"
+    rows = [(1, "http://a/", same), (2, None, same), (3, "http://c/\r\nX: y", big), (4, "u", None), (5, "u", ""), (6, "u", "short"), (7, "u", "short"), (9, "u", same), (8, "u", "é😀" * 60), (None, "u", "no id"), (10, "u", "WARC/1.1\r\n\r\n" * 20), (11, "u", "z" * 3_000_000)]
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def test_archives_round_trip(spark):
+    import hashlib
+
+    found = {x["page_id"]: x for x in warc.archive(clashing(pages(spark)).repartition(3), Scratch(spark)).collect()}
+    for row in pages(spark).collect():
+        data, x = (row["html"] or "").encode(), found[row["page_id"]]
+        assert (x["payload_bytes"], x["payload_digest"]) == (len(data), hashlib.sha256(data).hexdigest())
+    assert {k: x["refers_to"] for k, x in found.items() if x["record_type"] == "revisit"} == {2: 1, 9: 1}
+    assert warc.archive(pages(spark).limit(0), Scratch(spark)).count() == 0
+
+
+def test_frames_are_independent_and_found_by_the_footer():
+    out = io.BytesIO()
+    w = warc.Writer(out, frame_bytes=100)
+    records = [warc.record(i, "u", "response", "d", bytes([65 + i]) * (30 * i), 30 * i, None) for i in range(8)]
+    at = [w.add(x) for x in records]
+    w.close()
+    frames = warc.seek_table(out, len(out.getvalue()))
+    assert len(frames) > 2
+    for (frame, offset, length), want in zip(reversed(at), reversed(records), strict=True):
+        start, packed = frames[frame]
+        data = warc.zstandard.ZstdDecompressor().decompress(out.getvalue()[start : start + packed])
+        assert data[offset : offset + length] == want
+    # readers that know nothing of the table see one plain stream
+    whole = warc.zstandard.ZstdDecompressor().stream_reader(io.BytesIO(out.getvalue()), read_across_frames=True).read()
+    assert whole == b"".join(records)
+
+
+# --- 6 search
+
+
+def brute_top(rows, k, every=20):
+    out = []
+    for qid, q in rows:
+        if qid is None or qid % every:
+            continue
+        scored = []
+        for i, v in rows:
+            if i is not None and i != qid:
+                m = max(len(q), len(v))
+                pad = lambda x, m=m: list(x) + [0] * (m - len(x))
+                scored.append((-sum(a * b for a, b in zip(pad(q), pad(v), strict=True)), i))
+        out += [(qid, n + 1, i, -s) for n, (s, i) in enumerate(sorted(scored)[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("dims, n, k", [(3, 150, 5), (16, 120, 20), (1, 60, 3)])
+def test_search_equals_brute_force(spark, monkeypatch, dims, n, k):
+    monkeypatch.setattr(topk, "CANDIDATES", 50)
+    monkeypatch.setattr(topk, "QUERIES", 4)
+    r = random.Random(dims)
+    rows = [(i, [r.choice([-1.0, 0.0, 0.25, 0.5]) if r.random() < 0.5 else r.uniform(-1, 1) for _ in range(dims)]) for i in range(n)]
+    rows[20] = (20, [0.0] * dims)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    whole = [(i, [math.floor(64 * float(np.float32(x))) for x in v]) for i, v in rows]
+    assert sorted(map(tuple, topk.exact_topk(df, Scratch(spark), k).collect())) == brute_top(whole, k)
+
+
+def test_search_stops_early():
+    """With one heavy dimension the lists are left long before their ends."""
+    r = np.random.default_rng(1)
+    data = r.integers(-5, 5, (20_000, 4))
+    data[:, 0] = r.integers(-1000, 1000, 20_000)
+    (got,) = topk.threshold_search(np.arange(20_000), data, np.array([-1]), np.array([[50, 1, 0, 0]]), 20)
+    want = np.lexsort((np.arange(20_000), -(data @ np.array([50, 1, 0, 0]))))[:20]
+    assert list(got[1]) == list(want)
+
+
+def test_search_awkward(spark):
+    rows = [(0, [1.0, None]), (20, None), (40, [float("nan")]), (60, [float("inf"), 1.0]), (80, []), (100, [0.5, -0.5]), (101, [0.5]), (None, [1.0]), (120, [0.5, -0.5]), (120, [0.25, 0.0]), (3, [1e12, -1e12])]
+    df = clashing(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    found = {(x["query_id"], x["rank"]): (x["vec_id"], x["score"]) for x in topk.exact_topk(df, Scratch(spark), 3).collect()}
+    assert {q for q, _ in found} == {80, 100, 120}
+    assert found[(80, 1)] == (3, 0) and found[(100, 1)][0] == 3
+    assert topk.exact_topk(df.limit(0), Scratch(spark)).count() == 0
+    assert topk.exact_topk(df.where("vec_id = 100"), Scratch(spark)).count() == 0
+
+
+# --- 7 quality rules
+
+
+def brute_rules(text, ratios, threshold):
+    text = text or ""
+    words = WORD.findall(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    windows = collections.Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    covered = {i + k for i in range(len(words) - 7) if windows[tuple(words[i : i + 8])] > 1 for k in range(8)}
+
+    def h(x, seed=42):
+        v = xxhash.xxh64(x, seed=seed).intdigest()
+        return v - 2**64 if v >= 2**63 else v
+
+    one = [h(w.encode()) for w in words]
+    eight = lambda v: (v % 2**64).to_bytes(8, "little")
+    two = [h(eight(b), h(eight(a)) % 2**64) for a, b in zip(one, one[1:], strict=False)]
+    grams = [x % len(ratios) for x in one + two]
+    score = sum(ratios[g] for g in grams) / max(1, len(grams))
+    failed = len(words) < 20 or 100 * len(covered) > 30 * len(words)
+    return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered), failed, not failed and score >= threshold, round(score, 6))
+
+
+def test_rules_equal_brute_force(spark):
+    r = random.Random(11)
+    texts = [None, "", "a b\na b\n \na b", "one two three four five six seven eight " * 5, "é😀 " * 30, "x"] + [prose(r, r.randrange(1, 300), 30) + r.choice(["\n", " | ### "]) + prose(r, 40, 6) for _ in range(60)]
+    ratios = [round(r.uniform(-1, 1), 5) for _ in range(64)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in ngram_rules.quality_rules(clashing(df), ratios, -0.02).collect():
+        want = brute_rules(texts[row["doc_id"]], ratios, -0.02)
+        got = tuple(row[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"))
+        assert got[:7] == want[:7] and abs(got[7] - want[7]) < 2e-6
+
+
+def test_rules_learn_the_ratio(spark):
+    r = random.Random(12)
+    good, bad = [prose(r, 60, 12) for _ in range(200)], [prose(r, 60, 12).replace(" ", "%% ") for _ in range(100)]
+    df = spark.createDataFrame(list(enumerate(good + bad)), "doc_id long, text string")
+    ratios = ngram_rules.fit_log_ratio(df, spark.createDataFrame([(i,) for i in range(100)] + [(None,), (1,)], "doc_id long"))
+    kept = {x["doc_id"]: x["kept"] for x in ngram_rules.quality_rules(df, ratios).collect()}
+    assert all(kept[i] for i in range(200)) and not any(kept[i] for i in range(200, 300))
+    assert set(ngram_rules.fit_log_ratio(df, spark.createDataFrame([], "doc_id long"))) == {0.0}
+    assert ngram_rules.quality_rules(df.limit(0), ratios).count() == 0
+
+
+def test_rules_awkward(spark):
+    df = awkward(spark)
+    assert ngram_rules.quality_rules(clashing(df), [0.0] * 16).count() == df.count()
+
+
+# --- 8 secrets
+
+
+def test_forest_on_other_findings():
+    forest = secret_scan.train()
+    right = n = 0
+    for text, path, real in secret_scan.generated_findings(600, seed=77):
+        for _, chance in secret_scan._judge(forest, [text], [path], 0)[0]:
+            n, right = n + 1, right + ((chance >= 0.5) == real)
+    assert n > 500 and right / n > 0.97
+
+
+def test_scan_and_redact(spark):
+    forest = secret_scan.train()
+    secret = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    rows = [(1, f'é😀 start token = "{secret}" end', "src1"), (2, f"commit {secret} is fine", "src1"), (3, "plain prose without anything", "src1"), (4, None, None), (5, "", "x"), (6, f'api_key = "{secret}" and token = "{secret}"', "src2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    found = secret_scan.scan(clashing(df), forest).collect()
+    texts = {r[0]: r[1] for r in rows}
+    assert sorted(x["doc_id"] for x in found) == [1, 6, 6]
+    assert all(texts[x["doc_id"]][x["start"] : x["start"] + x["length"]] == secret for x in found)
+    clean = {x["doc_id"]: (x["text"], x["n_chars"]) for x in secret_scan.redact(df, forest).collect()}
+    assert clean[1][0] == f'é😀 start token = "{secret_scan.MARK}" end' and clean[1][1] == len(clean[1][0])
+    assert clean[2][0] == texts[2] and clean[4] == (None, None) and clean[5][0] == ""
+    assert secret_scan.scan(df.limit(0), forest).count() == 0 and secret_scan.redact(df.limit(0), forest).count() == 0
+
+
+def test_scan_awkward(spark):
+    df = clashing(awkward(spark))
+    out = secret_scan.redact(df, secret_scan.train())
+    assert out.columns == df.columns and table(out) == table(df)
+
+
+def test_findings_do_not_overlap():
+    text = 'token = "ghp_abcdefghijklmnopqrstuvwxyz0123456789" postgres://u:pa55word@h/db'
+    found = secret_scan.candidates(text)
+    assert all(a.end <= b.start for a, b in zip(found, found[1:], strict=False)) and len(found) == 2
+
+
+# --- 9 mixing
+
+
+def test_mixing_meets_targets(spark):
+    r = random.Random(13)
+    rows = [(i, prose(r, r.randrange(1, 60)), None if s == 5 else f"s{s}") for i, s in enumerate(r.choice([0, 0, 0, 1, 2, 3, 4, 5]) for _ in range(4000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.mix(clashing(df), Scratch(spark)).collect()
+    source = {r[0]: r[2] for r in rows}
+    sizes = collections.Counter()
+    for i, t, s in rows:
+        sizes[s] += len(WORD.findall(t))
+    order = sorted((s for s in sizes if s), key=lambda s: s) + [None]
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    target, open_, left = {}, set(order), 1.5 * sum(sizes.values())
+    while open_:
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        full = {s for s in open_ if share[s] >= 2 * sizes[s]}
+        target |= {s: 2.0 * sizes[s] for s in full} or share
+        left -= sum(2.0 * sizes[s] for s in full)
+        open_ = open_ - full if full else set()
+    taken = collections.Counter()
+    for x in found:
+        assert x["taken"] in (0, x["size"], 2 * x["size"])
+        assert abs(x["target"] - target[source[x["doc_id"]]]) < 1e-6 * x["target"] and x["source_size"] == sizes[source[x["doc_id"]]]
+        taken[source[x["doc_id"]]] += x["taken"]
+    assert all(abs(taken[s] - target[s]) <= 60 for s in order)
+    assert table(mixing.mix(df.repartition(7), Scratch(spark))) == table(mixing.mix(df, Scratch(spark)))
+
+
+def test_mixing_awkward(spark):
+    df = awkward(spark)
+    found = mixing.mix(clashing(df), Scratch(spark)).collect()
+    assert len(found) == df.count() and all(x["taken"] <= 2 * x["size"] for x in found)
+    assert mixing.mix(df.limit(0), Scratch(spark)).count() == 0
+    blank = mixing.mix(df.where("doc_id in (1, 2, 4)"), Scratch(spark)).collect()
+    assert {(x["size"], x["taken"]) for x in blank} == {(0, 0)}
+
+
+def test_pareto_ranks_follow_inclusion_odds(spark):
+    """Of documents with equal share about that share is drawn, whatever their ids."""
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.when(F.col("id") < 3000, "x").otherwise("y").alias("source"))
+    found = mixing.mix(df, Scratch(spark), weights=(3, 1), percent=100).groupBy(F.col("doc_id") < 3000).agg(F.avg("copies")).collect()
+    assert sorted(round(x[1], 2) for x in found) == [0.5, 1.5]
+
+
+# --- 10 token files
+
+
+@pytest.mark.parametrize("ids", [[5], [0] * 20_000, list(range(3000)) * 3, [2**31 + 7, 3, 2**31 + 7, 1]])
+def test_segments_round_trip(ids):
+    data = token_files.pack_segment(np.array(ids, "<u4"), [(7, len(ids), 1)])
+    got, docs = token_files.read_segment(io.BytesIO(data))
+    assert list(got) == ids and docs.tolist() == [[7, len(ids), 1]]
+
+
+def test_random_segments_round_trip():
+    r = np.random.default_rng(14)
+    for n in (1, 8191, 8192, 8193, 50_000):
+        ids = (r.zipf(1.3, n) % 5000).astype("<u4")
+        got, _ = token_files.read_segment(io.BytesIO(token_files.pack_segment(ids, [(0, n, 1)])))
+        assert (got == ids).all()
+
+
+def test_contexts_are_used():
+    """Ids that follow from the two before cost far less than their order-0 entropy."""
+    r = np.random.default_rng(15)
+    ids = np.tile(r.permutation(500), 60).astype("<u4")
+    assert len(token_files.pack_segment(ids, [(0, len(ids), 1)])) * 8 / len(ids) < 0.4 * math.log2(500)
+
+
+def test_damage_is_seen():
+    data = bytearray(token_files.pack_segment(np.arange(10_000, dtype="<u4") % 700, [(0, 10_000, 1)]))
+    data[-2000] ^= 255
+    with pytest.raises((ValueError, IndexError)):
+        token_files.read_segment(io.BytesIO(bytes(data)))
+
+
+def check_files(spark, df, found):
+    rows = sorted(df.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
+    ids = ids_of([r["text"] for r in rows], 0)
+    want, at = [], 0
+    for r, x in zip(rows, ids, strict=True):
+        want.append((r["doc_id"], at, len(x) // 4, zlib.crc32(x)))
+        at += len(x) // 4
+    assert sorted(map(tuple, found.collect()), key=lambda r: r[1]) == want
+
+
+def test_files_round_trip(spark, monkeypatch):
+    r = random.Random(16)
+    df = spark.createDataFrame([(i * 3 - 50, prose(r, r.randrange(200))) for i in range(200)], "doc_id long, text string").repartition(5)
+    check_files(spark, df, token_files.round_trip(df, Scratch(spark)))
+
+
+def test_documents_span_segments():
+    out = io.BytesIO()
+    w = token_files.FileWriter(out, most=1000)
+    r = np.random.default_rng(17)
+    docs = [(i, r.integers(0, 300, n).astype("<u4")) for i, n in enumerate([10, 2500, 1, 990, 999, 1, 1000, 30])]
+    for i, ids in docs:
+        w.add(i, ids)
+    w.flush()
+    out.seek(0)
+    assert list(token_files.read_file(out)) == [(i, len(x), zlib.crc32(x.tobytes())) for i, x in docs]
+
+
+def test_files_awkward(spark):
+    df = awkward(spark)
+    check_files(spark, df, token_files.round_trip(clashing(df), Scratch(spark)))
+    assert token_files.round_trip(df.limit(0), Scratch(spark)).count() == 0
