@@ -107,20 +107,22 @@ def seek_table(f, size: int) -> list[tuple[int, int]]:
 def mark_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, payload, payload_digest, record_type, refers_to): of equal payloads of at least 100 bytes the smallest id is the response.
 
-    Only digests that occur twice are joined back, so a plain page meets an empty side; a digest that a third of all
-    pages share is counted before the shuffle and its pages are split by the skew join.
+    Which pages are revisits is settled on ids and digests alone; a digest that a third of all pages share is counted before
+    the shuffle, and its rows are split by the skew join. Payloads are only joined to that list, by page: they stay where
+    they are if it is small enough to send, and go to evenly filled partitions if not.
     """
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     p = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     p = p.withColumn("payload_digest", F.sha2("payload", 256))
-    large = F.octet_length("payload") >= LEAST_REVISIT
-    seen = p.where(large).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
-    p = p.withColumn("key", F.when(large, F.col("payload_digest")).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))))
-    j = p.join(seen.where("n > 1").withColumnRenamed("payload_digest", "key"), "key", "left")
-    again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    large = p.where(F.octet_length("payload") >= LEAST_REVISIT).select("page_id", "payload_digest")
+    seen = large.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null").select("payload_digest", "first_id")
+    key = lambda: F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("key")
+    again = large.join(seen, "payload_digest").where(~F.col("page_id").eqNullSafe(F.col("first_id"))).select(key(), F.col("payload_digest").alias("digest"), F.col("first_id").alias("refers_to")).distinct()
+    j = p.select("*", key()).withColumnRenamed("payload_digest", "digest").join(again, ["key", "digest"], "left")
+    revisit = F.col("refers_to").isNotNull()
     return j.select(
-        "page_id", "url", F.when(again, F.lit(None).cast("binary")).otherwise(F.col("payload")).alias("payload"), F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest",
-        F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first_id")).alias("refers_to"),
+        "page_id", "url", F.when(revisit, F.lit(None).cast("binary")).otherwise(F.col("payload")).alias("payload"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
+        F.when(revisit, "revisit").otherwise("response").alias("record_type"), "refers_to",
     )
 
 
