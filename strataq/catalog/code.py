@@ -413,10 +413,10 @@ QUERIES = {
     "python_functions": (python_functions, None),
     "python_symbols": (python_symbols, _expect([("Store", "class", None, True, 6), ("run", "method", "Store", True, 9), ("_hidden", "function", None, False, 20), ("go", "function", None, True, 24)], "name, kind, parent, exported, line")),
     "insecure_python": (insecure_python, _expect([("injection/os-command", "HIGH", 27, "os.system"), ("injection/sql", "HIGH", 28, "execute"), ("injection/os-command", "HIGH", 30, "subprocess.run"), ("crypto/insecure-randomness", "MEDIUM", 33, "random.random"), ("unsafe/deserialization", "MEDIUM", 34, "yaml.load"), ("crypto/weak-hash", "MEDIUM", 36, "hashlib.md5")], "rule_id, severity, line, key")),
-    "python_quality": (python_quality, _expect([("quality/unused-import", "LOW", 2, "sys"), ("quality/unused-import", "LOW", 3, "List"), ("quality/unreachable", "MEDIUM", 17, "return"), ("quality/unused-private", "LOW", 20, "_hidden"), ("quality/todo", "INFO", 25, "TODO"), ("quality/bare-except", "MEDIUM", 31, "except"), ("quality/empty-catch", "MEDIUM", 31, "pass")], "rule_id, severity, line, key")),
+    "python_quality": (python_quality, _expect([("dead-code/unused-import", "LOW", 2, "sys"), ("dead-code/unused-import", "LOW", 3, "List"), ("dead-code/unreachable", "MEDIUM", 17, "return"), ("dead-code/unused-private", "LOW", 20, "_hidden"), ("smell/todo-comment", "INFO", 25, "TODO"), ("smell/bare-except", "MEDIUM", 31, "except"), ("smell/empty-catch", "MEDIUM", 31, "pass")], "rule_id, severity, line, key")),
     "script_functions": (script_functions, _expect([("constructor", 4, 1, 0, 1), ("save", 5, 8, 3, 2), ("run", 14, 1, 0, 1), ("helper", 15, 2, 0, 1)], "name, line, complexity, nesting, parameters")),
     "script_symbols": (script_symbols, _expect([("Orders", "class", None, True, 3), ("constructor", "method", "Orders", True, 4), ("save", "method", "Orders", True, 5), ("run", "function", None, True, 14), ("helper", "function", None, False, 15), ("s", "constant", None, False, 16)], "name, kind, parent, exported, line")),
-    "script_findings": (script_findings, _expect([("quality/unused-import", "LOW", 1, True), ("quality/todo", "INFO", 2, False), ("injection/sql", "HIGH", 11, True), ("quality/empty-catch", "MEDIUM", 11, False), ("injection/dynamic-code-execution", "HIGH", 14, True)], "rule_id, severity, line, approximate")),
+    "script_findings": (script_findings, _expect([("dead-code/unused-import", "LOW", 1, True), ("smell/todo-comment", "INFO", 2, False), ("injection/sql", "HIGH", 11, True), ("smell/empty-catch", "MEDIUM", 11, False), ("injection/dynamic-code-execution", "HIGH", 14, True)], "rule_id, severity, line, approximate")),
     "manifest_dependencies": (manifest_dependencies, _expect(DIRECT, "path, ecosystem, name, spec, resolved, dev, source, line")),
     "manifest_locked": (manifest_locked, _expect(LOCKED, "path, ecosystem, name, version, dev, public_registry")),
     "transitive_packages": (transitive_packages, f"WITH {_D} SELECT DISTINCT ecosystem, name, version FROM l WHERE (ecosystem, name) NOT IN (SELECT (ecosystem, name) FROM d)"),

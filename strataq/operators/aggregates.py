@@ -78,7 +78,8 @@ def tree_rollup(files: DataFrame) -> DataFrame:
     return d.groupBy("directory").agg(F.sum("size").alias("size"), F.count("*").alias("files")).withColumn("depth", depth)
 
 
-WORKSPACES = ("apps", "packages", "services", "libs", "modules", "crates", "plugins")
+# First directories that hold several packages.
+WORKSPACES = ("packages", "apps", "services", "libs", "modules", "projects")
 
 
 def top_directories(files: DataFrame, most: int = 50) -> DataFrame:

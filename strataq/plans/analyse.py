@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import rank_of, threshold_severity
+from ..functions.rules import catalogue
 from ..functions.text import LAYER_ORDER, infer_layer, line_count
 from ..operators import aggregates, dependency_rules, graph, joins, practice_rules, query, resolve, score, secret_rules
-from ..sources import brace_code, files, manifests, practices, python_code
+from ..sources import brace_code, files, manifests, practices, python_code, tooling
 from ..sources.parse import parsed
 from .scratch import Scratch
 
 MODULES = ("code", "security", "dependencies", "architecture", "practices")
-CATEGORY = {"quality": "CODE_QUALITY", "secret": "SECRET", "injection": "SECURITY", "unsafe": "SECURITY", "crypto": "SECURITY", "memory": "SECURITY", "config": "SECURITY", "dependency": "DEPENDENCY", "architecture": "ARCHITECTURE", "api": "API", "database": "DATABASE", "testing": "TESTING", "documentation": "DOCUMENTATION"}
 MOST_KEPT = 5000
 
 
@@ -25,11 +25,14 @@ def _raw(df: DataFrame, module: str) -> DataFrame:
     return df.select("rule_id", "severity", has("path", "string").alias("path"), has("line", "int").alias("line"), has("evidence", "string").alias("evidence"), F.coalesce(has("key", "string"), has("evidence", "string"), F.lit("")).alias("key"), F.lit(module).alias("module"))
 
 
-def _threshold_findings(functions: DataFrame, metrics: DataFrame) -> DataFrame:
-    rules = (("high-cyclomatic", "complexity", "complexity"), ("deep-nesting", "nesting", "nesting"), ("long-parameter-list", "parameters", "parameters"))
-    out = [functions.select(F.lit(f"quality/{rule}").alias("rule_id"), threshold_severity(F.col(c), m).alias("severity"), "path", "line", F.concat_ws(" ", "name", F.col(c).cast("string")).alias("evidence"), F.col("name").alias("key")) for rule, c, m in rules]
-    out.append(functions.select(F.lit("quality/long-function"), threshold_severity(F.col("end_line") - F.col("line") + 1, "function_lines"), "path", "line", F.col("name"), F.col("name")))
-    out.append(metrics.select(F.lit("quality/large-file"), threshold_severity(F.col("code_lines"), "file_lines"), "path", F.lit(1), F.col("code_lines").cast("string"), F.lit("file")))
+def _threshold_findings(functions: DataFrame, metrics: DataFrame, symbols: DataFrame) -> DataFrame:
+    rules = (("complexity/high-cyclomatic", "complexity", "complexity"), ("complexity/deep-nesting", "nesting", "nesting"), ("smell/long-parameter-list", "parameters", "parameters"))
+    out = [functions.select(F.lit(rule).alias("rule_id"), threshold_severity(F.col(c), m).alias("severity"), "path", "line", F.concat_ws(" ", "name", F.col(c).cast("string")).alias("evidence"), F.col("name").alias("key")) for rule, c, m in rules]
+    out.append(functions.select(F.lit("size/long-function"), threshold_severity(F.col("end_line") - F.col("line") + 1, "function_lines"), "path", "line", F.col("name"), F.col("name")))
+    methods = symbols.where("kind = 'method'").groupBy("path", F.col("parent").alias("name")).agg(F.count("*").alias("methods"))
+    classes = symbols.where("kind = 'class'").select("path", "name", "line").join(methods, ["path", "name"])
+    out.append(classes.select(F.lit("smell/god-class"), threshold_severity(F.col("methods"), "class_methods"), "path", "line", F.concat_ws(" ", "name", F.col("methods").cast("string")), F.col("name")))
+    out.append(metrics.select(F.lit("size/large-file"), threshold_severity(F.col("code_lines"), "file_lines"), "path", F.lit(1), F.col("code_lines").cast("string"), F.lit("file")))
     return reduce(DataFrame.union, out).where("severity is not null")
 
 
@@ -44,6 +47,8 @@ def analyse(spark: SparkSession, root: str, advisories: DataFrame | None = None,
     metrics = s.save(parsed(python, python_code.metrics, python_code.METRICS).select(*shared).union(parsed(braces, brace_code.metrics, brace_code.METRICS).select(*shared)), "metrics")
     span = ["path", "name", "line", "end_line", "complexity", "nesting", "parameters"]
     functions = s.save(parsed(python, python_code.functions, python_code.FUNCTIONS).select(*span).union(parsed(braces, brace_code.functions, brace_code.FUNCTIONS).select(*span)), "functions")
+    tools = parsed(inventory.select("path", F.coalesce("text", F.lit("")).alias("text")), tooling.detections, tooling.DETECTIONS).union(parsed(inventory, tooling.frameworks, tooling.DETECTIONS))
+    runtimes = parsed(inventory, tooling.runtimes, tooling.RUNTIMES)
     name = ["path", "name", "kind", "parent", "exported", "line"]
     symbols = s.save(parsed(python, python_code.symbols, python_code.SYMBOLS).select(*name).union(parsed(braces.where(F.col("language").isin("javascript", "typescript")), brace_code.symbols, brace_code.SYMBOLS).select(*name)), "symbols")
 
@@ -75,7 +80,7 @@ def analyse(spark: SparkSession, root: str, advisories: DataFrame | None = None,
     schema = parsed(texts.where(F.col("path").rlike(r"\.(?:sql|prisma)$")), practices.schema, practices.SCHEMA)
     documentation = texts.where("kind = 'DOCUMENTATION'")
     found = [
-        _raw(_threshold_findings(functions, metrics), "code"),
+        _raw(_threshold_findings(functions, metrics, symbols), "code"),
         _raw(parsed(python, python_code.quality, python_code.FINDINGS), "code"),
         _raw(parsed(braces, brace_code.findings, brace_code.FINDINGS), "code"),
         _raw(parsed(python, python_code.insecure, python_code.FINDINGS), "security"),
@@ -93,8 +98,7 @@ def analyse(spark: SparkSession, root: str, advisories: DataFrame | None = None,
         hits = dependency_rules.fixed_versions(dependency_rules.advisory_matches(resolved, advisories))
         found.append(_raw(hits.select(F.lit("dependency/known-vulnerability").alias("rule_id"), "severity", "path", F.concat_ws(" ", "name", F.array_join("advisories", ",")).alias("evidence")), "dependencies"))
     union = reduce(DataFrame.unionByName, found).withColumn("module_order", F.array_position(F.array(*map(F.lit, MODULES)), F.col("module")))
-    category = F.element_at(F.create_map(*[F.lit(x) for kv in CATEGORY.items() for x in kv]), F.substring_index("rule_id", "/", 1))
-    union = union.withColumn("category", category).withColumn("type", F.substring_index("rule_id", "/", -1)).withColumn("emit_order", F.struct("module_order", "line", "evidence"))
+    union = union.join(F.broadcast(catalogue(spark)), "rule_id").withColumn("emit_order", F.struct("module_order", "line", "evidence"))
     findings = s.save(query.with_fingerprints(union).drop("emit_order", "module_order"), "findings")
 
     lines_of_code = metrics.join(inventory.where("kind = 'SOURCE'").select("path"), "path", "left_semi").agg(F.coalesce(F.sum("code_lines"), F.lit(0)).alias("lines"))
@@ -103,7 +107,7 @@ def analyse(spark: SparkSession, root: str, advisories: DataFrame | None = None,
     none = spark.createDataFrame([], "fingerprint string") if excluded is None else excluded
     health = score.health(findings.withColumn("subject", F.lit(root)), subjects, none)
     summary = findings.agg(F.count("*").alias("findings"), F.lit(truncated).alias("truncated"), (F.count("*") > MOST_KEPT).alias("findings_truncated"))
-    return {"files": inventory.drop("text"), "metrics": metrics, "functions": functions, "symbols": symbols, "imports": imports, "edges": edges, "dependencies": resolved, "locked": locked, "endpoints": endpoints, "findings": findings, "health": health, "summary": summary}
+    return {"files": inventory.drop("text"), "metrics": metrics, "functions": functions, "symbols": symbols, "imports": imports, "edges": edges, "dependencies": resolved, "locked": locked, "endpoints": endpoints, "tools": tools, "runtimes": runtimes, "findings": findings, "health": health, "summary": summary}
 
 
 def write(tables: dict[str, DataFrame], folder: str, analysis_id: str) -> None:

@@ -228,16 +228,16 @@ def findings(path: str, text: str) -> list[tuple]:
             emit(m.start(), rule, severity, m.group()[:40], True)
     plain = blanked(text)
     for m in re.finditer(r"(?m)^\s*debugger\s*;?", plain) if group == "js" else ():
-        emit(m.end() - 1, "quality/debugger", "LOW", "debugger", False)
+        emit(m.end() - 1, "smell/debugger-statement", "LOW", "debugger", False)
     for m in re.finditer(r"\bcatch\s*(?:\([^)]*\))?\s*\{\s*\}", plain):
-        emit(m.start(), "quality/empty-catch", "MEDIUM", "catch", False)
+        emit(m.start(), "smell/empty-catch", "MEDIUM", "catch", False)
     if group == "js":
         for m in re.finditer(r"(?m)^\s*import\s+(?:type\s+)?(?:([A-Za-z_$][\w$]*)\s*,?\s*)?(?:\*\s+as\s+([\w$]+)|\{([^}]*)\})?\s*from\b", plain):
             names = [m.group(1), m.group(2), *(re.split(r"\s+as\s+", x.strip())[-1].removeprefix("type ").strip() for x in (m.group(3) or "").split(","))]
             for name in filter(None, names):
                 if not re.search(rf"(?<![\w$.]){re.escape(name)}(?![\w$])", plain[: m.start()] + plain[m.end() :]):
-                    emit(m.start() + len(m.group()) - len(m.group().lstrip()), "quality/unused-import", "LOW", name, True)
+                    emit(m.start() + len(m.group()) - len(m.group().lstrip()), "dead-code/unused-import", "LOW", name, True)
     marks = [t for t in lex(text) if t.kind == "comment" and _TODO.search(t.text)]
     for t in marks[:MOST_TODO]:
-        out.append((path, "quality/todo", "INFO", t.line + t.text[: _TODO.search(t.text).start()].count("\n"), lines[t.line - 1].strip()[:160], _TODO.search(t.text).group(), False))
+        out.append((path, "smell/todo-comment", "INFO", t.line + t.text[: _TODO.search(t.text).start()].count("\n"), lines[t.line - 1].strip()[:160], _TODO.search(t.text).group(), False))
     return sorted(set(out), key=lambda r: (r[3], r[1], r[5]))

@@ -249,7 +249,7 @@ def quality(path: str, text: str) -> list[tuple]:
     lines, out = text.split("\n"), []
 
     def emit(line: int, rule: str, severity: str, key: str) -> None:
-        out.append((path, f"quality/{rule}", severity, line, lines[line - 1].strip()[:160], key))
+        out.append((path, rule, severity, line, lines[line - 1].strip()[:160], key))
 
     used = {n.id for n in ast.walk(tree) if isinstance(n, ast.Name)} | {n.value.id for n in ast.walk(tree) if isinstance(n, ast.Attribute) and isinstance(n.value, ast.Name)}
     attributes = {n.attr for n in ast.walk(tree) if isinstance(n, ast.Attribute)}
@@ -257,23 +257,23 @@ def quality(path: str, text: str) -> list[tuple]:
     if not path.endswith("__init__.py"):
         for _, spec, name, alias, line in imports(path, text):
             if alias not in used and alias not in texts and name != "*" and spec != "__future__":
-                emit(line, "unused-import", "LOW", alias)
+                emit(line, "dead-code/unused-import", "LOW", alias)
     for n in ast.walk(tree):
         if isinstance(n, _FUNCTIONS) and n.name.startswith("_") and not n.name.startswith("__") and n.name not in used | attributes | texts:
-            emit(n.lineno, "unused-private", "LOW", n.name)
+            emit(n.lineno, "dead-code/unused-private", "LOW", n.name)
         if isinstance(n, ast.ExceptHandler):
             if n.type is None:
-                emit(n.lineno, "bare-except", "MEDIUM", "except")
+                emit(n.lineno, "smell/bare-except", "MEDIUM", "except")
             if all(isinstance(s, ast.Pass) for s in n.body):
-                emit(n.lineno, "empty-catch", "MEDIUM", "pass")
+                emit(n.lineno, "smell/empty-catch", "MEDIUM", "pass")
         if isinstance(n, ast.Call) and _name(n.func) in ("breakpoint", "pdb.set_trace", "ipdb.set_trace"):
-            emit(n.lineno, "debugger", "LOW", _name(n.func))
+            emit(n.lineno, "smell/debugger-statement", "LOW", _name(n.func))
         for body in (getattr(n, f, None) for f in ("body", "orelse", "finalbody")):
             if isinstance(body, list):
                 ends = next((i for i, s in enumerate(body) if isinstance(s, (ast.Return, ast.Raise, ast.Break, ast.Continue))), None)
                 if ends is not None and ends + 1 < len(body):
-                    emit(body[ends + 1].lineno, "unreachable", "MEDIUM", type(body[ends]).__name__.lower())
+                    emit(body[ends + 1].lineno, "dead-code/unreachable", "MEDIUM", type(body[ends]).__name__.lower())
     marks = [i for i, x in enumerate(lines, 1) if "#" in x and _TODO.search(x.split("#", 1)[1])]
     for i in marks[:MOST_TODO]:
-        emit(i, "todo", "INFO", _TODO.search(lines[i - 1]).group())
+        emit(i, "smell/todo-comment", "INFO", _TODO.search(lines[i - 1]).group())
     return sorted(set(out), key=lambda r: (r[3], r[1], r[5]))

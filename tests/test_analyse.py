@@ -44,7 +44,7 @@ def test_service(spark, tree):
     t = analyse(spark, tree(SERVICE), advisories)
     got = {(r["rule_id"], r["path"]) for r in t["findings"].collect()}
     for want in [
-        ("injection/os-command", "app/db.py"), ("injection/sql", "app/db.py"), ("secret/hardcoded-credential", "app/db.py"), ("quality/unused-import", "app/main.py"), ("api/unauthenticated-mutation", "app/main.py"), ("api/missing-input-validation", "app/main.py"),
+        ("injection/os-command", "app/db.py"), ("injection/sql", "app/db.py"), ("secret/hardcoded-credential", "app/db.py"), ("dead-code/unused-import", "app/main.py"), ("api/unauthenticated-mutation", "app/main.py"), ("api/missing-input-validation", "app/main.py"),
         ("injection/dynamic-code-execution", "web/b.ts"), ("architecture/circular-dependency", "web/a.ts"), ("architecture/circular-dependency", "app/db.py"), ("database/unindexed-foreign-key", "db/schema.sql"), ("dependency/unpinned-version", "requirements.txt"), ("dependency/missing-lockfile", "requirements.txt"),
         ("secret/committed-env-file", ".env"), ("documentation/missing-readme", None), ("documentation/missing-license", None), ("documentation/broken-link", "docs/x.md"),
     ]:
