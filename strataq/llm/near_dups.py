@@ -281,7 +281,7 @@ class Linker:
         # what still lies in different components, block against block
         rows = buckets.where("n > 2").join(labels, F.col("rep") == F.col("node"), "left").select("band", "place", "rep", "n", F.coalesce("component", "rep").alias("comp"))
         mixed = rows.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-        rows = self.scratch.save(rows.join(mixed, "band", "left_semi"), "mixed")
+        rows = live = self.scratch.save(rows.join(mixed, "band", "left_semi"), "mixed")
         parts = F.ceil(F.col("n") / BLOCK).cast("int")
         rows = rows.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
         block = [F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), (F.col("part") > F.col("other")).cast("int").alias("side")]
@@ -293,9 +293,11 @@ class Linker:
         exact = found.join(self.side("rep", "shingles"), "rep").select(*by, "side", "rep", "comp", F.col("shingles_rep").alias("shingles"))
         more = exact.repartition(*by).sortWithinPartitions(*by).mapInArrow(exact_links(self.percent), "a long, b long")
         more = self.scratch.save(more, "links")
-        if more.isEmpty():
-            return labels
-        return self.scratch.save(components(links.union(more), self.scratch), "labels")
+        if not more.isEmpty():
+            before, labels = labels, self.scratch.save(components(links.union(more), self.scratch), "labels")
+            self.scratch.drop(before)
+        self.scratch.drop(star, links, live, found, more)
+        return labels
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -319,6 +321,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 5, percent: i
     reps = reps.select("doc_id", "n_shingles", "sketch", "bands").dropDuplicates(["doc_id"])
     reps = scratch.save(reps.join(sets, "doc_id"), "candidates")
     labels = Linker(reps, scratch, percent).run(buckets)
+    scratch.drop(buckets, reps)
     named = classes.withColumnRenamed("n_shingles", "n").join(labels, F.col("rep") == F.col("node"), "left")
     named = named.select("k1", "k2", "n", F.coalesce("component", "rep").alias("rep"))
     s = sig.select("doc_id", "n_shingles", "k1", "k2")
