@@ -59,6 +59,10 @@ def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return symbols.astype(np.uint32), scaled.astype(np.uint32), at.astype(np.uint32)
 
 
+#: A prediction's probability moves towards one of these, so order 0 keeps 2**16 units of the mixture and no id an empty interval.
+RARE, SURE = 16, 15 << 12
+
+
 class Mixer:
     """The models of all blocks of a segment, one lane each; `weights` before an id, `update` after it."""
 
@@ -66,41 +70,59 @@ class Mixer:
         self.t1, self.t2 = np.zeros(lanes * SLOTS1, np.uint32), np.zeros(lanes * SLOTS2, np.uint32)  # symbol + 1, confidence
         start = (np.arange(CONFIDENT + 1, dtype=np.float64) + 0.5) / (CONFIDENT + 3) * (1 << 16)
         start[0] = 64
-        self.p1, self.p2 = np.tile(start.astype(np.int32), lanes), np.tile(start.astype(np.int32), lanes)
+        self.p1, self.p2 = np.tile(start.astype(np.int64), lanes), np.tile(start.astype(np.int64), lanes)
         lane = np.arange(lanes, dtype=np.int64)
         self.base1, self.base2, self.base_p = lane * SLOTS1, lane * SLOTS2, lane * (CONFIDENT + 1)
         self.last, self.last2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
 
     def weights(self, n: int):
         """Predicted symbols (plus one) of orders 2 and 1 and their shares of the mixture, for the first n lanes."""
-        one, two = self.last[:n], self.last2[:n]
-        h = one * np.uint32(0x9E3779B1)
+        h = self.last[:n] * np.uint32(0x9E3779B1)
         self.i1 = self.base1[:n] + (h >> np.uint32(20))
-        self.i2 = self.base2[:n] + ((h ^ (two * np.uint32(0x85EBCA6B))) >> np.uint32(19))
-        self.e1, self.e2 = self.t1[self.i1], self.t2[self.i2]
+        self.i2 = self.base2[:n] + ((h ^ (self.last2[:n] * np.uint32(0x85EBCA6B))) >> np.uint32(19))
+        self.e1, self.e2 = self.t1.take(self.i1), self.t2.take(self.i2)
         self.s1, self.s2 = self.e1 >> np.uint32(4), self.e2 >> np.uint32(4)
-        self.j1, self.j2 = self.base_p[:n] + (self.e1 & np.uint32(15)), self.base_p[:n] + (self.e2 & np.uint32(15))
-        self.q1, self.q2 = self.p1[self.j1], self.p2[self.j2]
+        self.c1, self.c2 = self.e1 & np.uint32(15), self.e2 & np.uint32(15)
+        self.j1, self.j2 = self.base_p[:n] + self.c1, self.base_p[:n] + self.c2
+        self.q1, self.q2 = self.p1.take(self.j1), self.p2.take(self.j2)
         w2 = self.q2 << 8
-        w1 = (((1 << BITS) - w2) >> 12) * self.q1 >> 4
-        w1[self.s1 == self.s2] = 0
+        w1 = (((1 << BITS) - w2) * self.q1 >> 16) * (self.s1 != self.s2)
         return w2, w1
 
     def update(self, n: int, symbol: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        """symbol: plus one. Probabilities stay within [1/4096, 15/16], so order 0 keeps at least 2**16 units of the mixture
-        and no id an empty interval."""
-        self.p2[self.j2] = np.clip(self.q2 + ((hit2.astype(np.int32) << 16) - self.q2 >> 4), 16, 15 << 12)
-        self.p1[self.j1] = np.where(hit2, self.q1, np.clip(self.q1 + ((hit1.astype(np.int32) << 16) - self.q1 >> 4), 16, 15 << 12))
+        """symbol: plus one. Order 1 learns only where order 2 failed, as its weight is a share of what order 2 leaves."""
+        self.p2[self.j2] = self.q2 + (hit2 * (SURE - RARE) + RARE - self.q2 >> 4)
+        moved = hit1 * (SURE - RARE) + RARE - self.q1 >> 4
+        moved[hit2] = 0
+        self.p1[self.j1] = self.q1 + moved
         new = symbol << np.uint32(4) | np.uint32(1)
-        more = np.uint32(1)
-        self.t2[self.i2] = np.where(hit2, self.e2 + more * ((self.e2 & np.uint32(15)) < CONFIDENT), new)
-        self.t1[self.i1] = np.where(hit1, self.e1 + more * ((self.e1 & np.uint32(15)) < CONFIDENT), new)
+        self.t2[self.i2] = np.where(hit2, self.e2 + (self.c2 < CONFIDENT), new)
+        self.t1[self.i1] = np.where(hit1, self.e1 + (self.c1 < CONFIDENT), new)
         self.last2[:n] = self.last[:n]
         self.last[:n] = symbol
 
 
-def _order0(cum: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    return cum.astype(np.int64) * rest >> COUNTS
+def _interval(c: np.ndarray, f: np.ndarray, w2: np.ndarray, both: np.ndarray, hit2: np.ndarray, by1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, size) of an id in the mixture: order 2 lies first, then order 1, then all ids by their counts (c before it, f)."""
+    rest = (1 << BITS) - both
+    begin = c * rest >> COUNTS
+    size = ((c + f) * rest >> COUNTS) - begin
+    begin += both
+    np.copyto(begin, w2, where=by1)
+    np.copyto(size, both - w2, where=by1)
+    begin[hit2] = 0
+    np.copyto(size, w2, where=hit2)
+    return begin, size
+
+
+def _settled(lw: np.ndarray, sp: np.ndarray) -> np.ndarray:
+    """Lanes whose upper 32 bits can't change any more; a range that is too small is cut so that its are."""
+    agree = (lw ^ (lw + sp)) < U(1 << 32)
+    shrink = ~agree & (sp < U(1 << 32))
+    if shrink.any():
+        sp[shrink] = (~lw[shrink] + U(1)) & U(0xFFFFFFFF)
+        agree |= shrink
+    return np.flatnonzero(agree)
 
 
 def encode_blocks(at: np.ndarray, scaled: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -110,7 +132,8 @@ def encode_blocks(at: np.ndarray, scaled: np.ndarray) -> tuple[np.ndarray, list[
     grid[: len(at)] = at
     grid = np.ascontiguousarray(grid.reshape(lanes, BLOCK).T)  # a row for each step
     short = len(at) - (lanes - 1) * BLOCK
-    cum = np.concatenate([[0], np.cumsum(scaled)]).astype(np.int64)
+    count = scaled.astype(np.int64)
+    cum = np.cumsum(count) - count
     mixer = Mixer(lanes)
     low, span = np.zeros(lanes, U), np.full(lanes, 2**64 - 1, U)
     out, used = np.zeros((lanes, BLOCK + 4), np.uint32), np.zeros(lanes, np.int64)
@@ -122,27 +145,18 @@ def encode_blocks(at: np.ndarray, scaled: np.ndarray) -> tuple[np.ndarray, list[
         symbol = x + np.uint32(1)
         w2, w1 = mixer.weights(n)
         hit2, hit1 = mixer.s2 == symbol, mixer.s1 == symbol
-        both = w2 + w1
-        rest = ((1 << BITS) - both).astype(np.int64)
-        lo, hi = _order0(cum[x], rest) + both, _order0(cum[x + 1], rest) + both
-        by1 = hit1 & ~hit2
-        lo, hi = np.where(by1, w2, lo), np.where(by1, both, hi)
-        lo, hi = np.where(hit2, 0, lo), np.where(hit2, w2, hi)
+        begin, size = _interval(cum.take(x), count.take(x), w2, w2 + w1, hit2, hit1 & ~hit2)
         mixer.update(n, symbol, hit2, hit1)
         unit = span[:n] >> U(BITS)
-        lw, sp = low[:n] + unit * lo.astype(U), unit * (hi - lo).astype(U)
-        agree = (lw ^ (lw + sp)) >> U(32) == 0
-        shrink = ~agree & (sp < U(1 << 32))
-        if shrink.any():
-            sp[shrink] = (~lw[shrink] + U(1)) & U(0xFFFFFFFF)
-            agree |= shrink
-        if agree.any():
-            k = np.flatnonzero(agree)
+        lw, sp = low[:n], span[:n]
+        lw += unit * begin.view(U)
+        np.multiply(unit, size.view(U), out=sp)
+        k = _settled(lw, sp)
+        if len(k):
             out[k, used[k]] = lw[k] >> U(32)
             used[k] += 1
             lw[k] <<= U(32)
             sp[k] <<= U(32)
-        low[:n], span[:n] = lw, sp
     k = np.arange(lanes)
     for _ in range(2):
         out[k, used] = low >> U(32)
@@ -155,14 +169,15 @@ def decode_blocks(total: int, scaled: np.ndarray, used: np.ndarray, words: np.nd
     """The inverse: `total` symbol numbers from the blocks' code words, one after another in `words`."""
     lanes = len(used)
     short = total - (lanes - 1) * BLOCK
-    cum = np.concatenate([[0], np.cumsum(scaled)]).astype(np.int64)
+    count = scaled.astype(np.int64)
+    cum = np.cumsum(count) - count
     look = np.repeat(np.arange(len(scaled), dtype=np.uint32), scaled)
     mixer = Mixer(lanes)
     ends = np.cumsum(used)
     read = ends - used
-    words = np.concatenate([words.astype(U), np.zeros(2, U)])
+    words = np.concatenate([words, np.zeros(2, np.uint32)])
     low, span = np.zeros(lanes, U), np.full(lanes, 2**64 - 1, U)
-    code = (words[read] << U(32)) | words[read + 1]
+    code = (words[read].astype(U) << U(32)) | words[read + 1]
     read = read + 2
     grid = np.zeros((BLOCK, lanes), np.uint32)
     for t in range(min(BLOCK, total)):
@@ -171,32 +186,26 @@ def decode_blocks(total: int, scaled: np.ndarray, used: np.ndarray, words: np.nd
             break
         w2, w1 = mixer.weights(n)
         both = w2 + w1
-        rest = ((1 << BITS) - both).astype(np.int64)
-        unit = span[:n] >> U(BITS)
-        v = np.minimum((code[:n] - low[:n]) // unit, U((1 << BITS) - 1)).astype(np.int64)
-        hit2, in1 = v < w2, v < both
-        found = (((np.maximum(v - both, 0) + 1) << COUNTS) - 1) // rest
-        x = look[found]
-        lo, hi = _order0(cum[x], rest) + both, _order0(cum[x + 1], rest) + both
-        by1 = in1 & ~hit2
-        symbol = np.where(hit2, mixer.s2, np.where(by1, mixer.s1, x + np.uint32(1)))
-        lo, hi = np.where(by1, w2, lo), np.where(by1, both, hi)
-        lo, hi = np.where(hit2, 0, lo), np.where(hit2, w2, hi)
+        lw, sp = low[:n], span[:n]
+        unit = sp >> U(BITS)
+        v = np.minimum((code[:n] - lw) // unit, U((1 << BITS) - 1)).view(np.int64)
+        hit2, by1 = v < w2, v < both
+        by1 &= ~hit2
+        x = look.take((((np.maximum(v - both, 0) + 1) << COUNTS) - 1) // ((1 << BITS) - both))
+        begin, size = _interval(cum.take(x), count.take(x), w2, both, hit2, by1)
+        symbol = x + np.uint32(1)
+        np.copyto(symbol, mixer.s1, where=by1)
+        np.copyto(symbol, mixer.s2, where=hit2)
         mixer.update(n, symbol, hit2, mixer.s1 == symbol)
-        grid[t, :n] = symbol - np.uint32(1)
-        lw, sp = low[:n] + unit * lo.astype(U), unit * (hi - lo).astype(U)
-        agree = (lw ^ (lw + sp)) >> U(32) == 0
-        shrink = ~agree & (sp < U(1 << 32))
-        if shrink.any():
-            sp[shrink] = (~lw[shrink] + U(1)) & U(0xFFFFFFFF)
-            agree |= shrink
-        if agree.any():
-            k = np.flatnonzero(agree)
+        np.subtract(symbol, np.uint32(1), out=grid[t, :n])
+        lw += unit * begin.view(U)
+        np.multiply(unit, size.view(U), out=sp)
+        k = _settled(lw, sp)
+        if len(k):
             lw[k] <<= U(32)
             sp[k] <<= U(32)
             code[k] = (code[k] << U(32)) | words[read[k]]
             read[k] += 1
-        low[:n], span[:n] = lw, sp
     return np.ascontiguousarray(grid.T).ravel()[:total]
 
 
@@ -214,10 +223,17 @@ def pack_segment(ids: np.ndarray, docs: list[tuple[int, int, int]]) -> bytes:
 
 
 def read_segment(f) -> tuple[np.ndarray, np.ndarray] | None:
-    """(ids, docs) of the next segment, None at the end; a block whose checksum is wrong raises."""
+    """(ids, docs) of the next segment, None at the end; damage anywhere in it raises ValueError."""
     head = f.read(HEADER.size)
     if not head:
         return None
+    try:
+        return _read(f, head)
+    except (zlib.error, struct.error, IndexError) as e:
+        raise ValueError("damaged segment") from e
+
+
+def _read(f, head: bytes) -> tuple[np.ndarray, np.ndarray]:
     total, n_docs, n_blocks, *sizes = HEADER.unpack(head)
     part = [f.read(k) for k in sizes]
     symbols = np.cumsum(np.frombuffer(zlib.decompress(part[0]), "<u4"), dtype=np.uint32)
