@@ -16,6 +16,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: At most so many languages are learned, those with the most texts.
+LANGUAGES = 64
 SLOTS, DICTIONARY_BYTES, SAMPLE_CHARS = 256, 200 * 1024, 4000
 CHUNK, LEVEL, MARGIN, SHARPNESS = 4096, 6, 0.01, 60.0
 
@@ -28,10 +30,12 @@ def fit_dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     d = docs.select(F.xxhash64(id_col).alias("hash"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     d = d.where("lang is not null and text is not null")
+    top = d.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
+    d = d.join(F.broadcast(top), "lang")
     picked = d.groupBy("lang", F.pmod("hash", F.lit(SLOTS)).alias("slot")).agg(F.min("hash").alias("hash"))
     sample = d.join(F.broadcast(picked.select("lang", "hash")), ["lang", "hash"]).select("lang", "hash", F.lower(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))
     texts: dict[str, list[tuple[int, str]]] = {}
-    for row in sample.collect():  # at most SLOTS rows a language
+    for row in sample.collect():  # at most LANGUAGES * SLOTS rows
         texts.setdefault(row["lang"], []).append((row["hash"], row["text"]))
     out = {}
     for lang, rows in sorted(texts.items()):
