@@ -23,8 +23,9 @@ CHUNK, LEVEL, MARGIN, SHARPNESS = 4096, 6, 0.01, 60.0
 
 
 def fit_dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """Raw-content dictionaries by language, from a bounded sample of labelled rows: at most SLOTS texts a language (of
-    each of SLOTS id-hash classes the smallest hash), SAMPLE_CHARS characters of each, DICTIONARY_BYTES in all.
+    """Raw-content dictionaries by language, from a bounded sample of labelled rows: at most LANGUAGES languages, SLOTS
+    texts of each (of each of SLOTS id-hash classes the smallest hash), SAMPLE_CHARS characters of a text and
+    DICTIONARY_BYTES of a language. So at most LANGUAGES * SLOTS hashes are sent out, and as many texts come back.
 
     Rows with null text or language teach nothing.
     """
