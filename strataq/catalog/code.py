@@ -161,11 +161,15 @@ def advisory_join(spark, sf_dir):
     return m.select("path", "name", "resolved", F.array_join("advisories", ",").alias("advisories"), "severity", "fixed")
 
 
-HYGIENE = [("dependency/unpinned-version", "package.json", "any", "LOW", "*"), ("dependency/unpinned-version", "requirements-dev.txt", "requests", "LOW", ">=2.0"), ("dependency/unpinned-version", "pyproject.toml", "httpx", "LOW", ">=0.2"), ("dependency/unpinned-version", "pyproject.toml", "pytest", "LOW", None), ("dependency/non-registry-source", "package.json", "far", "LOW", "git+https://<redacted>@h/x"), ("dependency/non-registry-source", "requirements-dev.txt", "my-pkg", "LOW", "git+https://h/x#egg=My_Pkg")]
+HYGIENE = [
+    ("dependency/unpinned-version", "package.json", "any", "INFO", "*"), ("dependency/unpinned-version", "pyproject.toml", "pytest", "INFO", None), ("dependency/unpinned-version", "build.gradle", "j:k", "INFO", "4.+"),
+    ("dependency/non-registry-source", "package.json", "far", "LOW", "git+https://<redacted>@h/x"), ("dependency/non-registry-source", "requirements-dev.txt", "my-pkg", "LOW", "git+https://h/x#egg=My_Pkg"),
+]
 
 
 def dependency_hygiene(spark, sf_dir):
-    return dependency_rules.hygiene(manifest_dependencies(spark, sf_dir), manifest_locked(spark, sf_dir))
+    locked = manifest_locked(spark, sf_dir)
+    return dependency_rules.hygiene(dependency_rules.resolved_by_lock(manifest_dependencies(spark, sf_dir), locked), locked)
 
 
 def unused_dependencies(spark, sf_dir):
@@ -231,7 +235,7 @@ SCHEMA_FILES = [
 
 def fk_index_cover(spark, sf_dir):
     s = parsed(inline(spark, SCHEMA_FILES, "path string, text string"), practices.schema, practices.SCHEMA)
-    return practice_rules.database_findings(s).select("rule_id", "path", "line", "evidence")
+    return practice_rules.database_findings(s, has_migrations=False).select("rule_id", "path", "line", "evidence")
 
 
 REPORTS = [("lcov.info", "SF:a\nLF:10\nLH:7\nend_of_record\nLF:30\nLH:28\n"), ("coverage-summary.json", '{"total": {"lines": {"pct": 81.25}}}'), ("coverage.json", '{"totals": {"percent_covered": 66.66}}'), ("cobertura.xml", '<coverage version="1" line-rate="0.915">'), ("jacoco.xml", '<counter type="LINE" missed="9" covered="1"/><counter type="LINE" missed="25" covered="75"/>'), ("bad.json", "{")]
@@ -428,7 +432,7 @@ QUERIES = {
     "endpoint_summary": (endpoint_summary, ENDPOINT_SUMMARY),
     "api_rules": (api_rules, _expect([("api/unauthenticated-mutation", 4), ("api/missing-input-validation", 2), ("api/auth-without-rate-limit", 1), ("api/no-specification", 1)], "rule_id, n")),
     "cors_rules": (cors_rules, _expect([("api/users.js", "api/permissive-cors", "MEDIUM", 8)], "path, rule_id, severity, line")),
-    "fk_index_cover": (fk_index_cover, _expect([("database/unindexed-foreign-key", "db/a.sql", 8, "orders.shop_id,region"), ("database/unindexed-foreign-key", "db/b.prisma", 4, "post.authorid"), ("database/table-without-primary-key", "db/a.sql", 11, "log")], "rule_id, path, line, evidence")),
+    "fk_index_cover": (fk_index_cover, _expect([("database/unindexed-foreign-key", "db/a.sql", 8, "orders.shop_id,region"), ("database/unindexed-foreign-key", "db/b.prisma", 4, "post.authorid"), ("database/table-without-primary-key", "db/a.sql", 11, "log"), ("database/no-migrations", "db/b.prisma", None, "1 models")], "rule_id, path, line, evidence")),
     "coverage_parse": (coverage_parse, _expect(COVERED, "path, format, percent")),
     "documentation_rules": (documentation_rules, _expect(DOCUMENTED, "rule_id, path, evidence")),
     "testing_rules": (testing_rules, _expect(TESTED, "rule_id, severity, path")),

@@ -217,8 +217,9 @@ def python_name(name: Column) -> Column:
 
 
 def npm_package_of(specifier: Column) -> Column:
-    """The package that an import specifier belongs to."""
-    return F.regexp_extract(specifier, r"^(@[^/]+/[^/]+|[^/]+)", 1)
+    """The package that an import specifier belongs to; null for paths, addresses and scopes alone."""
+    found = F.regexp_extract(specifier, r"^(@[^/]+/[^/]+|[^@/][^/]*)", 1)
+    return F.when((found != "") & ~specifier.rlike(r"^[./]|^[A-Za-z][A-Za-z0-9+.-]*:"), found)
 
 
 def redact_spec(spec: Column) -> Column:
@@ -226,10 +227,13 @@ def redact_spec(spec: Column) -> Column:
     return F.regexp_replace(spec, r"://[^/@\s]+@", "://<redacted>@")
 
 
-def is_unpinned(spec: Column) -> Column:
-    """Any version will do: empty, *, x, latest, or a lower bound alone."""
-    s = F.lower(F.trim(F.coalesce(spec, F.lit(""))))
-    return s.isin("", "*", "x", "latest", "any") | s.rlike(r"^>=?\s*[0-9][^,<|\s]*$")
+def is_unpinned(spec: Column, ecosystem: Column) -> Column:
+    """Whether any version will do, by the ecosystem's own words for it."""
+    s = F.trim(F.coalesce(spec, F.lit("")))
+    return (
+        F.when(ecosystem == "npm", s.isin("", "*", "latest", "x")).when(ecosystem == "PyPI", s.isin("", "*"))
+        .when(ecosystem == "Maven", (s == "") | s.rlike(r"(?i)^(?:LATEST|RELEASE|latest\.\w+)$") | s.endswith("+")).when(ecosystem == "crates.io", s == "*").otherwise(False)
+    )
 
 
 def repository_url(url: Column) -> Column:

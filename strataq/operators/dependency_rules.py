@@ -15,10 +15,6 @@ def transitive(locked: DataFrame, direct: DataFrame) -> DataFrame:
     return locked.dropDuplicates(["ecosystem", "name", "version"]).join(direct.select("ecosystem", "name").distinct(), ["ecosystem", "name"], "left_anti")
 
 
-#: Ecosystems whose manifests come with a lock file.
-LOCKING = ("npm", "PyPI", "crates.io")
-
-
 def resolved_by_lock(direct: DataFrame, locked: DataFrame) -> DataFrame:
     """Direct dependencies with the version in the lock files of the nearest directory at or above their manifest that has
     any of their ecosystem, where they pin none."""
@@ -45,12 +41,20 @@ def fixed_versions(matches: DataFrame) -> DataFrame:
 
 
 def hygiene(direct: DataFrame, locked: DataFrame) -> DataFrame:
-    """(rule_id, path, name, severity, spec): manifests without a lock file, unpinned versions, sources other than a registry."""
+    """(rule_id, path, name, severity, spec): manifests without a lock file, versions that nothing pins, sources other than
+    a registry. direct: as resolved by the locks.
+
+    A package.json with registry dependencies needs a lock at or above it (LOW if all are for development), a Pipfile its
+    own; requirements are their own pins. Unpinned development dependencies are INFO.
+    """
+    none = F.lit(None).cast("string")
     locks = locked.select(dir_of(F.col("path")).alias("directory"), "ecosystem").distinct().withColumn("lock", F.lit(True))
-    m = direct.where(F.col("ecosystem").isin(*LOCKING)).select("path", "ecosystem").distinct()
+    needs = direct.where((F.col("source") == "registry") & ((F.col("ecosystem") == "npm") | F.col("path").rlike("(?:^|/)Pipfile$")))
+    m = needs.groupBy("path", "ecosystem").agg(F.count_if(~F.col("dev")).alias("production"))
     without = nearest_ancestor(m, locks, "lock", by=("ecosystem",)).where("lock is null")
-    a = without.select(F.lit("dependency/missing-lockfile").alias("rule_id"), "path", F.lit(None).cast("string").alias("name"), F.lit("MEDIUM").alias("severity"), F.lit(None).cast("string").alias("spec"))
-    b = direct.where((F.col("source") == "registry") & is_unpinned(F.col("spec"))).select(F.lit("dependency/unpinned-version"), "path", "name", F.lit("LOW"), "spec")
+    a = without.select(F.lit("dependency/missing-lockfile").alias("rule_id"), "path", none.alias("name"), F.when((F.col("ecosystem") == "npm") & (F.col("production") > 0), "MEDIUM").otherwise("LOW").alias("severity"), none.alias("spec"))
+    loose = (F.col("source") == "registry") & F.col("resolved").isNull() & is_unpinned(F.col("spec"), F.col("ecosystem"))
+    b = direct.where(loose).select(F.lit("dependency/unpinned-version"), "path", "name", F.when(F.col("dev"), "INFO").otherwise("LOW"), "spec")
     c = direct.where(F.col("source").isin("git", "url")).select(F.lit("dependency/non-registry-source"), "path", "name", F.lit("LOW"), redact_spec(F.col("spec")))
     return a.union(b).union(c)
 

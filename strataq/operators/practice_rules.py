@@ -39,15 +39,17 @@ def endpoint_summary(endpoints: DataFrame) -> DataFrame:
     return g.select(F.when(F.col("g") == 1, "method").when(F.col("g") == 2, "framework").otherwise("all").alias("what"), F.coalesce("method", "framework", F.lit("all")).alias("value"), "n", "mutating", "without_auth", "unvalidated")
 
 
-def database_findings(schema: DataFrame) -> DataFrame:
-    """Foreign keys that no index begins with, in their order, and tables without a primary key. schema: path, owner, kind,
-    columns, line."""
+def database_findings(schema: DataFrame, has_migrations: bool = True) -> DataFrame:
+    """Foreign keys that no index begins with, in their order, tables without a primary key, and models without migration
+    files. schema: path, owner, kind, columns, line."""
     keys = schema.where(F.col("kind").isin("index", "primary")).groupBy("owner").agg(F.collect_list("columns").alias("keys"))
     fk = schema.where("kind = 'foreign'").join(keys, "owner", "left")
     covered = F.exists(F.coalesce("keys", F.array().cast("array<array<string>>")), lambda k: F.slice(k, F.lit(1), F.size("columns")) == F.col("columns"))
     a = _rows(fk.where(~covered), "database/unindexed-foreign-key", "LOW", F.concat(F.col("owner"), F.lit("."), F.array_join("columns", ",")), line=F.col("line"))
     bare = schema.where("kind = 'table'").join(schema.where("kind = 'primary'").select("owner").distinct(), "owner", "left_anti")
-    return a.union(_rows(bare, "database/table-without-primary-key", "MEDIUM", F.col("owner"), line=F.col("line")))
+    models = schema.where(F.col("path").endswith(".prisma") & (F.col("kind") == "table") & F.lit(not has_migrations)).groupBy("path").agg(F.count("*").alias("models"))
+    b = _rows(bare, "database/table-without-primary-key", "MEDIUM", F.col("owner"), line=F.col("line"))
+    return a.union(b).union(_rows(models, "database/no-migrations", "LOW", F.concat(F.col("models").cast("string"), F.lit(" models"))))
 
 
 def testing_summary(files: DataFrame, tests: DataFrame, coverage: DataFrame) -> DataFrame:

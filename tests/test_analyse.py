@@ -14,7 +14,7 @@ SERVICE = {
     "app/main.py": "from fastapi import FastAPI\nfrom app.db import run\nimport json\napp = FastAPI()\n\n\n@app.post('/items')\ndef add(body):\n    data = request.json()\n    return run(data)\n",
     "app/db.py": "import subprocess\nfrom app.main import app\n\n\ndef run(cmd):\n    subprocess.run(cmd, shell=True)\n    subprocess.run(['ls'])\n    cur.execute(f'SELECT * FROM t WHERE id={cmd}')\n    cur.execute('SELECT * FROM t WHERE id=%s', (cmd,))\n    password = \"h8Kq2pLw9z\"\n    return app\n",
     "web/a.ts": "import { b } from './b';\nexport const a = () => b();\n", "web/b.ts": "import { a } from './a';\nexport const b = () => { eval(a); };\n",
-    "db/schema.sql": "CREATE TABLE t (id int PRIMARY KEY, u int REFERENCES v(id));\n", "requirements.txt": "flask>=1.0\n", ".env": "API_TOKEN=q8w7e6r5t4\n", "docs/x.md": "[gone](./none.md)\n",
+    "db/schema.sql": "CREATE TABLE t (id int PRIMARY KEY, u int REFERENCES v(id));\n", "requirements.txt": "flask>=1.0\nrich\n", "package.json": '{"dependencies": {"left": "^1.0.0"}}', ".env": "API_TOKEN=q8w7e6r5t4\n", "docs/x.md": "[gone](./none.md)\n",
 }
 
 
@@ -45,7 +45,7 @@ def test_service(spark, tree):
     got = {(r["rule_id"], r["path"]) for r in t["findings"].collect()}
     for want in [
         ("injection/os-command", "app/db.py"), ("injection/sql", "app/db.py"), ("secret/hardcoded-credential", "app/db.py"), ("dead-code/unused-import", "app/main.py"), ("api/unauthenticated-mutation", "app/main.py"), ("api/missing-input-validation", "app/main.py"),
-        ("injection/dynamic-code-execution", "web/b.ts"), ("architecture/circular-dependency", "web/a.ts"), ("architecture/circular-dependency", "app/db.py"), ("database/unindexed-foreign-key", "db/schema.sql"), ("dependency/unpinned-version", "requirements.txt"), ("dependency/missing-lockfile", "requirements.txt"),
+        ("injection/dynamic-code-execution", "web/b.ts"), ("architecture/circular-dependency", "web/a.ts"), ("architecture/circular-dependency", "app/db.py"), ("database/unindexed-foreign-key", "db/schema.sql"), ("dependency/unpinned-version", "requirements.txt"), ("dependency/missing-lockfile", "package.json"),
         ("secret/committed-env-file", ".env"), ("documentation/missing-readme", None), ("documentation/missing-license", None), ("documentation/broken-link", "docs/x.md"),
     ]:
         assert want in got, want
