@@ -169,7 +169,7 @@ pts AS (SELECT c.subject, dimension, floor(least(CASE severity WHEN 'CRITICAL' T
 lost AS (SELECT subject, dimension, sum(p) AS lost FROM pts GROUP BY ALL),
 uses AS (SELECT DISTINCT lang AS subject, dimension FROM findings JOIN dims ON list_contains(cats, category)),
 dimension_scores AS (SELECT s.subject, d.dimension, d.weight, d.present OR u.subject IS NOT NULL AS applies,
-  greatest(0, floor(100 - least(100.0::DOUBLE, coalesce(lost, 0) + CASE WHEN d.dimension = 'codeQuality' AND duplication > 5 THEN floor(least(15.0::DOUBLE, duplication - 5) * 10 + 0.5) / 10 ELSE 0 END) + 0.5))::INT AS score
+  CASE WHEN d.present OR u.subject IS NOT NULL THEN greatest(0, floor(100 - least(100.0::DOUBLE, coalesce(lost, 0) + CASE WHEN d.dimension = 'codeQuality' AND duplication > 5 THEN floor(least(15.0::DOUBLE, duplication - 5) * 10 + 0.5) / 10 ELSE 0 END) + 0.5))::INT END AS score
   FROM subjects s CROSS JOIN dims d JOIN copies USING (subject) LEFT JOIN lost l ON l.subject = s.subject AND l.dimension = d.dimension LEFT JOIN uses u ON u.subject = s.subject AND u.dimension = d.dimension)"""
 LANGUAGE_HEALTH = f"""WITH {DIMENSIONS},
 mean AS (SELECT subject, floor(sum(weight * score) / sum(weight)::DOUBLE + 0.5)::INT AS m FROM dimension_scores WHERE applies GROUP BY subject),

@@ -35,7 +35,7 @@ def dimension_of(category: Column) -> Column:
 
 
 def dimension_scores(findings: DataFrame, subjects: DataFrame, excluded: DataFrame) -> DataFrame:
-    """(subject, dimension, weight, applies, score) of every subject and dimension.
+    """(subject, dimension, weight, applies, score) of every subject and dimension; the score is null where it doesn't apply.
 
     findings: subject, rule_id, category, severity, fingerprint. subjects: subject, lines (production code), duplication
     (percent), present (dimensions whose matter was found). excluded: fingerprints that were triaged; they cost nothing,
@@ -58,7 +58,7 @@ def dimension_scores(findings: DataFrame, subjects: DataFrame, excluded: DataFra
     total = F.coalesce("lost", F.lit(0.0)) + F.coalesce("fixed", F.lit(0)) + surcharge
     score = F.greatest(F.lit(0), round_half_up(100 - F.least(F.lit(100.0), total)).cast("int"))
     uses = F.coalesce("has_findings", F.lit(False)) | F.array_contains("present", F.col("dimension")) | F.col("dimension").isin(*ALWAYS)
-    return d.select("subject", "dimension", "weight", uses.alias("applies"), score.alias("score"))
+    return d.select("subject", "dimension", "weight", uses.alias("applies"), F.when(uses, score).alias("score"))
 
 
 def health(findings: DataFrame, subjects: DataFrame, excluded: DataFrame) -> DataFrame:

@@ -103,7 +103,8 @@ def analyse(spark: SparkSession, root: str, advisories: DataFrame | None = None,
     findings = s.save(query.with_fingerprints(union).drop("emit_order", "module_order"), "findings")
 
     lines_of_code = metrics.join(inventory.where("kind = 'SOURCE'").select("path"), "path", "left_semi").agg(F.coalesce(F.sum("code_lines"), F.lit(0)).alias("lines"))
-    present = F.array_compact(F.array(F.lit("codeQuality"), F.when(F.lit(not direct.isEmpty()), "dependencies"), F.when(F.lit(not edges.isEmpty()), "architecture"), F.when(F.lit(not endpoints.isEmpty()), "api"), F.when(F.lit(not schema.isEmpty()), "database"), F.lit("testing")))
+    some_code = not code.where("kind = 'SOURCE'").isEmpty()
+    present = F.array_compact(F.array(F.when(F.lit(some_code), "codeQuality"), F.when(F.lit(some_code), "testing"), F.when(F.lit(not direct.isEmpty()), "dependencies"), F.when(F.lit(not edges.isEmpty()), "architecture"), F.when(F.lit(not endpoints.isEmpty()), "api"), F.when(F.lit(not schema.isEmpty()), "database")))
     subjects = lines_of_code.select(F.lit(root).alias("subject"), "lines", F.lit(0.0).alias("duplication"), present.alias("present"))
     none = spark.createDataFrame([], "fingerprint string") if excluded is None else excluded
     health = score.health(findings.withColumn("subject", F.lit(root)), subjects, none)

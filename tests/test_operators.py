@@ -46,8 +46,8 @@ def test_penalties_are_capped_and_per_thousand_lines(spark):
 
 def test_fixed_penalties_and_duplication(spark):
     f = found(spark, [("testing/no-tests", "TESTING", "HIGH", "f1"), ("documentation/missing-readme", "DOCUMENTATION", "MEDIUM", "f2")])
-    d = {r["dimension"]: (r["score"], r["applies"]) for r in score.dimension_scores(f, subject(spark, duplication=30.0), none(spark)).collect()}
-    assert d["testing"] == (20, True) and d["documentation"] == (60, True) and d["codeQuality"] == (85, False)
+    d = {r["dimension"]: (r["score"], r["applies"]) for r in score.dimension_scores(f, subject(spark, duplication=30.0, present=("codeQuality",)), none(spark)).collect()}
+    assert d["testing"] == (20, True) and d["documentation"] == (60, True) and d["codeQuality"] == (85, True) and d["api"] == (None, False)
 
 
 def test_triage_edges(spark):
