@@ -183,10 +183,21 @@ _SIM = "CASE WHEN t = w THEN 3 WHEN len(list_filter(range(1, least(length(t), le
 KEYWORD_SEARCH = rf"""WITH q(t) AS (VALUES ('red'), ('widgets'), ('brand')), p AS (SELECT p_partkey AS id, p_name AS name, p_type || '/' || p_brand AS path, p_size > 25 AS exported, p_size AS line FROM part),
 tk AS (SELECT id, 2.0::DOUBLE AS weight, unnest(regexp_split_to_array(lower(name), '[^a-z0-9]+')) AS w FROM p UNION ALL SELECT id, 0.5::DOUBLE, unnest(list_filter(regexp_split_to_array(lower(path), '[^a-z0-9]+'), lambda x: length(x) >= 2)) FROM p),
 best AS (SELECT id, weight, t, max({_SIM}) AS s FROM tk, q WHERE length(w) >= 2 GROUP BY ALL), sc AS (SELECT id, sum(weight * s) AS s, max(s) AS top FROM best GROUP BY id)
-SELECT p.id, sc.s + CASE WHEN exported THEN 0.5 ELSE 0 END AS score FROM p JOIN sc USING (id) WHERE sc.s >= 2 ORDER BY score DESC, path, line, name, id LIMIT 25"""
+SELECT p.id, sc.s + CASE WHEN exported THEN 0.5 ELSE 0 END AS score FROM p JOIN sc USING (id) WHERE sc.s + CASE WHEN exported THEN 0.5 ELSE 0 END >= 2 ORDER BY score DESC, path, line, name, id LIMIT 25"""
+
+
+SEARCHED = [("symbol", 7.75, "core/orders.ts", 10, "createOrder"), ("symbol", 6.5, "web/app.ts", 1, "OrderPage"), ("route", 3.75, "web/api/orders.ts", 3, "POST /orders")]
+
+
+def search_everything(spark, sf_dir):
+    s = inline(spark, SYMBOLS, SYMBOL_SCHEMA).withColumn("id", F.col("key"))
+    f = inline(spark, [("web/app.ts", "SOURCE"), ("docs/orders.md", "DOCUMENTATION")], "path string, kind string")
+    r = inline(spark, [("POST", "/orders", "web/api/orders.ts", 3), ("GET", "/users", "web/api/users.ts", 4)], "method string, route string, path string, line int")
+    return search.search_everything(s, f, r, "where is the order", 10)
 
 
 QUERIES = {
+    "search_everything": (search_everything, f"SELECT type, score::DOUBLE AS score, path, line, name FROM ({values(SEARCHED)}) t(type, score, path, line, name)"),
     "bfs_distance": (bfs_distance, BFS_DISTANCE),
     "pagerank_20": (pagerank_20, PAGERANK_20),
     "scc_cycles": (scc_cycles, SCC_CYCLES),

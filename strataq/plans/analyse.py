@@ -78,6 +78,9 @@ def analyse(spark: SparkSession, root: str, advisories: DataFrame | None = None,
     sized = inventory.select("path", "kind", F.coalesce(line_count(F.col("text")), F.lit(0)).alias("lines"))
     ci = not texts.where(F.col("path").rlike(r"^\.github/workflows/|^\.gitlab-ci\.yml$|^Jenkinsfile$") & F.col("text").rlike(r"\b(?:npm|pnpm|yarn)\s+(?:run\s+)?test\b|\b(?:pytest|vitest|jest|mvn|gradle)\b")).isEmpty()
     schema = parsed(texts.where(F.col("path").rlike(r"\.(?:sql|prisma)$")), practices.schema, practices.SCHEMA)
+    test_imports = imports.join(inventory.where("kind = 'TEST'").select("path"), "path", "left_semi").select("specifier")
+    some_tests = not sized.where("kind = 'TEST'").isEmpty()
+    untested = practice_rules.untested(sized, test_imports).where(F.lit(some_tests)).select(F.lit("testing/untested-file").alias("rule_id"), F.lit("INFO").alias("severity"), "path", F.col("lines").cast("string").alias("evidence"))
     migrations = not inventory.where(F.col("path").rlike(r"(?i)(?:^|/)(?:migrations?|alembic/versions|db/migrate)/")).isEmpty()
     documentation = texts.where("kind = 'DOCUMENTATION'")
     found = [
@@ -92,6 +95,7 @@ def analyse(spark: SparkSession, root: str, advisories: DataFrame | None = None,
         _raw(practice_rules.api_findings(endpoints, False, False), "practices"),
         _raw(parsed(code.where("kind = 'SOURCE'"), practices.setup_checks, practices.CHECKS), "practices"),
         _raw(practice_rules.database_findings(schema, migrations), "practices"),
+        _raw(untested, "practices"),
         _raw(practice_rules.testing_findings(practice_rules.testing_summary(sized, tests, coverage), tests, ci, True), "practices"),
         _raw(practice_rules.documentation_findings(texts, parsed(documentation, practices.documentation_links, "path string, target string, line int"), parsed(code.where("kind = 'SOURCE'"), practices.environment, "path string, name string, line int"), texts.where(F.col("path").rlike(r"(?i)readme|\.env\.(?:example|sample|template)$")).select(F.explode(F.regexp_extract_all("text", F.lit(r"\b([A-Z][A-Z0-9_]{2,})\b"), F.lit(1))).alias("name")).distinct()), "practices"),
     ]
