@@ -14,7 +14,7 @@ does the same. Layout, little-endian:
     segment  header (ids, docs, blocks, symbols, section sizes), symbols, frequencies, documents, block sizes, crcs, words
     symbols  deflated deltas of the ids in use; frequencies deflated 16-bit; documents deflated (doc_id, ids) pairs
 
-A document may span blocks and segments; its entry says how many of its ids the segment holds and whether it ends there.
+A segment holds at most 2**16 different ids and is divided where there are more. A document may span blocks and segments; its entry says how many of its ids the segment holds and whether it ends there.
 """
 
 from __future__ import annotations
@@ -51,8 +51,8 @@ def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at, count = number[ids], count[symbols]
     else:
         symbols, at, count = np.unique(ids, return_inverse=True, return_counts=True)
-    if len(symbols) > 1 << (COUNTS - 1):
-        raise ValueError(f"{len(symbols)} different ids in a segment; at most {1 << (COUNTS - 1)} are coded")
+    if len(symbols) > 1 << COUNTS:
+        raise ValueError(f"{len(symbols)} different ids in a segment; FileWriter divides those of more than {1 << COUNTS}")
     room = (1 << COUNTS) - len(symbols)
     scaled = 1 + (count * room // count.sum())
     scaled[scaled.argmax()] += (1 << COUNTS) - scaled.sum()
@@ -248,6 +248,25 @@ def _read(f, head: bytes) -> tuple[np.ndarray, np.ndarray]:
     return ids, docs
 
 
+def divided(ids: np.ndarray, docs: list[tuple[int, int, int]]) -> Iterator[tuple[np.ndarray, list[tuple[int, int, int]]]]:
+    """A segment's (ids, docs), in halves of halves as long as there are more different ids than counts can tell apart."""
+    if len(ids) <= 1 << COUNTS or len(np.unique(ids)) <= 1 << COUNTS:
+        yield ids, docs
+        return
+    half, first, rest, at = len(ids) // 2, [], [], 0
+    for doc, here, ends in docs:
+        if at + here <= half:
+            first.append((doc, here, ends))
+        elif at >= half:
+            rest.append((doc, here, ends))
+        else:
+            first.append((doc, half - at, 0))
+            rest.append((doc, at + here - half, ends))
+        at += here
+    yield from divided(ids[:half], first)
+    yield from divided(ids[half:], rest)
+
+
 class FileWriter:
     """Gathers documents to segments; memory is one segment."""
 
@@ -270,7 +289,10 @@ class FileWriter:
 
     def flush(self) -> None:
         if self.held:
-            self.out.write(pack_segment(np.concatenate(self.parts), self.docs))
+            ids = np.concatenate(self.parts)
+            # a vocabulary that fits the counts needs no look at how many different ids there are
+            for part in divided(ids, self.docs) if ids.max() >= 1 << COUNTS else [(ids, self.docs)]:
+                self.out.write(pack_segment(*part))
         self.parts, self.docs, self.held = [], [], 0
 
 

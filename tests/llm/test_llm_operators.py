@@ -531,6 +531,23 @@ def test_random_segments_round_trip():
         assert (got == ids).all()
 
 
+def test_segments_of_many_different_ids():
+    """Every id of the vocabulary in one segment, and more different ids than a segment's counts can tell apart."""
+    r = np.random.default_rng(18)
+    for n in (50_257, 1 << 16):
+        ids = np.concatenate([r.permutation(n), r.zipf(1.3, 20_000) % n]).astype("<u4")
+        got, _ = token_files.read_segment(io.BytesIO(token_files.pack_segment(ids, [(0, len(ids), 1)])))
+        assert (got == ids).all()
+    out = io.BytesIO()
+    w = token_files.FileWriter(out)
+    docs = [(i, x.astype("<u4")) for i, x in enumerate(np.split(r.permutation(200_000), [1, 30_000, 100_000, 100_000, 199_990]))]
+    for i, ids in docs:
+        w.add(i, ids)
+    w.flush()
+    out.seek(0)
+    assert list(token_files.read_file(out)) == [(i, len(x), zlib.crc32(x.tobytes())) for i, x in docs]
+
+
 def test_contexts_are_used():
     """Ids that follow from the two before cost far less than their order-0 entropy."""
     r = np.random.default_rng(15)
