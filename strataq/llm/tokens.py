@@ -2,7 +2,7 @@
 
 A byte-level BPE never joins characters across a space that stands between two other characters, so a text is encoded
 piece by piece, and pieces seen before come from a bounded cache. A text in which white space meets a space is encoded
-as a whole, as there the split could differ.
+as a whole, as there the split could differ; so is a text that holds the string of an added token, which is one id.
 """
 
 from __future__ import annotations
@@ -27,14 +27,14 @@ def default_path(name: str = VOCABULARY) -> str:
 
 
 class Encoder:
-    """texts -> bytes of ids, no special tokens added. One per worker: use `encoder(path)`."""
+    """texts -> bytes of ids as the library gives them with add_special_tokens=False. One per worker: use `encoder(path)`."""
 
     def __init__(self, path: str, most: int = 1_400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.most, self.first, self.later, self.marks = most, {}, {}, {}
         (self.feed,) = self.tok.encode("\n", add_special_tokens=False).ids
 
@@ -92,7 +92,9 @@ class Encoder:
         """A null text counts as empty."""
         if len(self.later) + len(self.first) > self.most:
             self.first, self.later, self.marks = {}, {}, {}
-        split = [t.split(" ") if t else None for t in texts]
+        hard = [i for i, t in enumerate(texts) if t and any(a in t for a in self.added)]
+        apart = set(hard)
+        split = [t.split(" ") if t and i not in apart else None for i, t in enumerate(texts)]
         heads, tails = set(), set()
         for pieces in split:
             if pieces:
@@ -100,7 +102,7 @@ class Encoder:
                 tails.update(pieces[1:])
         self._learn(self.first, heads, "")
         self._learn(self.later, tails, " ")
-        out, hard = [], []
+        out = []
         get = self.later.get
         for i, pieces in enumerate(split):
             if not pieces:

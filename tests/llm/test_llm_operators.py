@@ -115,6 +115,17 @@ def test_encoder_equals_the_library():
     assert e([None, ""]) == [b"", b""]
 
 
+def test_added_tokens_are_one_id():
+    """As the library's own call gives them, not as its setting encode_special_tokens would."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokens.default_path())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y z", "a <|endoftext| > b", "a b", "two  <|endoftext|>\n"]
+    want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    e = tokens.Encoder(tokens.default_path())
+    assert e(texts) == want and e(texts[::-1]) == want[::-1] and np.frombuffer(want[0], "<u4").tolist() == [64, 220, 50256, 275]
+
+
 # --- 2 near duplicates
 
 
