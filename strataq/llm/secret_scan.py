@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAST_RUN, LEAST_VALUE, MOST_VALUE, AROUND = 20, 8, 512, 80
+LEAST_RUN, LEAST_VALUE, AROUND = 20, 8, 80
 RUN = re.compile(r"[A-Za-z0-9_+/=\-]{20,}")
-ASSIGNED = re.compile(r"[=:]\s{0,8}[\"'`]?([^\s\"'`,;<>|]{8,512})")
+ASSIGNED = re.compile(r"[=:]\s{0,8}[\"'`]?([^\s\"'`,;<>|]{8,})")
 NAME = re.compile(r"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)[a-z0-9_\-]{0,24}[\"'`]?\s{0,8}$", re.I)
-LOGIN = re.compile(r"://[^\s:/@]{1,64}:([^\s:/@]{4,256})@")
-PEM = re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[^-]{16,8000}-----END [A-Z ]{0,20}PRIVATE KEY-----")
+LOGIN = re.compile(r"://[^\s:/@]++:([^\s:/@]{4,}+)@")
+PEM_EDGE = re.compile(r"-----(BEGIN|END) [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
+LEAST_PEM = 16
 MARK = "<secret>"
 
 # Words that speak for a secret, for a digest or an identifier, and for a placeholder; everyday words of code.
@@ -45,8 +46,20 @@ class Candidate:
     kind: str
 
 
+def _keys(text: str) -> Iterator[Candidate]:
+    """Private keys, from a begin line to the end line that follows it, whatever stands between."""
+    begun = None
+    for m in PEM_EDGE.finditer(text):
+        if m.group(1) == "BEGIN":
+            begun = m
+        elif begun:
+            if m.start() - begun.end() >= LEAST_PEM:
+                yield Candidate(begun.start(), m.end(), "private-key")
+            begun = None
+
+
 def candidates(text: str) -> list[Candidate]:
-    """Spans worth a look, in order and without overlaps; the earlier, then the longer span wins."""
+    """Spans worth a look, in order and without overlaps: spans that overlap are one, of the earliest's, then longest's kind."""
     found = []
     if "=" in text or ":" in text:
         for m in ASSIGNED.finditer(text):
@@ -55,7 +68,7 @@ def candidates(text: str) -> list[Candidate]:
         if "://" in text:
             found += [Candidate(m.start(1), m.end(1), "login") for m in LOGIN.finditer(text)]
     if "-----BEGIN" in text:
-        found += [Candidate(m.start(), m.end(), "private-key") for m in PEM.finditer(text)]
+        found += _keys(text)
     at = 0
     for word in text.split():
         if len(word) >= LEAST_RUN and not word.isalpha():
@@ -65,11 +78,15 @@ def candidates(text: str) -> list[Candidate]:
                 if any(c.isdigit() for c in run) and any(c.isalpha() for c in run):
                     found.append(Candidate(at + m.start(), at + m.end(), "run"))
             at += len(word)
-    out: list[Candidate] = []
+    groups: list[list[Candidate]] = []
+    end = 0
     for c in sorted(found, key=lambda c: (c.start, -c.end)):
-        if not out or c.start >= out[-1].end:
-            out.append(c)
-    return out
+        if groups and c.start < end:
+            groups[-1].append(c)
+        else:
+            groups.append([c])
+        end = max(end, c.end)
+    return [Candidate(g[0].start, max(c.end for c in g), g[0].kind) for g in groups]
 
 
 def _classes(value: str) -> str:
