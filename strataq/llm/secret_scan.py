@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 LEAST_RUN, LEAST_VALUE, AROUND = 20, 8, 80
 RUN = re.compile(r"[A-Za-z0-9_+/=\-]{20,}")
-ASSIGNED = re.compile(r"[=:]\s{0,8}[\"'`]?([^\s\"'`,;<>|]{8,})")
+ASSIGNED = re.compile(r"[=:]\s{0,8}[\"'`]?(?=[^\s\"'`,;<>|]{8})")
+VALUE = re.compile(r"[^\s\"'`,;<>|]+")
 NAME = re.compile(r"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)[a-z0-9_\-]{0,24}[\"'`]?\s{0,8}$", re.I)
 LOGIN = re.compile(r"://[^\s:/@]++:([^\s:/@]{4,}+)@")
 PEM_EDGE = re.compile(r"-----(BEGIN|END) [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
@@ -44,6 +45,17 @@ class Candidate:
     start: int
     end: int
     kind: str
+    inner: tuple["Candidate", ...] = ()  # assigned values that begin inside
+
+
+def _assigned(text: str) -> Iterator[Candidate]:
+    """Values after each sign that a telling name stands before, one inside another included; a value runs to its end."""
+    end = 0
+    for m in ASSIGNED.finditer(text):
+        if NAME.search(text[max(0, m.start() - 64) : m.start()]):
+            if m.end() >= end:  # else it lies in the last value and ends with it
+                end = VALUE.match(text, m.end()).end()
+            yield Candidate(m.end(), end, "assigned")
 
 
 def _keys(text: str) -> Iterator[Candidate]:
@@ -62,9 +74,7 @@ def candidates(text: str) -> list[Candidate]:
     """Spans worth a look, in order and without overlaps: spans that overlap are one, of the earliest's, then longest's kind."""
     found = []
     if "=" in text or ":" in text:
-        for m in ASSIGNED.finditer(text):
-            if NAME.search(text[max(0, m.start() - 64) : m.start()]):
-                found.append(Candidate(m.start(1), m.end(1), "assigned"))
+        found += _assigned(text)
         if "://" in text:
             found += [Candidate(m.start(1), m.end(1), "login") for m in LOGIN.finditer(text)]
     if "-----BEGIN" in text:
@@ -86,7 +96,7 @@ def candidates(text: str) -> list[Candidate]:
         else:
             groups.append([c])
         end = max(end, c.end)
-    return [Candidate(g[0].start, max(c.end for c in g), g[0].kind) for g in groups]
+    return [Candidate(g[0].start, max(c.end for c in g), g[0].kind, tuple(c for c in g[1:] if c.kind == "assigned" and c.start > g[0].start)) for g in groups]
 
 
 def _classes(value: str) -> str:
@@ -220,11 +230,12 @@ def train(findings: list[tuple[str, str, bool]] | None = None, most: int = 20000
 
 
 def _judge(forest: Forest, texts: list[str | None], paths: list[str | None], threshold: float) -> list[list[tuple[Candidate, float]]]:
-    """For each text its candidates of at least `threshold`; the forest is asked once for all texts."""
+    """For each text its candidates of at least `threshold`, each as likely as it or the likeliest value assigned inside it;
+    the forest is asked once for all texts."""
     found = [candidates(t) if t else [] for t in texts]
-    rows = [features(t, c, p) for t, p, cs in zip(texts, paths, found, strict=True) for c in cs]
+    rows = [features(t, x, p) for t, p, cs in zip(texts, paths, found, strict=True) for c in cs for x in (c, *c.inner)]
     chances = iter(forest.predict(np.array(rows)) if rows else ())
-    scored = [[(c, float(next(chances))) for c in cs] for cs in found]
+    scored = [[(c, max(float(next(chances)) for _ in range(1 + len(c.inner)))) for c in cs] for cs in found]
     return [[x for x in cs if x[1] >= threshold] for cs in scored]
 
 

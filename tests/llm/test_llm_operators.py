@@ -504,6 +504,13 @@ def test_overlaps_are_joined():
     assert text[c.start : c.end] == text
 
 
+def test_no_assignment_hides_another():
+    forest = secret_scan.train()
+    for text in ("cfg:pwd=Hunter2Sec", "?id=12345678&pwd=Hunter2Sec", "auth=changeme&pwd=Hunter2Sec", "a=b:c=d:e=12345678 x:pwd=Hunter2Sec"):
+        ((c, chance),) = secret_scan._judge(forest, [text], ["src1"], 0)[0]
+        assert text[c.start : c.end].endswith("Hunter2Sec") and chance >= 0.5, text
+
+
 # --- 9 mixing
 
 
