@@ -56,6 +56,10 @@ def _source(df: DataFrame) -> DataFrame:
     return df.withColumn("skey", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
 
 
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
+    return _source(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), *more))
+
+
 def mix(docs: DataFrame, scratch: Scratch, seed: str = "mix", weights: tuple[int, ...] = (3, 1, 2), percent: int = 150, most: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, size, source_size, target, copies, taken) for every row of `docs`.
 
@@ -63,19 +67,32 @@ def mix(docs: DataFrame, scratch: Scratch, seed: str = "mix", weights: tuple[int
     the same id, source and text are ties: they share one rank and are taken or left together. An empty table gives no
     rows. Reruns agree, as ranks depend on ids and `seed` alone.
     """
-    sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
-    sizes = scratch.save(_source(sizes), "sizes")
+    sizes = scratch.save(_sized(docs, id_col, text_col, source_col), "sizes")
+    copies = _copies(sizes.join(_cuts(sizes, scratch, seed, weights, percent, most), "skey"), seed)
+    return copies.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def repeated(docs: DataFrame, scratch: Scratch, seed: str = "mix", weights: tuple[int, ...] = (3, 1, 2), percent: int = 150, most: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """`docs` with every row as many times as `mix` takes it. A row's copies follow from the row and its source's cut, so
+    rows are not matched by their ids, which may be null or repeat."""
+    sizes = scratch.save(_sized(docs, id_col, text_col, source_col), "sizes")
+    cuts = F.broadcast(_cuts(sizes, scratch, seed, weights, percent, most))  # a row per source
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    taken = _copies(_sized(docs, id_col, text_col, source_col, row).join(cuts, "skey"), seed).where("copies > 0")
+    taken = taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return taken.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+def _cuts(sizes: DataFrame, scratch: Scratch, seed: str, weights: tuple[int, ...], percent: int, most: int) -> DataFrame:
+    """A row per source: its target, the whole copies of its documents and where its order is cut."""
     targets = _source(source_targets(sizes, weights, percent, most)).drop("source")
     # whole copies are certain; the fraction is every document's inclusion probability
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.least(F.floor(ratio), F.lit(most))
     targets = targets.withColumn("whole", whole.cast("long")).withColumn("share", ratio - F.col("whole"))
     targets = scratch.save(targets.withColumn("want", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
-    u, share = uniform(F.col("doc_id"), seed), F.col("share")
-    # Pareto rank: odds of the random number over the inclusion odds, carried to (0, 1) as q / (1 + q)
-    odds = u / (1 - u) / (share / (1 - share))
-    ranked = sizes.join(targets, "skey").withColumn("rank", F.when(share > 0, odds / (1 + odds)).otherwise(1.0))
-    ranked = ranked.withColumn("slot", F.floor(F.col("rank") * SLOTS).cast("int"))
+    share = F.col("share")
+    ranked = _ranked(sizes.join(targets, "skey"), seed)
     drawn = ranked.where((F.col("size") > 0) & (share > 0))
     slots = drawn.groupBy("skey", "slot").agg(F.sum("size").alias("slot_size"), F.first("want").alias("want"))
     running = W.partitionBy("skey").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
@@ -89,15 +106,26 @@ def mix(docs: DataFrame, scratch: Scratch, seed: str = "mix", weights: tuple[int
     ties = ties.withColumn("at", F.col("before") + F.coalesce(F.sum("tied").over(order), F.lit(0)))
     ties = ties.where("at < want and at + tied - want <= want - at")
     last = ties.groupBy("skey").agg(F.max(F.struct("rank", F.coalesce("doc_id", F.lit(-(2**63))).alias("id"))).alias("last"))
-    cut = targets.join(edge, "skey", "left").join(last, "skey", "left").drop("before")
-    d = sizes.join(cut, "skey").withColumn("rank", F.when(share > 0, odds / (1 + odds)).otherwise(1.0))
-    d = d.withColumn("slot", F.floor(F.col("rank") * SLOTS).cast("int"))
+    return targets.join(edge, "skey", "left").join(last, "skey", "left").drop("before")
+
+
+def _ranked(d: DataFrame, seed: str) -> DataFrame:
+    u, share = uniform(F.col("doc_id"), seed), F.col("share")
+    # Pareto rank: odds of the random number over the inclusion odds, carried to (0, 1) as q / (1 + q)
+    odds = u / (1 - u) / (share / (1 - share))
+    d = d.withColumn("rank", F.when(share > 0, odds / (1 + odds)).otherwise(1.0))
+    return d.withColumn("slot", F.floor(F.col("rank") * SLOTS).cast("int"))
+
+
+def _copies(d: DataFrame, seed: str) -> DataFrame:
+    """Rows joined with their sources' cuts, with how often each is taken."""
+    d, share = _ranked(d, seed), F.col("share")
     here = F.struct("rank", F.coalesce("doc_id", F.lit(-(2**63))).alias("id"))
     extra = (F.col("size") > 0) & (share > 0) & (
         F.col("edge_slot").isNull() | (F.col("slot") < F.col("edge_slot")) | ((F.col("slot") == F.col("edge_slot")) & F.coalesce(here <= F.col("last"), F.lit(False)))
     )
     copies = F.when(F.col("size") > 0, F.col("whole") + F.when(extra, 1).otherwise(0)).otherwise(0)
-    return d.select("doc_id", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return d.withColumn("copies", copies.cast("long"))
 
 
 #: The same in DuckDB SQL, from the documents on; the operator's ranks are recomputed from MD5.

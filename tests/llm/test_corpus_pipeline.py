@@ -74,6 +74,28 @@ def test_mix_repeats_whole_documents(stages):
     assert abs(sum(words[i] * c for i, c in copies.items()) / sum(words.values()) - 1.5) < 0.1
 
 
+def test_mix_keeps_rows_with_null_and_repeated_ids(spark):
+    """Rows are taken as the operator says, whether their ids are null, repeat or clash across sources."""
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(None if i % 3 == 0 else i % 40, f"w{i} " * (1 + i % 7), "en", (None, "a", "b", "c")[i % 4], i) for i in range(400)]
+    docs = spark.createDataFrame(rows, kinds)
+    mixed = corpus_pipeline.mixing_stage(spark, docs, "")
+    assert mixed.columns == list(corpus_pipeline.COLUMNS)
+    got = collections.Counter(map(tuple, mixed.collect()))
+    assert set(got) <= set(rows) and set(got.values()) <= {1, 2}
+    said = collections.Counter()
+    for x in corpus_pipeline.mixing.mix(docs, corpus_pipeline.Scratch(spark)).collect():
+        said[x["doc_id"], x["size"], x["source_size"]] += x["copies"]
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r[3]] += len(r[1].split())
+    assert len(set(sizes.values())) == 4
+    mine = collections.Counter()
+    for r, n in got.items():
+        mine[r[0], len(r[1].split()), sizes[r[3]]] += n
+    assert mine == +said and any(k[0] is None for k in mine)
+
+
 def test_packing_holds_every_row(stages):
     before, after = stages["packing"]
     rows = before.collect()
