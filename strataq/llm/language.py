@@ -16,39 +16,54 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: At most so many languages are learned, those with the most texts.
-LANGUAGES = 64
-SLOTS, DICTIONARY_BYTES, SAMPLE_CHARS = 256, 200 * 1024, 4000
+#: Up to so many languages have whole dictionaries; more share what these would hold, and learn from fewer texts each.
+WHOLE = 64
+SLOTS, DICTIONARY_BYTES, LEAST_BYTES = 256, 200 * 1024, 1024
+#: A long text is read in so many slices, spread from its start to its end.
+SLICES, SLICE_CHARS = 8, 500
 CHUNK, LEVEL, MARGIN, SHARPNESS = 4096, 6, 0.01, 60.0
 
 
+def spread(data: bytes, room: int) -> bytes:
+    """At most `room` bytes of data, in equal slices from its start to its end."""
+    if len(data) <= room:
+        return data
+    n = max(1, min(SLICES, room // 64))
+    size = room // n
+    return b"".join(data[k : k + size] for k in (i * (len(data) - size) // max(1, n - 1) for i in range(n)))
+
+
+def _sampled(text: Column) -> Column:
+    """A text of up to SLICES * SLICE_CHARS characters as it is, of a longer one slices from its start to its end."""
+    last = F.length(text) - SLICE_CHARS
+    cuts = [F.substring(text, (F.floor(last * i / (SLICES - 1)) + 1).cast("int"), F.lit(SLICE_CHARS)) for i in range(SLICES)]
+    return F.when(last <= SLICE_CHARS * (SLICES - 1), text).otherwise(F.concat(*cuts))
+
+
 def fit_dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """Raw-content dictionaries by language, from a bounded sample of labelled rows: at most LANGUAGES languages, SLOTS
-    texts of each (of each of SLOTS id-hash classes the smallest hash), SAMPLE_CHARS characters of a text and
-    DICTIONARY_BYTES of a language. So at most LANGUAGES * SLOTS hashes are sent out, and as many texts come back.
+    """Raw-content dictionaries of all languages, from a bounded sample of labelled rows: SLOTS texts of a language (of each
+    of SLOTS id-hash classes the smallest hash), SLICES slices of a text and DICTIONARY_BYTES of a language. More than WHOLE
+    languages share WHOLE * SLOTS texts and WHOLE * DICTIONARY_BYTES, but each has a text and LEAST_BYTES at least.
 
     Rows with null text or language teach nothing.
     """
     d = docs.select(F.xxhash64(id_col).alias("hash"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     d = d.where("lang is not null and text is not null")
-    top = d.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
-    d = d.join(F.broadcast(top), "lang")
-    picked = d.groupBy("lang", F.pmod("hash", F.lit(SLOTS)).alias("slot")).agg(F.min("hash").alias("hash"))
-    sample = d.join(F.broadcast(picked.select("lang", "hash")), ["lang", "hash"]).select("lang", "hash", F.lower(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))
+    n = max(1, d.select("lang").distinct().count())
+    slots, budget = max(1, min(SLOTS, WHOLE * SLOTS // n)), max(LEAST_BYTES, min(DICTIONARY_BYTES, WHOLE * DICTIONARY_BYTES // n))
+    picked = d.groupBy("lang", F.pmod("hash", F.lit(slots)).alias("slot")).agg(F.min("hash").alias("hash"))
+    sample = d.join(F.broadcast(picked.select("lang", "hash")), ["lang", "hash"]).select("lang", "hash", F.lower(_sampled(F.col("text"))).alias("text"))
     texts: dict[str, list[tuple[int, str]]] = {}
-    for row in sample.collect():  # at most LANGUAGES * SLOTS rows
+    for row in sample.collect():  # a row per language and slot
         texts.setdefault(row["lang"], []).append((row["hash"], row["text"]))
     out = {}
     for lang, rows in sorted(texts.items()):
-        share = max(256, DICTIONARY_BYTES // len(rows))
-        parts = [t.encode()[:share] for _, t in sorted(rows)]
-        left = DICTIONARY_BYTES - sum(map(len, parts))
-        for (_, t), part in zip(sorted(rows), list(parts), strict=True):  # room that short texts leave
-            if left > 0:
-                more = t.encode()[share : share + left]
-                parts.append(more)
-                left -= len(more)
-        out[lang] = b"\n".join(parts)[-DICTIONARY_BYTES:]
+        parts = [t.encode() for _, t in sorted(rows)]
+        left, share = budget - len(parts), {}
+        for k, i in enumerate(sorted(range(len(parts)), key=lambda i: len(parts[i]))):  # what short texts leave goes to longer ones
+            share[i] = min(len(parts[i]), max(1, left // (len(parts) - k)))
+            left -= share[i]
+        out[lang] = b"\n".join(spread(x, share[i]) for i, x in enumerate(parts))[-budget:]
     return out
 
 

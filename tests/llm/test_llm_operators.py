@@ -256,6 +256,21 @@ def test_language_awkward(spark):
     assert language.fit_dictionaries(df.limit(0)) == {} and language.identify(df.limit(0), d).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    """More languages than have whole dictionaries, and words that stand only far into a text."""
+    r = random.Random(20)
+    words = {f"l{k:02}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(30)] for k in range(80)}
+    text = lambda lang, n: " ".join(r.choice(words[lang]) for _ in range(n))
+    rows = [(k * 100 + i, text(lang, 60), lang) for k, lang in enumerate(words) for i in range(3 + (k < 64))]
+    learned = language.fit_dictionaries(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(learned) == set(words)
+    asked = spark.createDataFrame([(k, text(lang, 30)) for k, lang in enumerate(words)], "doc_id long, text string")
+    assert {x["doc_id"]: x["lang_pred"] for x in language.identify(asked, learned).collect()} == dict(enumerate(words))
+    late = "x " * 5000 + "faraway " * 800 + "x " * 5000 + "lastword " * 200
+    (found,) = language.fit_dictionaries(spark.createDataFrame([(i, late, "en") for i in range(300)], "doc_id long, text string, lang string")).values()
+    assert b"faraway" in found and b"lastword" in found and len(found) <= language.DICTIONARY_BYTES
+
+
 def test_narrow_margins_are_rejected():
     c = language.Classifier({"a": b"abc abd abe " * 20, "b": b"abc abd abe " * 20})
     assert c("abc abd")[0] == "a" and c("abc abd")[2]
