@@ -1,20 +1,23 @@
 """Token-id files coded by an adaptive context-mixing range coder.
 
-A file is a run of segments; a segment holds up to LANES blocks of BLOCK ids. Every block is coded on its own: its models
-start empty, it has its own code words and its own checksum. For each id three predictions are mixed: the id that last
-followed the two ids before (order 2), the id that last followed the one before (order 1), and the segment's id
-frequencies (order 0, kept in the segment's header). The weights of orders 2 and 1 are learned as coding goes on, from
-how often a prediction of the same confidence came true. The mixture's interval for the id narrows a 64-bit carry-less
-range coder.
+A file is a run of segments; a segment holds up to LANES blocks of BLOCK ids. Every block is coded on its own: all its
+models start empty, it has its own code words and its own checksum, and nothing but the largest id is shared. For each
+id three predictions are mixed: the id that last followed the two ids before (order 2), the id that last followed the
+one before (order 1), and how often ids stood in the block so far (order 0). Order 0 keeps an id in the slot its hash
+names; counts become frequencies at the steps of EPOCHS. An id that no slot holds is coded by its length and offset. The
+weights of orders 2 and 1 are learned at the same steps, from how often a prediction of the same confidence came true.
+The mixture's interval for the id narrows a 64-bit carry-less range coder.
 
 All blocks of a segment are coded in step, one id of each at a time, so a step is a few array operations; the decoder
-does the same. Layout, little-endian:
+does the same, and gives the same ids for a block when it is coded alone. Layout, little-endian:
 
     file     magic "SQTK", version, then segments
-    segment  header (ids, docs, blocks, symbols, section sizes), symbols, frequencies, documents, block sizes, crcs, words
-    symbols  deflated deltas of the ids in use; frequencies deflated 16-bit; documents deflated (doc_id, ids) pairs
+    segment  header (ids, docs, blocks, largest id, section sizes), symbols, documents, block sizes, crcs, words
+    sections documents deflated (doc_id, ids, ends) triples; block sizes, crcs and words plain 32-bit
 
-A segment holds at most 2**16 different ids and is divided where there are more. A document may span blocks and segments; its entry says how many of its ids the segment holds and whether it ends there.
+A document may span blocks and segments; its entry says how many of its ids the segment holds and whether it ends there.
+A segment may hold any number of different ids. Where one is 2**25 or more, as in no vocabulary, the ids' ranks are coded
+instead and `symbols` lists the ids, as deflated deltas; elsewhere it is empty.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -33,193 +37,275 @@ from . import tokens
 from .common import Scratch
 from .warc import storage
 
-MAGIC, VERSION = b"SQTK", 1
-BLOCK, LANES = 8192, 1536
-SLOTS1, SLOTS2, CONFIDENT = 4096, 8192, 15
-BITS, COUNTS = 24, 16  # the mixture is in units of 2**-24, order-0 frequencies in units of 2**-16
-HEADER = struct.Struct("<QIIIIIIII")
+MAGIC, VERSION = b"SQTK", 2
+BLOCK, LANES, STRETCH = 8192, 1536, 16
+SLOTS0, SLOTS1, SLOTS2, CONFIDENT = 1024, 1024, 2048, 15
+#: Units as powers of two: of the mixture, of order-0 frequencies, of the code of unseen ids and of its look-up.
+BITS, COUNTS, LAW, GRAINS = 24, 12, 30, 12
+ONE, ID_BITS = 1 << BITS, 25
+#: Steps of a block after which counts become frequencies.
+EPOCHS = (32, 64, 128, 256, 512, 1024, 1536, 2048, 3072, 4096, 6144)
+HEADER = struct.Struct("<QIIIIIIII")  # ids, docs, blocks, largest id, sizes of five sections
 U = np.uint64
-
-
-def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols in use, their counts scaled to 2**16 in all and at least 1, each id's symbol number)."""
-    if ids.max() < 1 << 22:
-        count = np.bincount(ids)
-        symbols = np.flatnonzero(count)
-        number = np.zeros(len(count), np.uint32)
-        number[symbols] = np.arange(len(symbols), dtype=np.uint32)
-        at, count = number[ids], count[symbols]
-    else:
-        symbols, at, count = np.unique(ids, return_inverse=True, return_counts=True)
-    if len(symbols) > 1 << COUNTS:
-        raise ValueError(f"{len(symbols)} different ids in a segment; FileWriter divides those of more than {1 << COUNTS}")
-    room = (1 << COUNTS) - len(symbols)
-    scaled = 1 + (count * room // count.sum())
-    scaled[scaled.argmax()] += (1 << COUNTS) - scaled.sum()
-    return symbols.astype(np.uint32), scaled.astype(np.uint32), at.astype(np.uint32)
-
-
-#: A prediction's probability moves towards one of these, so order 0 keeps 2**16 units of the mixture and no id an empty interval.
-RARE, SURE = 16, 15 << 12
-
-
-class Mixer:
-    """The models of all blocks of a segment, one lane each; `weights` before an id, `update` after it."""
-
-    def __init__(self, lanes: int):
-        self.t1, self.t2 = np.zeros(lanes * SLOTS1, np.uint32), np.zeros(lanes * SLOTS2, np.uint32)  # symbol + 1, confidence
-        start = (np.arange(CONFIDENT + 1, dtype=np.float64) + 0.5) / (CONFIDENT + 3) * (1 << 16)
-        start[0] = 64
-        self.p1, self.p2 = np.tile(start.astype(np.int64), lanes), np.tile(start.astype(np.int64), lanes)
+WORD, LOW, LOW32 = U(32), U(0xFFFFFFFF), 0xFFFFFFFF
+ONCE, FOUR, MOST = np.uint32(1), np.uint32(4), np.uint32(CONFIDENT)
+HASH1, HASH2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
+SHIFT0, SHIFT1, SHIFT2 = (np.uint32(33 - slots.bit_length()) for slots in (SLOTS0, SLOTS1, SLOTS2))
+
+
+class Law:
+    """How a block's unseen ids are coded: a share for each bit length up to the largest, equal ones for ids of a length."""
+
+    def __init__(self, largest: int):
+        lengths = np.arange(int(largest).bit_length() + 1)
+        share = (lengths + 1) ** 2
+        n = np.where(lengths > 0, 1 << np.maximum(lengths - 1, 0), 1)
+        grain = 1 << LAW - GRAINS
+        width = share * (1 << GRAINS) // share.sum() * grain  # of a length: whole grains, so that `find` is a look-up
+        self.first, self.size, self.begin, self.largest = np.where(lengths > 0, n, 0), width // n, np.cumsum(width) - width, largest
+        self.length = np.repeat(lengths, width // grain)
+        self.length = np.pad(self.length, (0, (1 << GRAINS) - len(self.length)), mode="edge")
+
+    def of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(begin, size) of ids in units of 2**-LAW."""
+        b = np.frexp(x.astype(np.float64))[1]
+        size = self.size.take(b)
+        return self.begin.take(b) + (x - self.first.take(b)) * size, size
+
+    def find(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, begin, size) of the ids that points lie in."""
+        b = self.length.take(v >> LAW - GRAINS)
+        size, begin, first = self.size.take(b), self.begin.take(b), self.first.take(b)
+        at = np.minimum((v - begin) // size, self.largest - first)
+        return first + at, begin + at * size, size
+
+
+class Models:
+    """The models of all blocks of a segment, one lane each. Tables change at every step for orders 2 and 1, at EPOCHS for order 0."""
+
+    def __init__(self, lanes: int, decoding: bool):
+        self.lanes, self.decoding = lanes, decoding
         lane = np.arange(lanes, dtype=np.int64)
+        self.t1, self.t2 = np.zeros(lanes * SLOTS1, np.uint32), np.zeros(lanes * SLOTS2, np.uint32)  # id + 1, confidence
         self.base1, self.base2, self.base_p = lane * SLOTS1, lane * SLOTS2, lane * (CONFIDENT + 1)
-        self.last, self.last2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-
-    def weights(self, n: int):
-        """Predicted symbols (plus one) of orders 2 and 1 and their shares of the mixture, for the first n lanes."""
-        h = self.last[:n] * np.uint32(0x9E3779B1)
-        self.i1 = self.base1[:n] + (h >> np.uint32(20))
-        self.i2 = self.base2[:n] + ((h ^ (self.last2[:n] * np.uint32(0x85EBCA6B))) >> np.uint32(19))
-        self.e1, self.e2 = self.t1.take(self.i1), self.t2.take(self.i2)
-        self.s1, self.s2 = self.e1 >> np.uint32(4), self.e2 >> np.uint32(4)
-        self.c1, self.c2 = self.e1 & np.uint32(15), self.e2 & np.uint32(15)
-        self.j1, self.j2 = self.base_p[:n] + self.c1, self.base_p[:n] + self.c2
-        self.q1, self.q2 = self.p1.take(self.j1), self.p2.take(self.j2)
-        w2 = self.q2 << 8
-        w1 = (((1 << BITS) - w2) * self.q1 >> 16) * (self.s1 != self.s2)
-        return w2, w1
-
-    def update(self, n: int, symbol: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        """symbol: plus one. Order 1 learns only where order 2 failed, as its weight is a share of what order 2 leaves."""
-        self.p2[self.j2] = self.q2 + (hit2 * (SURE - RARE) + RARE - self.q2 >> 4)
-        moved = hit1 * (SURE - RARE) + RARE - self.q1 >> 4
-        moved[hit2] = 0
-        self.p1[self.j1] = self.q1 + moved
-        new = symbol << np.uint32(4) | np.uint32(1)
-        self.t2[self.i2] = np.where(hit2, self.e2 + (self.c2 < CONFIDENT), new)
-        self.t1[self.i1] = np.where(hit1, self.e1 + (self.c1 < CONFIDENT), new)
-        self.last2[:n] = self.last[:n]
-        self.last[:n] = symbol
-
-
-def _interval(c: np.ndarray, f: np.ndarray, w2: np.ndarray, both: np.ndarray, hit2: np.ndarray, by1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(begin, size) of an id in the mixture: order 2 lies first, then order 1, then all ids by their counts (c before it, f)."""
-    rest = (1 << BITS) - both
-    begin = c * rest >> COUNTS
-    size = ((c + f) * rest >> COUNTS) - begin
-    begin += both
-    np.copyto(begin, w2, where=by1)
-    np.copyto(size, both - w2, where=by1)
-    begin[hit2] = 0
-    np.copyto(size, w2, where=hit2)
-    return begin, size
-
-
-def _settled(lw: np.ndarray, sp: np.ndarray) -> np.ndarray:
-    """Lanes whose upper 32 bits can't change any more; a range that is too small is cut so that its are."""
-    agree = (lw ^ (lw + sp)) < U(1 << 32)
-    shrink = ~agree & (sp < U(1 << 32))
-    if shrink.any():
-        sp[shrink] = (~lw[shrink] + U(1)) & U(0xFFFFFFFF)
-        agree |= shrink
-    return np.flatnonzero(agree)
-
-
-def encode_blocks(at: np.ndarray, scaled: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Codes symbol numbers as blocks: (words of each block, code words of each block)."""
-    lanes = -(-len(at) // BLOCK)
-    grid = np.zeros(lanes * BLOCK, np.uint32)
-    grid[: len(at)] = at
-    grid = np.ascontiguousarray(grid.reshape(lanes, BLOCK).T)  # a row for each step
-    short = len(at) - (lanes - 1) * BLOCK
-    count = scaled.astype(np.int64)
-    cum = np.cumsum(count) - count
-    mixer = Mixer(lanes)
+        self.base0, self.none = lane * (SLOTS0 + 1), lane * (SLOTS0 + 1) + SLOTS0
+        self.held = np.zeros((lanes, SLOTS0 + 1), np.uint32)  # id + 1 of a slot; the last slot is for ids that none holds
+        self.count = np.zeros((lanes, SLOTS0 + 1), np.int32)
+        self.tried, self.true = np.zeros((2, 2, lanes, CONFIDENT + 1), np.int64)
+        self.settle()
+
+    def settle(self) -> None:
+        """Counts to frequencies. A slot in use has at least one unit of 2**-COUNTS; what rounding leaves goes to unseen ids."""
+        used = self.count > 0
+        used[:, SLOTS0] = True
+        total = self.count.sum(1, dtype=np.int64) + 1
+        room = (1 << COUNTS) - used.sum(1)
+        scaled = (self.count * (room / total).astype(np.float32)[:, None]).astype(np.int32)  # one rounded product, the same everywhere
+        scaled += used
+        scaled[:, SLOTS0] += (1 << COUNTS) - scaled.sum(1, dtype=np.int32)
+        begin = np.cumsum(scaled, axis=1, dtype=np.int32)
+        begin -= scaled
+        both = begin << COUNTS + 1 | scaled
+        self.t0 = (self.held.astype(np.int64) << 32 | both).ravel()  # id + 1, begin, size
+        self.unseen = both[:, SLOTS0].astype(np.int64)
+        if self.decoding:
+            self.look = np.repeat(np.tile(np.arange(SLOTS0 + 1, dtype=np.uint16), self.lanes), scaled.ravel())
+            self.base_look = np.arange(self.lanes, dtype=np.int64) << COUNTS
+        prior = 2 * np.arange(CONFIDENT + 1) + 1
+        chance = (2 * self.true + prior << BITS) // (2 * self.tried + 2 * (CONFIDENT + 3))
+        chance[..., 0] = 0  # an empty entry predicts nothing
+        self.p1, self.p2 = np.minimum(chance, ONE - (ONE >> 4)).reshape(2, -1)
+
+    def contexts(self, last: np.ndarray, last2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of orders 1 and 2."""
+        h = last * HASH1
+        return (h >> SHIFT1) + self.base1, ((h ^ last2 * HASH2) >> SHIFT2) + self.base2
+
+    def slots(self, ids: np.ndarray) -> np.ndarray:
+        return (ids * HASH1 >> SHIFT0) + self.base0
+
+    def learn(self, ids: np.ndarray, seen1: np.ndarray, seen2: np.ndarray) -> None:
+        """ids: the steps coded since the last call; seen1, seen2: confidence * 2 + whether the prediction came true."""
+        key, held, lane = self.slots(ids), self.held.ravel(), np.arange(self.lanes, dtype=np.int64) * (2 * CONFIDENT + 2)
+        self.count[:, SLOTS0] += (held.take(key) != ids + ONCE).sum(0, dtype=np.int32)
+        held[key] = ids + ONCE
+        self.count += np.bincount(key.ravel(), minlength=self.count.size).reshape(self.count.shape).astype(np.int32)
+        for k, seen in enumerate((seen1, seen2)):
+            n = np.bincount((seen + lane).ravel(), minlength=self.lanes * (2 * CONFIDENT + 2)).reshape(self.lanes, CONFIDENT + 1, 2)
+            self.true[k] += n[..., 1]
+            self.tried[k] += n.sum(2)
+        self.settle()
+
+
+def _narrow(low: np.ndarray, span: np.ndarray, begin: np.ndarray, size: np.ndarray, bits: int) -> None:
+    """Cuts the range to an interval in units of 2**-bits."""
+    span >>= U(bits)
+    low += span * begin.view(U)
+    span *= size.view(U)
+
+
+def _due(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lanes whose range has at most 32 bits left, and their upper 32 bits, which are shifted out. A range that could still
+    carry into them is cut."""
+    k = np.flatnonzero(span <= LOW)
+    lw = low.take(k)
+    span[k] = np.minimum(span.take(k), U(1 << 32) - (lw & LOW)) << WORD
+    low[k] = lw << WORD
+    return k, lw >> WORD
+
+
+def encode_blocks(ids: np.ndarray, largest: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Codes ids as blocks: (words of each block, code words of each block)."""
+    lanes, steps = -(-len(ids) // BLOCK), min(BLOCK, len(ids))
+    grid = np.zeros(lanes * steps, np.uint32)  # the last block is filled up with zeros
+    grid[: len(ids)] = ids
+    grid = np.vstack([np.zeros((2, lanes), np.uint32), grid.reshape(lanes, steps).T])  # a row for each step, after two of none
+    law, m = Law(largest), Models(lanes, False)
+    t1, t2 = m.t1, m.t2
     low, span = np.zeros(lanes, U), np.full(lanes, 2**64 - 1, U)
-    out, used = np.zeros((lanes, BLOCK + 4), np.uint32), np.zeros(lanes, np.int64)
-    for t in range(min(BLOCK, len(at))):
-        n = lanes if t < short else lanes - 1
-        if n == 0:
-            break
-        x = grid[t, :n]
-        symbol = x + np.uint32(1)
-        w2, w1 = mixer.weights(n)
-        hit2, hit1 = mixer.s2 == symbol, mixer.s1 == symbol
-        begin, size = _interval(cum.take(x), count.take(x), w2, w2 + w1, hit2, hit1 & ~hit2)
-        mixer.update(n, symbol, hit2, hit1)
-        unit = span[:n] >> U(BITS)
-        lw, sp = low[:n], span[:n]
-        lw += unit * begin.view(U)
-        np.multiply(unit, size.view(U), out=sp)
-        k = _settled(lw, sp)
-        if len(k):
-            out[k, used[k]] = lw[k] >> U(32)
-            used[k] += 1
-            lw[k] <<= U(32)
-            sp[k] <<= U(32)
-    k = np.arange(lanes)
+    room = 2 * steps + 4
+    home = np.arange(lanes) * room
+    out, at = np.zeros(lanes * room, np.uint32), home.copy()
+    seen1, seen2 = np.zeros((2, steps, lanes), np.uint8)
+
+    def emit() -> None:
+        k, word = _due(low, span)
+        a = at.take(k)
+        out[a] = word
+        at[k] = a + 1
+
+    learnt = 0
+    for begun in range(0, steps, STRETCH):
+        ended = min(begun + STRETCH, steps)
+        # what no step of the stretch changes
+        x = grid[begun + 2 : ended + 2]
+        entry1, entry2 = m.contexts(grid[begun + 1 : ended + 1], grid[begun:ended])
+        symbols = x + ONCE
+        fresh = symbols << FOUR | ONCE
+        slot = m.t0.take(m.slots(x))
+        known = slot >> 32 == symbols
+        slot = np.where(known, slot & LOW32, m.unseen)
+        first = slot >> COUNTS + 1
+        after = first + (slot & (2 << COUNTS) - 1)
+        for r, t in enumerate(range(begun, ended)):
+            i1, i2, symbol = entry1[r], entry2[r], symbols[r]
+            e1, e2 = t1.take(i1), t2.take(i2)
+            c1, c2 = e1 & MOST, e2 & MOST
+            s1, s2 = e1 >> FOUR, e2 >> FOUR
+            hit2, hit1 = s2 == symbol, s1 == symbol
+            w2 = m.p2.take(m.base_p + c2)
+            w1 = ((ONE - w2) * m.p1.take(m.base_p + c1) >> BITS) * (s1 != s2)
+            both = w2 + w1
+            rest = ONE - both
+            begin = first[r] * rest >> COUNTS
+            size = (after[r] * rest >> COUNTS) - begin
+            begin += both
+            by1 = hit1 & ~hit2
+            np.copyto(begin, w2, where=by1)
+            np.copyto(size, w1, where=by1)
+            begin *= ~hit2
+            np.copyto(size, w2, where=hit2)
+            seen1[t], seen2[t] = (c1 << ONCE | by1) * ~hit2, c2 << ONCE | hit2  # order 1 is judged where order 2 failed
+            t2[i2] = np.where(hit2, e2 + (c2 < MOST), fresh[r])
+            t1[i1] = np.where(hit1, e1 + (c1 < MOST), fresh[r])
+            _narrow(low, span, begin, size, BITS)
+            emit()
+            apart = np.flatnonzero(~(known[r] | hit2 | hit1))
+            if len(apart):
+                lw, sp = low.take(apart), span.take(apart)
+                _narrow(lw, sp, *law.of(x[r].take(apart).astype(np.int64)), LAW)
+                low[apart], span[apart] = lw, sp
+                emit()
+        if ended in EPOCHS:
+            m.learn(grid[learnt + 2 : ended + 2], seen1[learnt:ended], seen2[learnt:ended])
+            learnt = ended
     for _ in range(2):
-        out[k, used] = low >> U(32)
-        used += 1
-        low <<= U(32)
-    return used, [out[i, : used[i]] for i in range(lanes)]
-
-
-def decode_blocks(total: int, scaled: np.ndarray, used: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """The inverse: `total` symbol numbers from the blocks' code words, one after another in `words`."""
-    lanes = len(used)
-    short = total - (lanes - 1) * BLOCK
-    count = scaled.astype(np.int64)
-    cum = np.cumsum(count) - count
-    look = np.repeat(np.arange(len(scaled), dtype=np.uint32), scaled)
-    mixer = Mixer(lanes)
-    ends = np.cumsum(used)
-    read = ends - used
+        out[at] = low >> WORD
+        at += 1
+        low <<= WORD
+    return at - home, [out[a:b] for a, b in zip(home, at, strict=True)]
+
+
+def decode_blocks(total: int, largest: int, used: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The inverse: `total` ids from the blocks' code words, one block after another in `words`."""
+    lanes, steps = len(used), min(BLOCK, total)
+    law, m = Law(largest), Models(lanes, True)
+    t1, t2 = m.t1, m.t2
+    at = np.cumsum(used) - used
     words = np.concatenate([words, np.zeros(2, np.uint32)])
     low, span = np.zeros(lanes, U), np.full(lanes, 2**64 - 1, U)
-    code = (words[read].astype(U) << U(32)) | words[read + 1]
-    read = read + 2
-    grid = np.zeros((BLOCK, lanes), np.uint32)
-    for t in range(min(BLOCK, total)):
-        n = lanes if t < short else lanes - 1
-        if n == 0:
-            break
-        w2, w1 = mixer.weights(n)
+    code = words[at].astype(U) << WORD | words[at + 1]
+    at += 2
+    grid = np.zeros((steps + 2, lanes), np.uint32)
+    seen1, seen2 = np.zeros((2, steps, lanes), np.uint8)
+    learnt = 0
+
+    def take_in() -> None:
+        k, _ = _due(low, span)
+        a = at.take(k)
+        code[k] = code.take(k) << WORD | words.take(a)
+        at[k] = a + 1
+
+    for t in range(steps):
+        i1, i2 = m.contexts(grid[t + 1], grid[t])
+        e1, e2 = t1.take(i1), t2.take(i2)
+        c1, c2 = e1 & MOST, e2 & MOST
+        s1, s2 = e1 >> FOUR, e2 >> FOUR
+        w2 = m.p2.take(m.base_p + c2)
+        w1 = ((ONE - w2) * m.p1.take(m.base_p + c1) >> BITS) * (s1 != s2)
         both = w2 + w1
-        lw, sp = low[:n], span[:n]
-        unit = sp >> U(BITS)
-        v = np.minimum((code[:n] - lw) // unit, U((1 << BITS) - 1)).view(np.int64)
-        hit2, by1 = v < w2, v < both
-        by1 &= ~hit2
-        x = look.take((((np.maximum(v - both, 0) + 1) << COUNTS) - 1) // ((1 << BITS) - both))
-        begin, size = _interval(cum.take(x), count.take(x), w2, both, hit2, by1)
-        symbol = x + np.uint32(1)
-        np.copyto(symbol, mixer.s1, where=by1)
-        np.copyto(symbol, mixer.s2, where=hit2)
-        mixer.update(n, symbol, hit2, mixer.s1 == symbol)
-        np.subtract(symbol, np.uint32(1), out=grid[t, :n])
-        lw += unit * begin.view(U)
-        np.multiply(unit, size.view(U), out=sp)
-        k = _settled(lw, sp)
-        if len(k):
-            lw[k] <<= U(32)
-            sp[k] <<= U(32)
-            code[k] = (code[k] << U(32)) | words[read[k]]
-            read[k] += 1
-    return np.ascontiguousarray(grid.T).ravel()[:total]
+        rest = ONE - both
+        v = np.minimum((code - low) // (span >> U(BITS)), U(ONE - 1)).view(np.int64)
+        by2, by1 = v < w2, v < both
+        by1 &= ~by2
+        v -= both
+        np.maximum(v, 0, out=v)
+        key = m.look.take(m.base_look + ((v + 1 << COUNTS) - 1) // rest) + m.base0
+        slot = m.t0.take(key)
+        symbol = (slot >> 32).astype(np.uint32)
+        slot &= LOW32
+        first = slot >> COUNTS + 1
+        begin = first * rest >> COUNTS
+        size = ((first + (slot & (2 << COUNTS) - 1)) * rest >> COUNTS) - begin
+        begin += both
+        np.copyto(begin, w2, where=by1)
+        np.copyto(size, w1, where=by1)
+        begin *= ~by2
+        np.copyto(size, w2, where=by2)
+        _narrow(low, span, begin, size, BITS)
+        take_in()
+        np.copyto(symbol, s1, where=by1)
+        np.copyto(symbol, s2, where=by2)
+        apart = np.flatnonzero(symbol == 0)
+        if len(apart):
+            lw, sp = low.take(apart), span.take(apart)
+            x, begin, size = law.find(np.minimum((code.take(apart) - lw) // (sp >> U(LAW)), U((1 << LAW) - 1)).view(np.int64))
+            symbol[apart] = x + 1
+            _narrow(lw, sp, begin, size, LAW)
+            low[apart], span[apart] = lw, sp
+            take_in()
+        seen1[t], seen2[t] = (c1 << ONCE | by1) * ~by2, c2 << ONCE | by2
+        fresh = symbol << FOUR | ONCE
+        t2[i2] = np.where(by2, e2 + (c2 < MOST), fresh)
+        t1[i1] = np.where(s1 == symbol, e1 + (c1 < MOST), fresh)
+        np.subtract(symbol, ONCE, out=grid[t + 2])
+        if t + 1 in EPOCHS:
+            m.learn(grid[learnt + 2 : t + 3], seen1[learnt : t + 1], seen2[learnt : t + 1])
+            learnt = t + 1
+    return np.ascontiguousarray(grid[2:].T).ravel()[:total]
 
 
 def pack_segment(ids: np.ndarray, docs: list[tuple[int, int, int]]) -> bytes:
     """docs: (doc_id, how many of its ids are here, whether it ends here)."""
-    symbols, scaled, at = frequencies(ids)
-    used, words = encode_blocks(at, scaled)
+    coded, symbols = ids, np.zeros(0, np.uint32)
+    if int(ids.max()) >> ID_BITS:
+        symbols, coded = np.unique(ids, return_inverse=True)
+    largest = int(coded.max())
+    used, words = encode_blocks(coded, largest)
     data = ids.astype("<u4").tobytes()
     crcs = np.array([zlib.crc32(data[k : k + 4 * BLOCK]) for k in range(0, len(data), 4 * BLOCK)], "<u4")
-    sections = [
-        zlib.compress(np.diff(symbols, prepend=np.uint32(0)).astype("<u4").tobytes()), zlib.compress((scaled - 1).astype("<u2").tobytes()),
-        zlib.compress(np.array(docs, "<i8").tobytes()), used.astype("<u4").tobytes(), crcs.tobytes(), np.concatenate(words).astype("<u4").tobytes(),
-    ]
-    return HEADER.pack(len(ids), len(docs), len(used), *map(len, sections)) + b"".join(sections)
+    sections = [zlib.compress(np.diff(symbols, prepend=np.uint32(0)).astype("<u4").tobytes()), zlib.compress(np.array(docs, "<i8").tobytes()), used.astype("<u4").tobytes(), crcs.tobytes(), np.concatenate(words).astype("<u4").tobytes()]
+    return HEADER.pack(len(ids), len(docs), len(used), largest, *map(len, sections)) + b"".join(sections)
 
 
 def read_segment(f) -> tuple[np.ndarray, np.ndarray] | None:
@@ -234,13 +320,14 @@ def read_segment(f) -> tuple[np.ndarray, np.ndarray] | None:
 
 
 def _read(f, head: bytes) -> tuple[np.ndarray, np.ndarray]:
-    total, n_docs, n_blocks, *sizes = HEADER.unpack(head)
+    total, n_docs, n_blocks, largest, *sizes = HEADER.unpack(head)
     part = [f.read(k) for k in sizes]
     symbols = np.cumsum(np.frombuffer(zlib.decompress(part[0]), "<u4"), dtype=np.uint32)
-    scaled = np.frombuffer(zlib.decompress(part[1]), "<u2").astype(np.uint32) + np.uint32(1)
-    docs = np.frombuffer(zlib.decompress(part[2]), "<i8").reshape(n_docs, 3)
-    used, crcs = np.frombuffer(part[3], "<u4").astype(np.int64), np.frombuffer(part[4], "<u4")
-    ids = symbols[decode_blocks(total, scaled, used, np.frombuffer(part[5], "<u4"))].astype("<u4")
+    docs = np.frombuffer(zlib.decompress(part[1]), "<i8").reshape(n_docs, 3)
+    used, crcs = np.frombuffer(part[2], "<u4").astype(np.int64), np.frombuffer(part[3], "<u4")
+    ids = decode_blocks(total, largest, used, np.frombuffer(part[4], "<u4")).astype("<u4")
+    if len(symbols):
+        ids = symbols[ids].astype("<u4")
     data = ids.tobytes()
     for i in range(n_blocks):
         if zlib.crc32(data[4 * BLOCK * i : 4 * BLOCK * (i + 1)]) != crcs[i]:
@@ -248,25 +335,6 @@ def _read(f, head: bytes) -> tuple[np.ndarray, np.ndarray]:
     return ids, docs
 
 
-def divided(ids: np.ndarray, docs: list[tuple[int, int, int]]) -> Iterator[tuple[np.ndarray, list[tuple[int, int, int]]]]:
-    """A segment's (ids, docs), in halves of halves as long as there are more different ids than counts can tell apart."""
-    if len(ids) <= 1 << COUNTS or len(np.unique(ids)) <= 1 << COUNTS:
-        yield ids, docs
-        return
-    half, first, rest, at = len(ids) // 2, [], [], 0
-    for doc, here, ends in docs:
-        if at + here <= half:
-            first.append((doc, here, ends))
-        elif at >= half:
-            rest.append((doc, here, ends))
-        else:
-            first.append((doc, half - at, 0))
-            rest.append((doc, at + here - half, ends))
-        at += here
-    yield from divided(ids[:half], first)
-    yield from divided(ids[half:], rest)
-
-
 class FileWriter:
     """Gathers documents to segments; memory is one segment."""
 
@@ -289,10 +357,7 @@ class FileWriter:
 
     def flush(self) -> None:
         if self.held:
-            ids = np.concatenate(self.parts)
-            # a vocabulary that fits the counts needs no look at how many different ids there are
-            for part in divided(ids, self.docs) if ids.max() >= 1 << COUNTS else [(ids, self.docs)]:
-                self.out.write(pack_segment(*part))
+            self.out.write(pack_segment(np.concatenate(self.parts), self.docs))
         self.parts, self.docs, self.held = [], [], 0
 
 
@@ -322,7 +387,9 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str | None = None, end
     """
     path = vocabulary or tokens.default_path()
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).alias("text"))
-    d = d.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    order = ("doc_id", "hash", "row")  # the last two let rows that share an id fall into several ranges
+    d = d.select("*", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    d = d.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -351,18 +418,19 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str | None = None, end
 def read_files(manifest: DataFrame, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the files; manifest: file, first (ids in all files before it)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         files, base = storage(folder)
         for batch in batches:
             for r in batch.to_pylist():
-                start, rows = r["first"], []
+                start = r["first"]
                 with files.open_input_file(f"{base}/{r['file']}") as f:
                     for doc, n, crc in read_file(f):
-                        rows.append((None if doc == NULL_ID else doc, start, n, crc))
+                        yield None if doc == NULL_ID else doc, start, n, crc
                         start += n
-                for k in range(0, len(rows), 10000):
-                    cols = zip(*rows[k : k + 10000], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in batched(rows(batches), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*some, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return manifest.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
@@ -370,7 +438,7 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
 def round_trip(docs: DataFrame, scratch: Scratch, vocabulary: str | None = None, end_id: int = 0) -> DataFrame:
     """Writes all documents' ids and reads them back: one row per row of `docs`.
 
-    A null or empty text is its end id alone. Equal ids stand side by side, ordered by their texts' hash. Empty tables
+    A null or empty text is its end id alone. Null ids come first; equal ids stand side by side, ordered by their texts' hash. Empty tables
     write no file and give no rows. Other columns are ignored whatever their names.
     """
     folder = scratch.path("ids")

@@ -70,9 +70,16 @@ def check_packing(rows, expected, capacity=2048):
     return padding
 
 
+def library():
+    """The tokenizer as the library loads it, with no setting changed and none of the operators' code."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokens.default_path())
+
+
 def ids_of(texts, end):
-    encode = tokens.Encoder(tokens.default_path())
-    return [x + np.array([end], "<u4").tobytes() for x in encode(texts)]
+    found = library().encode_batch([t or "" for t in texts], add_special_tokens=False)
+    return [np.array([*e.ids, end], "<u4").tobytes() for e in found]
 
 
 def test_packing_is_whole_and_tight(spark):
@@ -110,7 +117,7 @@ def test_encoder_equals_the_library():
     marks = ["", " ", "  ", "\n", "\n\n", "\t", "a", "don't", "x.", "3.14", "é", "漢字", "<|endoftext|>", " ", "A!!", "###", "|", "\r\n", "'s", "ß,", "1st", "　"]
     texts = ["".join(r.choice(marks) + r.choice(["", " "]) for _ in range(r.randrange(12))) for _ in range(3000)]
     e = tokens.Encoder(tokens.default_path())
-    whole = [np.array(x.ids, "<u4").tobytes() for x in e.tok.encode_batch(texts, add_special_tokens=False)]
+    whole = [x[:-4] for x in ids_of(texts, 0)]
     assert e(texts) == whole and e(texts) == whole
     assert e([None, ""]) == [b"", b""]
 
@@ -607,6 +614,25 @@ def test_segments_of_many_different_ids():
     assert list(token_files.read_file(out)) == [(i, len(x), zlib.crc32(x.tobytes())) for i, x in docs]
 
 
+def test_a_block_is_read_alone():
+    """The models of a block know nothing of the others: each block's words alone give its ids."""
+    r = np.random.default_rng(21)
+    ids = (r.zipf(1.2, 3 * token_files.BLOCK + 100) % 50_257).astype("<u4")
+    used, words = token_files.encode_blocks(ids, 50_256)
+    for k in (2, 0, 1):
+        n = token_files.BLOCK
+        assert (token_files.decode_blocks(n, 50_256, used[k : k + 1], words[k]) == ids[k * n : (k + 1) * n]).all()
+
+
+def test_order_0_adapts():
+    """Independent draws, which contexts can't predict: what few ids a block uses is learned within it, then others in the next."""
+    r = np.random.default_rng(22)
+    few = [r.integers(0, 50_257, 40) for _ in range(2)]
+    ids = np.concatenate([x[r.integers(0, 40, token_files.BLOCK)] for x in few]).astype("<u4")
+    used, _ = token_files.encode_blocks(ids, 50_256)
+    assert all(math.log2(40) < 32 * u / token_files.BLOCK < 8 for u in used)
+
+
 def test_contexts_are_used():
     """Ids that follow from the two before cost far less than their order-0 entropy."""
     r = np.random.default_rng(15)
@@ -653,3 +679,11 @@ def test_files_awkward(spark):
     df = awkward(spark)
     check_files(spark, df, token_files.round_trip(clashing(df), Scratch(spark)))
     assert token_files.round_trip(df.limit(0), Scratch(spark)).count() == 0
+
+
+def test_rows_that_share_an_id_fill_several_files(spark):
+    df = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same row again and again").alias("text")).repartition(4)
+    folder = Scratch(spark).path("ids")
+    files = token_files.write_files(df, folder).collect()
+    per_row = len(ids_of(["the same row again and again"], 0)[0]) // 4
+    assert len(files) > 1 and sum(f.n_ids for f in files) == 4000 * per_row
