@@ -1,6 +1,7 @@
 """Each operator on small fixtures: brute force, exact round trips, held-out accuracy, and the awkward cases."""
 
 import collections
+import hashlib
 import io
 import math
 import random
@@ -563,6 +564,57 @@ def test_mixing_meets_targets(spark):
     assert table(mixing.mix(df.repartition(7), Scratch(spark))) == table(mixing.mix(df, Scratch(spark)))
 
 
+def brute_mix(sizes, target, most=2):
+    """Copies of a source's documents {id: words}: expected copies by bisection, then Pareto order, one document at a time."""
+    weight = {i: min(n.bit_length(), 8) for i, n in sizes.items()}
+    low, high = 0.0, 2.0 * most
+    for _ in range(200):
+        factor = (low + high) / 2
+        words = sum(n * min(most, weight[i] * factor) for i, n in sizes.items())
+        low, high = (factor, high) if words < target else (low, factor)
+    expected = {i: min(float(most), weight[i] * low) for i in sizes}
+    copies = {i: math.floor(x + 1e-9) for i, x in expected.items()}
+    left = target - sum(copies[i] * n for i, n in sizes.items())
+    drawn = {}
+    for i, x in expected.items():
+        if (share := x - copies[i]) > 1e-9:
+            u = (int(hashlib.md5(f"{i}:mix".encode()).hexdigest()[:13], 16) + 0.5) / 16.0**13
+            drawn[i] = (u / (1 - u)) / (share / (1 - share)), u
+    at, order = 0, sorted(drawn, key=lambda i: drawn[i][0])
+    for i in order:
+        if at < left and at + sizes[i] - left <= left - at:
+            copies[i] += 1
+        at += sizes[i]
+    return copies, order, sorted(drawn, key=lambda i: drawn[i][1])
+
+
+def test_pareto_order_equals_brute_force(spark, monkeypatch):
+    """Whole copies, ranks and the cut, one document at a time; the order is not that of the plain random numbers."""
+    r = random.Random(23)
+    rows = [(i, prose(r, r.choice([1, 2, 5, 20, 90, 400])), r.choice("abc")) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.mix(df, Scratch(spark)).collect()
+    source = {i: s for i, _, s in rows}
+    whole = set()
+    for s in "abc":
+        mine = [x for x in found if source[x["doc_id"]] == s]
+        copies, order, plain = brute_mix({x["doc_id"]: x["size"] for x in mine}, mine[0]["target"])
+        assert {x["doc_id"]: x["copies"] for x in mine} == copies
+        assert not order or order != plain
+        whole |= set(copies.values())
+    assert whole == {0, 1, 2}
+    monkeypatch.setattr(mixing, "SMALL_ROWS", 0)  # dealt in salted copies instead of broadcast
+    assert table(mixing.mix(df, Scratch(spark))) == sorted(map(str, found))
+
+
+def test_inclusion_follows_the_weights(spark):
+    """Of two lengths with weights 2 and 7 the longer is drawn 3.5 times as often."""
+    text = F.when(F.col("id") % 2 == 0, F.lit("a b c")).otherwise(F.repeat(F.lit("a "), 100))
+    df = spark.range(40_000).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("x").alias("source"))
+    found = {r["size"]: r["n"] for r in mixing.mix(df, Scratch(spark), percent=60).groupBy("size").agg(F.avg("copies").alias("n")).collect()}
+    assert abs(found[100] / found[3] - 3.5) < 0.3
+
+
 def test_mixing_awkward(spark):
     df = awkward(spark)
     found = mixing.mix(clashing(df), Scratch(spark)).collect()
