@@ -392,14 +392,39 @@ def test_search_equals_brute_force(spark, monkeypatch, dims, n, k):
     assert sorted(map(tuple, topk.exact_topk(df, Scratch(spark), k).collect())) == brute_top(whole, k)
 
 
+def searched(data, query, k=20):
+    n = len(data)
+    (got,) = topk.threshold_search(np.arange(n), data, topk.sorted_lists(data), np.array([-1]), query[None], k)
+    want = np.lexsort((np.arange(n), -(data @ query)))[:k]
+    assert list(got[1]) == list(want) and list(got[2]) == list((data @ query)[want])
+    return got[3] / n
+
+
 def test_search_stops_early():
-    """With one heavy dimension the lists are left long before their ends."""
+    """How many vectors are scored: few with one heavy dimension or a falling spectrum, all where nothing can be told apart."""
     r = np.random.default_rng(1)
     data = r.integers(-5, 5, (20_000, 4))
     data[:, 0] = r.integers(-1000, 1000, 20_000)
-    (got,) = topk.threshold_search(np.arange(20_000), data, np.array([-1]), np.array([[50, 1, 0, 0]]), 20)
-    want = np.lexsort((np.arange(20_000), -(data @ np.array([50, 1, 0, 0]))))[:20]
-    assert list(got[1]) == list(want)
+    assert searched(data, np.array([50, 1, 0, 0])) < 0.03
+    scale = 300 * 0.6 ** np.arange(16)
+    falling = np.floor(r.normal(size=(20_000, 16)) * scale).astype(np.int64)
+    assert np.mean([searched(falling, falling[i]) for i in range(20)]) < 0.25
+    few = np.floor(r.normal(size=(20_000, 4)) * 100).astype(np.int64)
+    assert np.mean([searched(few, few[i]) for i in range(20)]) < 0.3
+    assert searched(data, np.zeros(4, np.int64)) == 1
+
+
+def test_lists_of_no_weight_are_not_read():
+    r = np.random.default_rng(2)
+    data = r.integers(-100, 100, (5000, 8))
+    assert searched(data, np.array([0, 7, 0, 0, 0, 0, 0, 0])) < 0.05
+    assert searched(data, np.array([0, -7, 0, 0, 0, 0, 0, 0])) < 0.05
+
+
+def test_query_rows_that_share_an_id_are_one_query(spark):
+    df = spark.createDataFrame([(20, [0.5, 0.0]), (20, [0.25, 1.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    found = sorted(tuple(x) for x in topk.exact_topk(df, Scratch(spark), 2).collect())
+    assert found == [(20, 1, 2, 4096), (20, 2, 1, 1024)]
 
 
 def test_search_awkward(spark):
