@@ -5,7 +5,8 @@ reads its lists from the end its signs ask for (sorted access), scores every vec
 its kth best score beats the threshold: the best score that a vector not yet met could have, given where the lists stand.
 Lists are not read in step: each read goes where it lowers the threshold most, so lists that weigh little in the query
 are left almost unread. It starts with a stretch that meets a few times k vectors and reads GROWTH times as much in each round,
-but never beyond the depths that its present kth score calls for.
+but never beyond the depths that its present kth score calls for. Where these lie so deep that the reads left cost more
+than scoring what is left, as in many dimensions of equal weight, the rest is scored outright.
 
 Vectors and queries meet block by block: each pair of a candidate block and a query block is one row of work, so memory
 is two blocks whatever the table's size, and a pair's results are k rows a query.
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 CANDIDATES, QUERIES = 16384, 1024
-#: Depths at which the lists are compared, and the first stretch as a multiple of k.
-GRID, FIRST, GROWTH = 64, 4, 4
+#: Depths at which the lists are compared, the first stretch as a multiple of k, what a round reads more than the one before,
+#: and how many reads for each vector left cost more than scoring it outright.
+GRID, FIRST, GROWTH, DEAR = 64, 4, 8, 4
 BLOCK = "block string, dims int, ids binary, data binary, lists binary"
 
 
@@ -129,20 +131,17 @@ def threshold_search(ids: np.ndarray, data: np.ndarray, lists: np.ndarray, query
         score = np.zeros(n, kind)
         read, kth, budget = np.zeros(dims, np.int64), None, FIRST * k
         while not seen.all():
-            if kth is None:
-                needed = np.full(dims, len(worth))
-            else:
-                needed = _depths(worth, lambda to: left[to, each].sum() < kth)
-                if left[needed, each].sum() >= kth:  # only reading a list to its end can settle ties with the kth
-                    needed = np.full(dims, len(worth))
+            needed = np.full(dims, len(worth))
+            if 8 * budget > n and kth is not None:  # before, kth says little yet
+                needed = np.maximum(read, _depths(worth, lambda to: left[to, each].sum() < kth))
+                if depth[needed].sum() - depth[read].sum() > DEAR * (n - seen.sum()):  # or only an end settles ties
+                    needed = read
             to = needed
             if depth[needed].sum() > budget:
-                to = np.minimum(needed, _depths(worth, lambda to, most=budget: depth[to].sum() >= most))
-            to = np.maximum(read, to)
-            if (to == read).all():
-                to = np.maximum(read, needed)  # worth nothing by itself: go where the threshold asks for
+                to = np.maximum(read, np.minimum(needed, _depths(worth, lambda to, most=budget: depth[to].sum() >= most)))
+                to = needed if (to == read).all() else to
             met = [lists[d, depth[a] : depth[b]] if exact[d] > 0 else lists[d, n - depth[b] : n - depth[a]] for d, (a, b) in enumerate(zip(read, to, strict=True)) if a < b and exact[d]]
-            new = np.unique(np.concatenate(met)) if met else np.flatnonzero(~seen)  # a zero query meets all at once
+            new = np.unique(np.concatenate(met)) if met else np.flatnonzero(~seen)  # nothing is worth a read: all others are met
             new = new[~seen[new]]
             score[new] = values[new] @ q
             seen[new] = True
