@@ -44,7 +44,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.train())
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, secret_scan.train(words=secret_scan.dictionary(docs)))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

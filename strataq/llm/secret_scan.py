@@ -2,19 +2,23 @@
 
 Candidates are long mixed runs, values assigned to a telling name, credentials in connection strings and private keys.
 The forest looks at a candidate's length, its character classes and transitions, how much of it dictionary words and
-letter runs cover, the path of its text and the words around it. It is trained from labelled findings; without any
-given it uses generated ones.
+letter runs cover, the path of its text and the words around it. It is trained from labelled findings: those given, or
+else ones generated from publicly documented forms of credentials and of the things they are mistaken for. The
+dictionary is the vocabulary of Python's own documentation and, where `dictionary` is used, the frequent words of the
+texts that are scanned.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 import math
 import random
 import re
 import string
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,11 +36,10 @@ PEM_EDGE = re.compile(r"-----(BEGIN|END) [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
 LEAST_PEM = 16
 MARK = "<secret>"
 
-# Words that speak for a secret, for a digest or an identifier, and for a placeholder; everyday words of code.
+# Words that speak for a secret, for a digest or an identifier, and for a placeholder.
 SECRET_WORDS = "token secret password passwd pwd key apikey api_key access_key credential credentials auth bearer private".split()
 DIGEST_WORDS = "sha sha1 sha256 sha512 md5 commit digest checksum integrity hash uuid guid id isbn etag revision version order serial phone".split()
 PLACEHOLDER_WORDS = "example changeme change_me placeholder your yours dummy sample fake test xxxx none null todo insert here redacted".split()
-CODE_WORDS = "the and for with this that from user name file path data value list page home index main test http https www com org net html json image table class object string number type time date code text line read write open close get set new old key item node tree server client config version update delete create".split()
 TEST_PATHS, NOISY_SUFFIXES = ("test", "spec", "fixture", "example", "sample", "mock", "docs"), (".lock", ".min.js", ".svg", ".map", ".sum", ".md")
 
 
@@ -109,12 +112,43 @@ FEATURES = (
 )
 
 
-def features(text: str, c: Candidate, path: str | None) -> list[float]:
-    v = text[c.start : c.end][:4096]
+@functools.cache
+def known_words() -> frozenset[str]:
+    """Some 3000 English words and words of code."""
+    from pydoc_data import topics
+
+    return frozenset(re.findall(r"[a-z]{3,}", " ".join(topics.topics.values()).lower()))
+
+
+def dictionary(docs: DataFrame, most: int = 20_000, least: int = 20, text_col: str = "text") -> frozenset[str]:
+    """The `most` words of letters alone that stand most often in all the texts, `least` times at least; ties by code point.
+    What comes to the driver is bounded by `most` words of at most 24 letters."""
+    word = F.explode(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}]+")).alias("word")
+    count = docs.select(word).where(F.length("word").between(3, 24)).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return frozenset(r.word for r in count.orderBy(F.col("n").desc(), "word").limit(most).collect())
+
+
+def covered(runs: list[str], words: frozenset[str]) -> int:
+    """Letters that words cover, the longest word taken at each place."""
+    total = 0
+    for run in runs:
+        at = 0
+        while at + 3 <= len(run):
+            for to in range(min(len(run), at + 24), at + 2, -1):
+                if run[at:to] in words:
+                    total, at = total + to - at, to
+                    break
+            else:
+                at += 1
+    return total
+
+
+def features(text: str, c: Candidate, path: str | None, words: frozenset[str]) -> list[float]:
+    v = text[c.start : c.end]
     n, low, kinds = len(v), v.lower(), _classes(v)
     pairs = list(zip(kinds, kinds[1:], strict=False))
     count = Counter(v)
-    runs = re.findall(r"[a-z]+", low)
+    runs = re.findall(r"[^\W\d_]+", low)
     before, after = text[max(0, c.start - AROUND) : c.start].lower(), text[c.end : c.end + AROUND].lower()
     near = re.findall(r"[a-z0-9_]+", before)[-4:] + re.findall(r"[a-z0-9_]+", after)[:2]
     where = (path or "").lower()
@@ -123,7 +157,7 @@ def features(text: str, c: Candidate, path: str | None) -> list[float]:
         math.log(n), -sum(x / n * math.log2(x / n) for x in count.values()), len(count) / n, share("l"), share("u"), share("d"), share("s"),
         sum(a != b for a, b in pairs) / n, sum({a, b} in ({"l", "d"}, {"u", "d"}) for a, b in pairs) / n, sum({a, b} == {"l", "u"} for a, b in pairs) / n,
         float(all(x in string.hexdigits for x in v)), max(map(len, runs), default=0) / n, sum(a == b for a, b in zip(v, v[1:], strict=False)) / n,
-        sum(len(w) for w in re.findall("|".join(sorted(CODE_WORDS, key=len, reverse=True)), low)) / n, sum(x in "aeiou" for x in low) / max(1, sum(map(len, runs))),
+        covered(runs, words) / n, sum(x in "aeiou" for x in low) / max(1, sum(map(len, runs))),
         float(any(w in low for w in PLACEHOLDER_WORDS)), float(any(w in where for w in TEST_PATHS)), float(where.endswith(NOISY_SUFFIXES)),
         float(c.kind == "assigned"), float(c.kind == "login"), float(c.kind == "private-key"),
         float(any(w in SECRET_WORDS or any(s in w for s in ("token", "secret", "passw", "key")) for w in near)), float(any(w in DIGEST_WORDS or w.startswith(("sha", "md5")) for w in near)),
@@ -131,37 +165,57 @@ def features(text: str, c: Candidate, path: str | None) -> list[float]:
     ]
 
 
-def generated_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, bool]]:
-    """Labelled findings (text, path, is a secret) made from rules: what real and false findings look like."""
+def generated_findings(n: int = 6000, seed: int = 11, words: frozenset[str] | None = None) -> list[tuple[str, str, bool]]:
+    """Labelled findings (text, path, is a secret): publicly documented forms of credentials, and of hashes, identifiers, names,
+    paths and placeholders that are none, in the syntaxes they are written in."""
     r = random.Random(seed)
-    pick = lambda k, letters: "".join(r.choice(letters) for _ in range(k))
-    hexa, b62 = string.digits + "abcdef", string.ascii_letters + string.digits
-    syllables = [a + b for a in "bcdfglmnprstv" for b in ("a", "e", "i", "o", "an", "er", "on")]
-    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
-    prose = lambda: " ".join(word() for _ in range(r.randint(0, 8)))
-    names = ["token", "api_key", "secret", "password", "access_key", "client_secret", "auth_token", "db_password", "TOKEN", "API_KEY", "Secret"]
-    sources = ["src0", "src7", "app/main.py", "config/settings.yml", "web/server.ts", "deploy/prod.env", None]
-    quiet = ["tests/data.py", "package.lock", "docs/readme.md", "web/app.min.js", "src3", "icons/logo.svg", "go.sum"]
-    opaque = lambda: r.choice([lambda: pick(r.choice([32, 40, 40, 48, 64]), hexa), lambda: pick(r.randint(20, 64), b62), lambda: pick(40, b62 + "+/"), lambda: "AKIA" + pick(16, string.ascii_uppercase + string.digits), lambda: "ghp_" + pick(36, b62), lambda: pick(40, hexa).upper()])()
-    strong = lambda: pick(r.randint(10, 18), b62 + "!@#%^*")
+    vocabulary = sorted(words or known_words())
+    pick = lambda k, letters: "".join(r.choices(letters, k=k))
+    low, up, digits, hexa = string.ascii_lowercase, string.ascii_uppercase, string.digits, string.digits + "abcdef"
+    b62 = string.ascii_letters + digits
+    word = lambda: r.choice(vocabulary)
+    joined = lambda sep, k: sep.join(word() for _ in range(k))
+    prose = lambda: joined(" ", r.randint(0, 9))
+    uuid = lambda: "-".join(pick(k, hexa) for k in (8, 4, 4, 4, 12))
+    either = lambda *forms: r.choice(forms)()
+    opaque = lambda: either(
+        lambda: pick(r.choice([16, 18, 20, 24, 32, 40, 48, 64]), r.choice([hexa, hexa, hexa.upper()])), lambda: pick(r.randint(16, 64), b62), lambda: pick(40, b62 + "+/"), lambda: pick(r.randint(20, 64), b62 + "_-"),
+        lambda: r.choice(["AKIA", "ASIA"]) + pick(16, up + "234567"), lambda: r.choice(["ghp_", "gho_", "ghs_"]) + pick(36, b62), lambda: "glpat-" + pick(20, b62), lambda: f"xoxb-{pick(11, digits)}-{pick(12, digits)}-{pick(24, b62)}",
+        lambda: r.choice(["sk_live_", "rk_live_"]) + pick(24, b62), lambda: "AIza" + pick(35, b62 + "_-"), lambda: f"SG.{pick(22, b62)}.{pick(43, b62)}", lambda: "npm_" + pick(36, b62), lambda: "SK" + pick(32, hexa),
+        lambda: f"eyJ{pick(r.randint(17, 40), b62)}.eyJ{pick(r.randint(30, 600), b62)}.{pick(43, b62 + '_-')}", lambda: pick(86, b62 + "+/") + "==", lambda: "dop_v1_" + pick(64, hexa),
+    )
+    password = lambda: either(lambda: pick(r.randint(8, 20), b62 + "!@#%^*"), lambda: pick(r.randint(8, 24), low + digits), lambda: word().title() + pick(r.randint(2, 6), digits + "!$"), lambda: pick(r.randint(8, 24), hexa))
+    name = lambda: r.choice([str.lower, str.upper, str.title])(r.choice(["", "", word() + "_"]) + r.choice(["token", "api_key", "apikey", "secret", "password", "passwd", "access_key", "client_secret", "auth_token", "secret_key", "credential"]))
+    q = lambda: r.choice(["'", '"', "`"])
+
+    def assign(key: str, value: str) -> str:
+        mark = q()
+        return r.choice([f"{key}={value}", f"{key} = {mark}{value}{mark}", f"{key}: {value}", f"{key}: {mark}{value}{mark}", f'"{key}": "{value}",', f"export {key}={value}", f"const {key} = {mark}{value}{mark};", f"?{word()}={word()}&{key}={value}"])
+
     good = [
-        lambda: f'{r.choice(names)} {r.choice("=:")} "{opaque()}"', lambda: f"{r.choice(names)}={opaque()}", lambda: f"{r.choice(names)}: '{strong()}'", lambda: f"Authorization: Bearer auth {opaque()}",
-        lambda: f"postgres://{word()}:{strong()[:10].translate(str.maketrans('@#:/', 'abcd'))}@{word()}.internal/db", lambda: f"-----BEGIN RSA PRIVATE KEY-----\n{pick(400, b62 + '+/')}\n-----END RSA PRIVATE KEY-----",
-        lambda: f"secret key {opaque()}", lambda: f'| {r.choice(names)} = "{opaque()}" |', lambda: f'{r.choice(names).upper()} = "{opaque().upper()}"!!', lambda: f'{r.choice(names)} = "{opaque()}"###',
+        lambda: assign(name(), opaque()), lambda: assign(name(), opaque()), lambda: assign(name(), password()), lambda: f"Authorization: Bearer {opaque()}", lambda: f"curl -H 'X-Api-Key: {opaque()}' https://{word()}.io",
+        lambda: f"{r.choice(['postgres', 'mysql', 'amqp', 'redis', 'https'])}://{word()}:{password().translate(str.maketrans('@#:/', 'abcd'))}@{word()}.internal/db", lambda: f"{word()} --token {opaque()}",
+        lambda: f"-----BEGIN {r.choice(['RSA ', 'EC ', '', 'OPENSSH '])}PRIVATE KEY-----\n" + "\n".join(pick(64, b62 + "+/") for _ in range(r.randint(2, 30))) + "\n-----END PRIVATE KEY-----",
+        lambda: r.choice(["AKIA", "ASIA"]) + pick(16, up + "234567"), lambda: f"{r.choice(['secret', 'key', 'token', 'credentials', 'private'])} {opaque()}", lambda: r.choice(["ghp_" + pick(36, b62), "sk_live_" + pick(24, b62), "AIza" + pick(35, b62)]),
     ]
     bad = [
-        lambda: f"commit {pick(40, hexa)}", lambda: f"sha256: {pick(64, hexa)}", lambda: f"integrity sha512-{pick(86, b62 + '+/')}==", lambda: f"https://{word()}.example.com/{word()}/{pick(32, hexa)}",
-        lambda: f"id={pick(8, hexa)}-{pick(4, hexa)}-{pick(4, hexa)}-{pick(4, hexa)}-{pick(12, hexa)}", lambda: f'token = "{r.choice(["YOUR_TOKEN_HERE", "your-api-key-here", "changeme123", "example_token_1", "xxxxxxxxxxxxxxxx1"])}"',
-        lambda: f"password: {r.choice(['<redacted>', 'placeholder', 'changeme', 'test1234'])}", lambda: f"{word()}_{word()}_{word()}_{word()}_{r.randint(0, 99)}_{word()}_{word()}_{word()}", lambda: f"{word()}-{word()}-{word()}-2024-{word()}-{word()}-{word()}",
-        lambda: f"md5 {pick(32, hexa)} {word()}", lambda: f"order {pick(16, string.digits)}A{pick(8, string.digits)}", lambda: f"token = get_{word()}_from_{word()}()", lambda: f"{word()}/{word()}/{word()}/{word()}/{word()}{r.randint(0, 9)}.{word()}",
-        lambda: f"secret: {word()}{word()}{word()}", lambda: f"auth={word()}.{word()}.{word()}", lambda: f"etag {pick(32, hexa)}",
+        lambda: f"commit {pick(40, hexa)}", lambda: f"{r.choice(['sha256', 'sha1', 'md5', 'checksum', 'digest'])}{r.choice([': ', '=', ' '])}{pick(r.choice([32, 40, 64]), hexa)}", lambda: f'"integrity": "sha512-{pick(86, b62 + "+/")}=="',
+        lambda: f"{r.choice(['id', 'guid', 'uuid', 'request_id', 'order'])}{r.choice(['=', ': ', ' '])}{uuid()}", lambda: f"https://{word()}.com/{joined('/', 2)}/{pick(32, hexa)}", lambda: f"https://{word()}.org/{joined('-', 5)}-{r.randint(1, 9999)}",
+        lambda: assign(name(), r.choice(["your_token_here", "YOUR-API-KEY", "changeme", "changeme123", "example_key_1", "xxxxxxxxxxxx", "<redacted>", "placeholder", "insert-key-here", "dummy_value_1", "test1234", "********"])),
+        lambda: assign(name(), r.choice(["${" + name().upper() + "}", f"os.environ[{name()}]", f"get_{word()}_from_{word()}()", f"process.env.{name().upper()}", f"config.{word()}.{word()}", f"{word()}.{word()}({word()})", "{{ " + word() + "." + word() + " }}"])),
+        lambda: f"{joined('_', 6)}_{r.randint(0, 99)}", lambda: f"{joined('-', 5)}-2024-{word()}", lambda: f"{joined('/', 5)}{r.randint(0, 9)}.{word()}", lambda: "".join(word().title() for _ in range(5)) + str(r.randint(1, 9)),
+        lambda: f"{word()}.{pick(r.choice([8, 20, 32]), hexa)}.{r.choice(['js', 'css', 'png'])}", lambda: f"ssh-rsa AAAAB3NzaC1yc2E{pick(200, b62 + '+/')} {word()}@{word()}", lambda: f"data:image/png;base64,iVBORw0KGgo{pick(r.randint(40, 300), b62 + '+/')}",
+        lambda: f"etag {pick(32, hexa)}", lambda: f"version {r.randint(1, 9)}.{r.randint(0, 99)}.{r.randint(0, 99)}-{word()}.{pick(14, digits)}+{pick(7, hexa)}", lambda: f"order {pick(16, digits)}A{pick(8, digits)}", lambda: assign(r.choice(["author", "token_type", "secret_name", "key_file", "auth_method"]), joined(r.choice(["-", "_", "."]), 3)),
+        lambda: f"{name()}: {joined('', 3)}", lambda: f"{word()}={joined('', 2)}{r.randint(1, 99)}&{word()}={joined('_', 4)}_{r.randint(1, 9)}", lambda: f"revision {pick(12, digits)}-{pick(12, hexa)}",
     ]
+    anywhere = ["", "", "", "app/main.py", "config/settings.yml", "web/server.ts", "deploy/prod.env", "src/{}.go", "{}.txt", "{}"]
+    quiet = ["tests/{}.py", "{}.lock", "docs/{}.md", "web/{}.min.js", "icons/{}.svg", "go.sum", "fixtures/{}.json"]
     out = []
     for i in range(n):
         real = i % 2 == 0
         body = r.choice(good if real else bad)()
-        path = r.choice(sources) if real or r.random() < 0.5 else r.choice(quiet)
-        out.append((f"{prose()} {body} {prose()}", path or "", real))
+        path = r.choice(anywhere if real and r.random() < 0.9 or r.random() < 0.6 else quiet).format(word())
+        out.append((f"{prose()} {body}{r.choice(['', '', '.', ',', ';'])} {prose()}", path, real))
     return out
 
 
@@ -218,24 +272,35 @@ class Forest:
         return total / max(1, len(self.trees))
 
 
-def train(findings: list[tuple[str, str, bool]] | None = None, most: int = 20000) -> Forest:
-    """A forest from labelled findings (text, path, is a secret), at most `most` of them; each text's candidates are its
-    rows. Generated findings are used if none are given."""
+class Detector:
+    """A forest with the dictionary that its features are made with."""
+
+    def __init__(self, forest: Forest, words: frozenset[str]):
+        self.forest, self.words = forest, words
+
+    def chances(self, found: list[tuple[str, Candidate, str | None]]) -> np.ndarray:
+        return self.forest.predict(np.array([features(t, c, p, self.words) for t, c, p in found])) if found else np.zeros(0)
+
+
+def train(findings: Iterable[tuple[str, str, bool]] | None = None, words: frozenset[str] = frozenset(), most: int = 20000) -> Detector:
+    """A detector from labelled findings (text, path, is a secret), the first `most` of them; each text's candidates are its
+    rows. Generated findings are used if none are given. `words` come on top of the words that are known anyway."""
+    words = known_words() | words
     x, y = [], []
-    for text, path, real in (generated_findings() if findings is None else findings[:most]):
+    for text, path, real in itertools.islice(generated_findings(words=words) if findings is None else findings, most):
         for c in candidates(text):
-            x.append(features(text, c, path))
-            y.append(real)
-    return Forest().fit(np.array(x), np.array(y))
+            for inner in (c, *c.inner):  # as they are judged
+                x.append(features(text, inner, path, words))
+                y.append(real)
+    return Detector(Forest().fit(np.array(x), np.array(y)), words)
 
 
-def _judge(forest: Forest, texts: list[str | None], paths: list[str | None], threshold: float) -> list[list[tuple[Candidate, float]]]:
+def _judge(detector: Detector, texts: list[str | None], paths: list[str | None], threshold: float) -> list[list[tuple[Candidate, float]]]:
     """For each text its candidates of at least `threshold`, each as likely as it or the likeliest value assigned inside it;
     the forest is asked once for all texts."""
     found = [candidates(t) if t else [] for t in texts]
-    rows = [features(t, x, p) for t, p, cs in zip(texts, paths, found, strict=True) for c in cs for x in (c, *c.inner)]
-    chances = iter(forest.predict(np.array(rows)) if rows else ())
-    scored = [[(c, max(float(next(chances)) for _ in range(1 + len(c.inner)))) for c in cs] for cs in found]
+    chances = iter(detector.chances([(t, x, p) for t, p, cs in zip(texts, paths, found, strict=True) for c in cs for x in (c, *c.inner)]).tolist())
+    scored = [[(c, max(next(chances) for _ in range(1 + len(c.inner)))) for c in cs] for cs in found]
     return [[x for x in cs if x[1] >= threshold] for cs in scored]
 
 
@@ -243,9 +308,10 @@ def _paths(docs: DataFrame, path_col: str | None):
     return F.col(f"`{path_col}`").cast("string") if path_col else F.lit(None).cast("string")
 
 
-def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
+def scan(docs: DataFrame, detector: Detector, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """One row per secret: doc_id, start and length in characters, kind, probability, and the sha256 of the secret in
-    place of the secret. Null and empty texts have none; repeated rows are reported each; texts are read whole."""
+    place of the secret. Null and empty texts have none; repeated rows are reported each; texts are read whole. A null path
+    is an unknown one. An empty table gives no rows. Other columns are ignored whatever their names."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), _paths(docs, path_col).alias("path"))
     kind = d.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "start", "length", "kind", "probability", "secret_sha256"]
@@ -255,7 +321,7 @@ def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5, id_col: str =
             for k in range(0, whole.num_rows, 512):
                 batch = whole.slice(k, 512)
                 texts = batch.column("text").to_pylist()
-                found = _judge(forest, texts, batch.column("path").to_pylist(), threshold)
+                found = _judge(detector, texts, batch.column("path").to_pylist(), threshold)
                 rows = [(i, c.start, c.end - c.start, c.kind, round(p, 6), hashlib.sha256(texts[i][c.start : c.end].encode()).hexdigest()) for i, cs in enumerate(found) for c, p in cs]
                 if rows:
                     cols = list(zip(*rows, strict=True))
@@ -265,16 +331,16 @@ def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5, id_col: str =
     return d.mapInArrow(run, f"doc_id {kind}, start long, length long, kind string, probability double, secret_sha256 string")
 
 
-def redact(docs: DataFrame, forest: Forest, threshold: float = 0.5, text_col: str = "text", path_col: str | None = "source", length_col: str | None = "n_chars") -> DataFrame:
+def redact(docs: DataFrame, detector: Detector, threshold: float = 0.5, text_col: str = "text", path_col: str | None = "source", length_col: str | None = "n_chars") -> DataFrame:
     """`docs` with every secret in the text replaced by MARK; `length_col`, where it exists, follows the text. Texts without
-    secrets, null ones included, stay as they are."""
+    secrets, null ones included, stay as they are, as do all other columns, whatever their names, and repeated rows."""
 
     @F.arrow_udf("string")
     def clean(texts: pa.Array, paths: pa.Array) -> pa.Array:
         out = []
         for k in range(0, len(texts), 512):
             some, where = texts.slice(k, 512).to_pylist(), paths.slice(k, 512).to_pylist()
-            for t, cs in zip(some, _judge(forest, some, where, threshold), strict=True):
+            for t, cs in zip(some, _judge(detector, some, where, threshold), strict=True):
                 if not cs:
                     out.append(None)  # the JVM still has it
                     continue
