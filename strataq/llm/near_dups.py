@@ -5,12 +5,15 @@
 2. Documents with equal sets form a class; one representative of each class goes on.
 3. Representatives that share a band key are candidates. A pair is kept if its sizes allow the similarity and the
    population count of the XOR of its odd sketches doesn't put the similarity far below it; it is then confirmed on the
-   full sets.
+   full sets, which are sets of 64-bit hashes of shingles.
 4. Each bucket is first tested as a star around its smallest member, which joins most groups. Buckets whose members
-   still lie in different components are cut into blocks of 1024; a block pair is one unit of work that holds its members'
+   still lie in different components are cut into blocks, bounded in members and in shingles; a block pair is one unit of work that holds its members'
    sketches, then the full sets of those with a likely partner, and gives out a spanning forest of its confirmed links.
    So every pair of a bucket is looked at, but no pair is ever a row unless it is likely (stars) or a link (blocks).
-5. Links become components by alternating stars.
+5. Links become components by alternating stars, until nothing changes.
+
+Rows of a hot key (a band or a class that many documents share, a star's centre) meet what belongs to the key by
+broadcast, or in salted copies where that is a set, so no task holds all rows of one.
 
 A pair at similarity 0.8 shares no band with probability 3e-6 (at 0.85: 7e-9); the sketch filter is six standard
 deviations wide.
@@ -24,27 +27,44 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, words
 
 SAMPLES, BANDS, SKETCH_BITS, SEED = 160, 32, 512, 7
-SLACK, BLOCK = 0.25, 1024
+SLACK, BLOCK, BLOCK_SHINGLES = 0.25, 1024, 1 << 22
 CHUNK = 8192
+#: A key of more rows than HOT is met by broadcast, of at most HOT_KEYS keys; a hot centre stands in SALTS copies.
+HOT, HOT_KEYS, SALTS = 1000, 100_000, 32
+
+
+def hot_keys(counted: DataFrame, key: str, n: str) -> DataFrame:
+    """The keys of more than HOT rows, or of ten, a hundred ... times as many, such that there are at most HOT_KEYS of them.
+    counted: a saved table with a row per key."""
+    least = HOT
+    while (found := counted.where(F.col(n) > least).select(key)).count() > HOT_KEYS:
+        least *= 10
+    return F.broadcast(found)
 
 
-def shingled(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, shingles): distinct 64-bit hashes of runs of `size` words, A-Z lower-cased; with fewer words the whole
+def joined_by(rows: DataFrame, keyed: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """rows with the one row that `keyed` has for their key; those of hot keys stay where they are."""
+    cold = rows.join(hot, key, "left_anti").join(keyed.join(hot, key, "left_anti"), key, how)
+    return cold.unionByName(rows.join(F.broadcast(keyed.join(hot, key, "left_semi")), key))
+
+
+def shingled(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
+    """(doc_id, shingles, more): distinct 64-bit hashes of runs of `size` words, A-Z lower-cased; with fewer words the whole
     sequence is one; no words, none."""
     lowered = F.translate(F.col(text_col), string.ascii_uppercase, string.ascii_lowercase)
-    d = docs.select(F.col(id_col).alias("doc_id"), words(lowered).alias("w")).withColumn("h", F.transform("w", lambda w: F.xxhash64(w)))
+    d = docs.select(F.struct(F.col(id_col).alias("doc_id"), *more).alias("row"), words(lowered).alias("w")).withColumn("h", F.transform("w", lambda w: F.xxhash64(w)))
     runs = F.col("h")
     for k in range(1, size):
         left = F.greatest(F.size("h") - k, F.lit(0))
         runs = F.zip_with(F.slice(runs, 1, left), F.slice("h", k + 1, left), lambda a, b: F.xxhash64(a, b))
     short = F.when(F.size("w") > 0, F.array(F.xxhash64(F.concat_ws(" ", "w"), F.lit(size)))).otherwise(F.array().cast("array<bigint>"))
-    return d.select("doc_id", F.when(F.size("h") >= size, F.array_distinct(runs)).otherwise(short).alias("shingles"))
+    return d.select("row.*", F.when(F.size("h") >= size, F.array_distinct(runs)).otherwise(short).alias("shingles"))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -91,7 +111,7 @@ def most_flips(similarity: float, samples: int = SAMPLES, bits: int = SKETCH_BIT
     return math.floor(bits / 2 * (1 - (1 - 2 / bits) ** (2 * samples * (1 - similarity))))
 
 
-SIGNATURE = "doc_id long, n_shingles long, k1 long, k2 long, bands array<bigint>, sketch array<bigint>"
+SIGNATURE = "doc_id long, text_key long, n_shingles long, k1 long, k2 long, bands array<bigint>, sketch array<bigint>"
 
 
 def signatures(sets: DataFrame) -> DataFrame:
@@ -115,21 +135,21 @@ def signatures(sets: DataFrame) -> DataFrame:
                 keys, sketches = sketcher.band_keys(sig), sketcher.odd_sketches(sig)
                 empty = sizes == 0
                 arrays = [
-                    batch.column("doc_id"), pa.array(sizes.astype(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)),
+                    batch.column("doc_id"), batch.column("text_key"), pa.array(sizes.astype(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(empty, 0, keys.shape[1]))]).astype(np.int32)), pa.array(keys[~empty].ravel())),
                     pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * sketches.shape[1]), pa.array(sketches.ravel())),
                 ]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "k1", "k2", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_key", "n_shingles", "k1", "k2", "bands", "sketch"])
 
     return sets.mapInArrow(run, SIGNATURE)
 
 
-def components(edges: DataFrame, scratch: Scratch, most: int = 40) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component): the smallest node that each node of `edges` (a, b) can reach, by alternating large and small
-    stars. A node's neighbours are only ever reduced to their minimum, so hubs are counted before the shuffle."""
+    stars, until a round changes nothing; rounds grow as the logarithm of the nodes. A node's neighbours are only ever reduced to their minimum, so hubs are counted before the shuffle."""
     current = scratch.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "star")
     before = None
-    for _ in range(most):
+    while True:
         mark = current.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if mark[0] == 0 or mark == before:
             break
@@ -249,40 +269,49 @@ def exact_links(percent: int):
 
 
 class Linker:
-    """Finds links between representatives. reps: doc_id, n_shingles, sketch, bands, shingles of every candidate."""
+    """Finds links between representatives. reps: node, n_shingles, sketch, bands, shingles of every candidate."""
 
     def __init__(self, reps: DataFrame, scratch: Scratch, percent: int):
         self.reps, self.scratch, self.percent, self.flips = reps, scratch, percent, most_flips(percent / 100 - SLACK)
 
     def side(self, x: str, *columns: str) -> DataFrame:
-        return self.reps.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
+        return self.reps.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
+
+    def starred(self, pairs: DataFrame, hubs: DataFrame, *columns: str) -> DataFrame:
+        """Pairs (a, b) with columns of both. A hot centre a stands in SALTS copies, and its pairs are dealt among them."""
+        hot = hubs.withColumn("hot", F.lit(SALTS))
+        salted = pairs.join(hot, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("hot", F.lit(1))).cast("int")).drop("hot")
+        centres = self.side("a", *columns).join(hot, "a", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("hot", F.lit(1)) - 1))).drop("hot")
+        return salted.join(centres, ["a", "salt"]).join(self.side("b", *columns), "b")
 
-    def likely(self, pairs: DataFrame) -> DataFrame:
+    def likely(self, pairs: DataFrame, hubs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose sizes and odd sketches allow the similarity."""
-        p = pairs.join(self.side("a", "n_shingles", "sketch"), "a").join(self.side("b", "n_shingles", "sketch"), "b")
         differ = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         fits = 100 * F.least("n_shingles_a", "n_shingles_b") >= self.percent * F.greatest("n_shingles_a", "n_shingles_b")
-        return p.where(fits & (differ <= self.flips)).select("a", "b")
+        return self.starred(pairs, hubs, "n_shingles", "sketch").where(fits & (differ <= self.flips)).select("a", "b")
 
-    def confirm(self, pairs: DataFrame) -> DataFrame:
+    def confirm(self, pairs: DataFrame, hubs: DataFrame) -> DataFrame:
         """Pairs whose full sets reach the similarity."""
-        p = pairs.join(self.side("a", "shingles"), "a").join(self.side("b", "shingles"), "b")
         common = F.size(F.array_intersect("shingles_a", "shingles_b"))
-        return p.where(100 * common >= self.percent * (F.size("shingles_a") + F.size("shingles_b") - common)).select("a", "b")
+        return self.starred(pairs, hubs, "shingles").where(100 * common >= self.percent * (F.size("shingles_a") + F.size("shingles_b") - common)).select("a", "b")
 
-    def run(self, buckets: DataFrame) -> DataFrame:
-        """buckets: (band, place, rep, n), buckets of n >= 2 members. Returns (node, component)."""
+    def run(self, buckets: DataFrame, bands: DataFrame) -> DataFrame:
+        """buckets: (band, place, rep), of at least 2 members; bands: (band, a, n, bulk), their smallest member, members and
+        shingles. Returns (node, component)."""
+        hot = hot_keys(bands, "band", "n")
         # every bucket as a star around its smallest member: one test a member
-        center = buckets.groupBy("band").agg(F.min("rep").alias("a"))
-        star = buckets.join(center, "band").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-        star = self.scratch.save(self.likely(star), "star-pairs")
-        links = self.scratch.save(self.confirm(star), "star-links")
+        star = joined_by(buckets, bands.select("band", "a"), "band", hot).where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+        star = self.scratch.save(star, "star")
+        hubs = hot_keys(self.scratch.save(star.groupBy("a").agg(F.count("*").alias("n")), "hubs"), "a", "n")
+        likely = self.scratch.save(self.likely(star, hubs), "star-pairs")
+        links = self.scratch.save(self.confirm(likely, hubs), "star-links")
         labels = self.scratch.save(components(links, self.scratch), "labels")
         # what still lies in different components, block against block
-        rows = buckets.where("n > 2").join(labels, F.col("rep") == F.col("node"), "left").select("band", "place", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+        rows = buckets.join(labels, F.col("rep") == F.col("node"), "left").select("band", "place", "rep", F.coalesce("component", "rep").alias("comp"))
         mixed = rows.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-        rows = live = self.scratch.save(rows.join(mixed, "band", "left_semi"), "mixed")
-        parts = F.ceil(F.col("n") / BLOCK).cast("int")
+        mixed = self.scratch.save(mixed.join(bands.where("n > 2").select("band", "n", "bulk"), "band"), "mixed")
+        rows = live = self.scratch.save(joined_by(rows, mixed, "band", hot), "live")
+        parts = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bulk") / BLOCK_SHINGLES)).cast("int")
         rows = rows.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
         block = [F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), (F.col("part") > F.col("other")).cast("int").alias("side")]
         rows = rows.select("band", "place", *block, "rep", "comp").join(self.side("rep", "n_shingles", "sketch", "bands"), "rep")
@@ -296,36 +325,50 @@ class Linker:
         if not more.isEmpty():
             before, labels = labels, self.scratch.save(components(links.union(more), self.scratch), "labels")
             self.scratch.drop(before)
-        self.scratch.drop(star, links, live, found, more)
+        self.scratch.drop(star, likely, links, mixed, live, found, more)
         return labels
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row: linked are documents whose shingle sets have a Jaccard
-    similarity of at least percent / 100; component_id is the smallest id reachable; kept rows have that id.
+    """(doc_id, n_shingles, component_id, kept, text_key, group) for every row: linked are texts whose shingle sets have a
+    Jaccard similarity of at least percent / 100; component_id is the smallest id reachable; kept rows have that id.
 
+    `text_key` is the 64-bit hash of the text and `group` a number that all rows of one component, and only those, share.
     Null and wordless texts have empty sets and are linked with nothing. Rows with a null id are linked with nothing, have
-    a null component and are kept. Repeated rows share a component; if they have its smallest id all of them are kept.
+    a null component and group and are kept. Texts are linked by what they hold alone: rows that share an id but not a text
+    are as apart as others, and repeated rows share a component; if they have its smallest id all of them are kept.
     Empty tables give no rows; other columns are ignored whatever their names.
     """
-    sig = scratch.save(signatures(shingled(docs.withColumn(id_col, F.col(id_col).cast("long")), size, id_col, text_col)), "signatures")
-    usable = sig.where("n_shingles > 0 and doc_id is not null")
-    classes = scratch.save(usable.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = usable.select("doc_id", "n_shingles", "sketch", "bands", "k1", "k2").join(classes.select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "k1", "k2"])
-    bands = reps.select(F.posexplode("bands").alias("place", "band"), F.col("doc_id").alias("rep"))
-    shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = scratch.save(bands.join(shared, "band"), "buckets")
-    found = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(found, "doc_id", "left_semi")
-    sets = shingled(text, size).dropDuplicates(["doc_id"])
-    reps = reps.select("doc_id", "n_shingles", "sketch", "bands").dropDuplicates(["doc_id"])
-    reps = scratch.save(reps.join(sets, "doc_id"), "candidates")
-    labels = Linker(reps, scratch, percent).run(buckets)
-    scratch.drop(buckets, reps)
-    named = classes.withColumnRenamed("n_shingles", "n").join(labels, F.col("rep") == F.col("node"), "left")
-    named = named.select("k1", "k2", "n", F.coalesce("component", "rep").alias("rep"))
-    s = sig.select("doc_id", "n_shingles", "k1", "k2")
-    # documents without a set share the digest 0, so they look for a key of their own that no class has
-    joined = s.join(named.withColumnRenamed("n", "n_shingles"), ["k1", "k2", "n_shingles"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    key = F.xxhash64(text_col).alias("text_key")
+    sets = shingled(docs.withColumn(id_col, F.col(id_col).cast("long")), size, id_col, text_col, key)
+    sig = scratch.save(signatures(sets), "signatures")
+    usable = sig.where("n_shingles > 0 and doc_id is not null").withColumn("class", F.struct("k1", "k2", "n_shingles"))
+    classes = usable.groupBy("class").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.count("*").alias("copies"))
+    classes = scratch.save(classes.select("class", "copies", "rep.*"), "classes")
+    # an id names its class, unless it stands for several texts
+    several = classes.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("several"))
+    node = F.when(F.col("several"), F.xxhash64("doc_id", "text_key")).otherwise(F.col("doc_id")).alias("node")
+    named = scratch.save(classes.join(several, "doc_id", "left").select("class", "copies", "doc_id", "text_key", node), "nodes")
+    own = usable.select("doc_id", "text_key", "n_shingles", "sketch", "bands", "class").join(named.select("class", "doc_id", "text_key", "node"), ["class", "doc_id", "text_key"])
+    own = scratch.save(own.drop("class").dropDuplicates(["node"]), "representatives")
+    members = own.select(F.posexplode("bands").alias("place", "band"), F.col("node").alias("rep"), "n_shingles")
+    bands = members.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("a"), F.sum("n_shingles").alias("bulk")).where("n > 1")
+    bands = scratch.save(bands, "bands")
+    buckets = scratch.save(joined_by(members.drop("n_shingles"), bands.select("band"), "band", hot_keys(bands, "band", "n")), "buckets")
+    found = own.join(buckets.select(F.col("rep").alias("node")).distinct(), "node", "left_semi")
+    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    text = text.join(found.select("doc_id", "text_key", "node"), ["doc_id", "text_key"])
+    sets = shingled(text, size, "node", "text").withColumnRenamed("doc_id", "node").dropDuplicates(["node"])
+    reps = scratch.save(found.select("node", "n_shingles", "sketch", "bands").join(sets, "node"), "candidates")
+    labels = Linker(reps, scratch, percent).run(buckets, bands)
+    scratch.drop(buckets, reps, own)
+    # the smallest id of a component is that of one of its classes
+    named = named.join(labels, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    linked = named.where("component is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    named = named.join(linked, "group", "left").select("class", "copies", "group", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = scratch.save(named, "named")
+    linked = joined_by(usable.select("doc_id", "n_shingles", "text_key", "class"), named.drop("copies"), "class", hot_keys(named, "class", "copies"))
+    single = sig.where("n_shingles = 0 or doc_id is null")  # they meet no class, and share no key
+    alone = single.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_key", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text_key", F.lit("alone"))).alias("group"))
+    both = linked.select("doc_id", "n_shingles", "component_id", "text_key", "group").unionByName(alone)
+    return both.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_key", "group")

@@ -193,6 +193,35 @@ def test_blocks_lose_nothing(spark, monkeypatch):
     assert {x["doc_id"]: x["component_id"] for x in found} == want
 
 
+def test_hot_keys_lose_nothing(spark, monkeypatch):
+    """Hot bands, classes and centres, met by broadcast and in salted copies, and blocks bounded in shingles."""
+    for name, value in (("HOT", 3), ("HOT_KEYS", 20), ("SALTS", 3), ("BLOCK_SHINGLES", 900)):
+        monkeypatch.setattr(near_dups, name, value)
+    r = random.Random(25)
+    base, copy = prose(r, 150).split(), prose(r, 80)
+    texts = [" ".join(edited(r, base, 0.05)) for _ in range(60)] + [copy] * 40 + ["", None, " "] * 10 + [prose(r, 50) for _ in range(20)]
+    r.shuffle(texts)
+    pairs = list(enumerate(texts))
+    want, _ = brute_components(pairs, 2)
+    found = near_dups.near_duplicates(spark.createDataFrame(pairs, "doc_id long, text string"), Scratch(spark), 2).collect()
+    assert {x["doc_id"]: x["component_id"] for x in found} == want
+    groups = collections.defaultdict(set)
+    for x in found:
+        groups[x["group"]].add(x["component_id"])
+    assert all(len(c) == 1 for c in groups.values()) and len(groups) == len(set(want.values()))
+
+
+def test_rows_that_share_an_id_are_linked_by_their_texts(spark):
+    r = random.Random(26)
+    a, b, c = (prose(r, 60).split() for _ in range(3))
+    near = [*a[:-1], "other"]
+    rows = [(7, a), (7, b), (9, b), (3, near), (8, c), (8, c)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    found = near_dups.near_duplicates(df, Scratch(spark), 2)
+    got = sorted((x["doc_id"], x["component_id"], x["kept"]) for x in found.collect())
+    assert got == [(3, 3, True), (7, 3, False), (7, 7, True), (8, 8, True), (8, 8, True), (9, 7, False)]
+
+
 def test_near_duplicates_awkward(spark):
     df = awkward(spark)
     found = near_dups.near_duplicates(clashing(df), Scratch(spark), 2).collect()
