@@ -22,33 +22,55 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose probability of the highest grade is at least one half. Labels come from the labels table."""
+    """Keeps documents whose probability of the highest grade is at least one half. Labels come from the labels table; where
+    none fits, every row with words stays. Null and wordless texts have the lowest grade and go; repeated rows are judged
+    alike, null ids and sources like others. An empty table gives no rows, and more columns are left out."""
     model = quality.fit(docs, quality.ratings(table(spark, sf_dir, "labels")), grades=3)
     graded = quality.classify(docs, model, wanted=2, names=("_expected_grade", "_tail_probability"))
     return graded.where("_tail_probability >= 0.5").select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group; rows that repeat a kept id stay once. Rows without an id are linked
-    with nothing, so of them only repeated texts go."""
-    found = near_dups.near_duplicates(docs, Scratch(spark), size=5, percent=80)
-    gone = found.where("not kept").select("doc_id")
-    left = docs.join(gone, "doc_id", "left_anti").withColumn("_text", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
-    return left.dropDuplicates(["doc_id", "_text"]).select(*COLUMNS)
+    """Keeps one row of each group of near copies: that of the smallest id, of rows that share it the one with the smallest
+    hash of its text.
+
+    Rows that share an id but not a text are judged by their texts; of rows that share both, one stays. Rows with a null id
+    are linked with nothing, so of them only repeated texts go. Null, empty and wordless texts are no copies of others.
+    An empty table gives no rows, and more columns are left out.
+    """
+    scratch = Scratch(spark)
+    found = scratch.save(near_dups.near_duplicates(docs, scratch, size=5, percent=80).select("doc_id", "text_key", "group"), "groups")
+    row = F.struct(F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+    rows = found.groupBy("doc_id", "text_key").agg(F.first("group").alias("group"), F.count("*").alias("n"))
+    first = found.where("group is not null").groupBy("group").agg(F.min(row).alias("first"))
+    gone = rows.join(first, "group").where(row != F.col("first")).select("doc_id", "text_key")
+    gone = scratch.save(gone, "gone")
+    repeated = scratch.save(rows.where("n > 1").select("doc_id", "text_key"), "repeated")
+    left = docs.select(*COLUMNS).withColumn("text_key", F.xxhash64("text"))
+    left = left.join(gone, ["doc_id", "text_key"], "left_anti")  # ids of `gone` are never null
+    if repeated.isEmpty():
+        return left.select(*COLUMNS)
+    same = [left.doc_id.eqNullSafe(repeated.doc_id), left.text_key == repeated.text_key]
+    once = left.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text_key"])
+    return left.join(repeated, same, "left_anti").union(once).select(*COLUMNS)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in the texts."""
-    return secret_scan.redact(docs, secret_scan.train()).select(*COLUMNS)
+    """Replaces secrets in the texts, found with the words of these texts as dictionary; every row stays, null and empty
+    texts as they are, and n_chars follows the text. An empty table gives no rows, and more columns are left out."""
+    detector = secret_scan.train(words=secret_scan.dictionary(docs))
+    return secret_scan.redact(docs.select(*COLUMNS), detector).select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
-    return mixing.repeated(docs, Scratch(spark)).select(*COLUMNS)
+    """Each row as many times as the mix takes it, whether its id is null or repeats. Rows without words are taken 0 times.
+    An empty table gives no rows, and more columns are left out."""
+    return mixing.repeated(docs.select(*COLUMNS), Scratch(spark))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed pieces of all rows."""
+    """Packed pieces of all rows. A null or empty text is its end id alone; a very long one is cut into pieces; rows that
+    share an id are packed each. An empty table gives no rows, and other columns are ignored whatever their names."""
     return packing.pack(docs)
 
 
