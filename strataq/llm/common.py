@@ -27,15 +27,25 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def sliced(text: Column, slices: int, chars: int) -> Column:
+    """A text of up to slices * chars characters as it is, of a longer one so many slices, spread from its start to its end."""
+    last = F.length(text) - chars
+    cuts = [F.substring(text, (F.floor(last * i / (slices - 1)) + 1).cast("int"), F.lit(chars)) for i in range(slices)]
+    return F.when(last <= chars * (slices - 1), text).otherwise(F.concat(*cuts))
+
+
 def literal_doubles(values) -> Column:
     """A constant array column. The text form is folded by the optimizer into one literal, so tasks get it once."""
     return F.split(F.lit(",".join(format(float(v), ".6g") for v in values)), ",").cast("array<double>")
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset (tests) a temporary one of this machine."""
+    """A new folder below spark.checkpoint.dir. Only where that is unset and the session is local, as in tests, a temporary
+    one of this machine: on a cluster other machines would not see it, so there the setting is asked for."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="strataq-")
         spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("spark.checkpoint.dir", base)

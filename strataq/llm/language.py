@@ -16,9 +16,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 #: Up to so many languages have whole dictionaries; more share what these would hold, and learn from fewer texts each.
 WHOLE = 64
-SLOTS, DICTIONARY_BYTES, LEAST_BYTES = 256, 200 * 1024, 1024
+SLOTS, DICTIONARY_BYTES, LEAST_BYTES, MOST_LANGUAGES = 256, 200 * 1024, 1024, 20_000
 #: A long text is read in so many slices, spread from its start to its end.
 SLICES, SLICE_CHARS = 8, 500
 CHUNK, LEVEL, MARGIN, SHARPNESS = 4096, 6, 0.01, 60.0
@@ -33,28 +35,26 @@ def spread(data: bytes, room: int) -> bytes:
     return b"".join(data[k : k + size] for k in (i * (len(data) - size) // max(1, n - 1) for i in range(n)))
 
 
-def _sampled(text: Column) -> Column:
-    """A text of up to SLICES * SLICE_CHARS characters as it is, of a longer one slices from its start to its end."""
-    last = F.length(text) - SLICE_CHARS
-    cuts = [F.substring(text, (F.floor(last * i / (SLICES - 1)) + 1).cast("int"), F.lit(SLICE_CHARS)) for i in range(SLICES)]
-    return F.when(last <= SLICE_CHARS * (SLICES - 1), text).otherwise(F.concat(*cuts))
-
-
-def fit_dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """Raw-content dictionaries of all languages, from a bounded sample of labelled rows: SLOTS texts of a language (of each
-    of SLOTS id-hash classes the smallest hash), SLICES slices of a text and DICTIONARY_BYTES of a language. More than WHOLE
-    languages share WHOLE * SLOTS texts and WHOLE * DICTIONARY_BYTES, but each has a text and LEAST_BYTES at least.
+def fit_dictionaries(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", slots: int = SLOTS, dictionary_bytes: int = DICTIONARY_BYTES, least_bytes: int = LEAST_BYTES, whole: int = WHOLE, most_languages: int = MOST_LANGUAGES,
+) -> dict[str, bytes]:
+    """Raw-content dictionaries of all languages, from a bounded sample of labelled rows: `slots` texts of a language (of each
+    of `slots` id-hash classes the smallest hash), SLICES slices of a text and `dictionary_bytes` of a language. More than
+    `whole` languages share whole * slots texts and whole * dictionary_bytes, but each has a text and `least_bytes` at least.
 
-    Rows with null text or language teach nothing.
+    Rows with null text or language teach nothing. Of rows that share an id and a language the smallest text is taken. More
+    than `most_languages` different languages are an error, as their dictionaries must fit in a worker's memory.
     """
     d = docs.select(F.xxhash64(id_col).alias("hash"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     d = d.where("lang is not null and text is not null")
     n = max(1, d.select("lang").distinct().count())
-    slots, budget = max(1, min(SLOTS, WHOLE * SLOTS // n)), max(LEAST_BYTES, min(DICTIONARY_BYTES, WHOLE * DICTIONARY_BYTES // n))
+    if n > most_languages:
+        raise ValueError(f"{n} languages; at most {most_languages} can be learned")
+    slots, budget = max(1, min(slots, whole * slots // n)), max(least_bytes, min(dictionary_bytes, whole * dictionary_bytes // n))
     picked = d.groupBy("lang", F.pmod("hash", F.lit(slots)).alias("slot")).agg(F.min("hash").alias("hash"))
-    sample = d.join(F.broadcast(picked.select("lang", "hash")), ["lang", "hash"]).select("lang", "hash", F.lower(_sampled(F.col("text"))).alias("text"))
+    sample = d.join(F.broadcast(picked.select("lang", "hash")), ["lang", "hash"]).select("lang", "hash", F.lower(sliced(F.col("text"), SLICES, SLICE_CHARS)).alias("text"))
     texts: dict[str, list[tuple[int, str]]] = {}
-    for row in sample.collect():  # a row per language and slot
+    for row in sample.groupBy("lang", "hash").agg(F.min("text").alias("text")).collect():  # a row per language and slot
         texts.setdefault(row["lang"], []).append((row["hash"], row["text"]))
     out = {}
     for lang, rows in sorted(texts.items()):

@@ -308,6 +308,25 @@ def test_every_language_is_learned(spark):
     assert b"faraway" in found and b"lastword" in found and len(found) <= language.DICTIONARY_BYTES
 
 
+def test_rows_that_share_an_id_teach_once(spark):
+    rows = [(1, f"wort nummer {i}", "de") for i in range(300)] + [(2, "another text", "en")]
+    learned = language.fit_dictionaries(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert learned == {"de": b"wort nummer 0", "en": b"another text"}
+    with pytest.raises(ValueError, match="2 languages"):
+        language.fit_dictionaries(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_languages=1)
+
+
+def test_scratch_is_shared_or_local():
+    from types import SimpleNamespace
+
+    from strataq.llm import common
+
+    unset = SimpleNamespace(get=lambda *_: None)
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: unset, master="spark://host:7077"), conf=unset)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.scratch_root(cluster)
+
+
 def test_narrow_margins_are_rejected():
     c = language.Classifier({"a": b"abc abd abe " * 20, "b": b"abc abd abe " * 20})
     assert c("abc abd")[0] == "a" and c("abc abd")[2]
@@ -341,6 +360,36 @@ def test_quality_on_held_out(spark):
     assert means == sorted(means)
 
 
+def brute_score(model, text):
+    """w.x of a text, one feature at a time."""
+    tokens_, words = re.findall(r"[^\W_]+", text.lower()), [w.encode() for w in WORD.findall(text)]
+    total = 0.0
+    for start, cut in ((0, None), (4, 4), (6, 6)):
+        total += sum(float(model.weights[zlib.crc32(w.encode(), start) % quality.PRESENT]) for w in {t[:cut] for t in tokens_})
+    rates = [b"=" if k and w == words[k - 1] else w[-2:] for k, w in enumerate(words)]
+    buckets = [zlib.crc32(e) for e in rates] + [zlib.crc32(t[:4].encode(), 1) for t in tokens_]
+    return total + sum(float(model.weights[quality.PRESENT + b % quality.RATES]) for b in buckets) / max(1, len(buckets))
+
+
+def test_quality_equals_brute_force(spark):
+    """Every text's grade and tail from the model's weights and thresholds, one feature at a time."""
+    docs, labels = rated(spark, random.Random(27), 150)
+    model = quality.fit(docs, labels, 3)
+    texts = [r["text"] for r in docs.collect()] + ["same same Same word", "a_b c", "é ß漢字 x", prose(random.Random(28), 30_000), "#"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for x in quality.classify(df, model, 2).collect():
+        above = [1 / (1 + math.exp(t - brute_score(model, x["text"]))) for t in model.thresholds]
+        assert abs(x["expected_grade"] - sum(above)) < 2e-6 and abs(x["tail_probability"] - above[1]) < 2e-6
+
+
+def test_quality_learns_from_one_text_of_an_id(spark):
+    """Repeated rated rows change nothing, and of an id's texts the smallest counts."""
+    docs, labels = rated(spark, random.Random(29), 120)
+    more = docs.unionAll(docs.where("doc_id < 50")).unionAll(docs.where("doc_id < 9").selectExpr("doc_id", "concat('~', text)"))
+    a, b = quality.fit(docs, labels, 3), quality.fit(more.repartition(3), labels, 3)
+    assert (a.weights == b.weights).all() and (a.thresholds == b.thresholds).all()
+
+
 def test_quality_awkward(spark):
     docs, labels = rated(spark, random.Random(10), 90)
     model = quality.fit(docs, labels.union(labels.limit(3)), 3)
