@@ -95,8 +95,10 @@ def repeated(docs: DataFrame, scratch: Scratch, seed: str = "mix", weights: tupl
     sizes = scratch.save(_sized(docs, id_col, text_col, source_col), "sizes")
     cuts = _cuts(sizes, scratch, seed, weights, percent, most)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    taken = _copies(_met(_sized(docs, id_col, text_col, source_col, row), cuts), seed).where("copies > 0")
-    taken = taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    taken = _copies(_met(_sized(docs, id_col, text_col, source_col, row), cuts), seed)
+    # rows not taken go after the generator: a filter before it would become part of the join and work all of this out again
+    copies = F.explode_outer(F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    taken = taken.select("row", copies.alias("copy")).where("copy is not null")
     return taken.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 

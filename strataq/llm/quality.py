@@ -46,7 +46,7 @@ class Model:
 class Hashed(dict):
     """What stands for each string, worked out once; forgotten when there are too many."""
 
-    def __init__(self, make, most: int = 1_000_000):
+    def __init__(self, make, most: int = 100_000):
         self.make, self.most = make, most
 
     def __missing__(self, key):

@@ -45,7 +45,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return secret_scan.scan(docs, secret_scan.train(words=secret_scan.dictionary(docs)))
+    return secret_scan.scan(docs, secret_scan.train(words=secret_scan.dictionary(docs, Scratch(spark))))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

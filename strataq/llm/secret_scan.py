@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 LEAST_RUN, LEAST_VALUE, AROUND = 20, 8, 80
 RUN = re.compile(r"[A-Za-z0-9_+/=\-]{20,}")
 ASSIGNED = re.compile(r"[=:]\s{0,8}[\"'`]?(?=[^\s\"'`,;<>|]{8})")
@@ -120,12 +122,20 @@ def known_words() -> frozenset[str]:
     return frozenset(re.findall(r"[a-z]{3,}", " ".join(topics.topics.values()).lower()))
 
 
-def dictionary(docs: DataFrame, most: int = 20_000, least: int = 20, text_col: str = "text") -> frozenset[str]:
-    """The `most` words of letters alone that stand most often in all the texts, `least` times at least; ties by code point.
-    What comes to the driver is bounded by `most` words of at most 24 letters."""
+def dictionary(docs: DataFrame, scratch: Scratch, most: int = 20_000, least: int = 20, text_col: str = "text") -> frozenset[str]:
+    """Up to `most` words of letters alone that stand most often in all the texts, `least` times at least. Words are taken by
+    octaves of their counts, eighths of them apart, as long as all of one still fit; so ties need no order, and nothing
+    but these words and a total for each octave comes to the driver. An empty table gives none."""
     word = F.explode(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}]+")).alias("word")
     count = docs.select(word).where(F.length("word").between(3, 24)).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return frozenset(r.word for r in count.orderBy(F.col("n").desc(), "word").limit(most).collect())
+    count = scratch.save(count.select("word", F.floor(8 * F.log2("n")).cast("int").alias("octave")), "words")
+    total, lowest = 0, None
+    for r in sorted(count.groupBy("octave").agg(F.count("*").alias("n")).collect(), reverse=True):  # some hundred rows at most
+        total += r.n
+        if total > most:
+            break
+        lowest = r.octave
+    return frozenset(r.word for r in count.where(F.col("octave") >= lowest).select("word").collect()) if lowest is not None else frozenset()
 
 
 def covered(runs: list[str], words: frozenset[str]) -> int:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
-from test_llm_operators import WORD, brute_components, check_packing, ids_of  # noqa: E402
+from test_llm_operators import WORD, awkward, brute_components, check_packing, clashing, ids_of  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
 from strataq.llm import queries, secret_scan  # noqa: E402
@@ -60,7 +60,8 @@ def test_secrets_are_gone_and_nothing_else(stages):
     texts = {r["doc_id"]: r["text"] for r in before.collect()}
     for r in after.collect():
         assert not re.search(r'token = "[0-9a-f]{40}"', r["text"])
-        assert re.sub(r'(?i)(token = ")[0-9a-f]{40}"', rf'\1{secret_scan.MARK}"', texts[r["doc_id"]]) == r["text"]
+        planted = re.sub(r'(?i)(token = ")[0-9a-f]{40}"', rf'\1{secret_scan.MARK}"', texts[r["doc_id"]])
+        assert re.sub(r"password=[0-9a-f]{18}|AKIA[A-Z2-7]{16}", secret_scan.MARK, planted) == r["text"]
         assert r["n_chars"] == len(r["text"])
     assert after.count() == before.count()
 
@@ -96,6 +97,46 @@ def test_mix_keeps_rows_with_null_and_repeated_ids(spark):
     assert mine == +said and any(k[0] is None for k in mine)
 
 
+def stage_of(name, spark, docs, sf_dir):
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, sf_dir)
+    assert name == "packing" or out.columns == list(corpus_pipeline.COLUMNS)
+    return collections.Counter(map(str, out.collect()))
+
+
+def rows_of(docs):
+    return collections.Counter(map(str, docs.select(*corpus_pipeline.COLUMNS).collect()))
+
+
+@pytest.mark.parametrize("name", ["quality", "near_duplicates", "secrets", "mixing", "packing"])
+def test_stages_on_awkward_rows(spark, sf_dir, name):
+    """Nulls, empty and very long texts, repeated rows, columns of clashing names, and no rows at all."""
+    ship(spark)
+    docs = awkward(spark)
+    got = stage_of(name, spark, clashing(docs), sf_dir)
+    assert got == stage_of(name, spark, docs.repartition(3), sf_dir) or name == "packing"
+    assert not stage_of(name, spark, docs.limit(0), sf_dir)
+    all_rows = rows_of(docs)
+    if name == "quality":
+        blank = rows_of(docs.where("text is null or trim(translate(text, '\t\n', '  ')) = ''"))
+        assert not (got - all_rows) and not (got & blank)
+    if name == "near_duplicates":
+        assert set(got.values()) == {1} and set(got) == set(rows_of(docs.where("doc_id is null or doc_id <> 6")))
+    if name == "secrets":
+        assert got == all_rows
+    if name == "mixing":
+        assert not (set(got) - set(all_rows)) and all(n <= 2 * all_rows[row] for row, n in got.items())
+
+
+def test_one_row_of_a_group_stays_whatever_ids_repeat(spark, sf_dir):
+    text, near, other = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    near = text.rsplit(" ", 1)[0] + " end"
+    rows = [(7, text), (7, other), (7, near), (9, other), (9, other), (None, other), (None, other), (3, None), (3, None), (3, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = collections.Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicate_stage(spark, docs, sf_dir).collect())
+    assert set(got.values()) == {1} and len(got) == 5
+    assert {(7, other), (None, other), (3, None), (3, "")} < set(got) and len({(7, text), (7, near)} & set(got)) == 1
+
+
 def test_packing_holds_every_row(stages):
     before, after = stages["packing"]
     rows = before.collect()

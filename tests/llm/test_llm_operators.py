@@ -631,8 +631,9 @@ def test_given_findings_are_learned():
 
 def test_dictionary_is_of_all_texts(spark):
     df = spark.createDataFrame([(i, "Blixa, blixa9 und Zorn" if i % 2 else None) for i in range(60)] + [(99, "selten"), (100, "")], "doc_id long, text string")
-    assert secret_scan.dictionary(df, least=30) == {"blixa", "und", "zorn"}
-    assert secret_scan.dictionary(df, most=1, least=30) == {"blixa"} and secret_scan.dictionary(df.limit(0)) == frozenset()
+    scratch = Scratch(spark)
+    assert secret_scan.dictionary(df, scratch, least=30) == {"blixa", "und", "zorn"}
+    assert secret_scan.dictionary(df, scratch, most=1, least=30) == {"blixa"} and secret_scan.dictionary(df.limit(0), scratch) == frozenset()
     assert secret_scan.covered(["blixaund", "xzorn"], frozenset({"blixa", "und", "zorn"})) == 12
 
 
