@@ -58,7 +58,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets in the texts, found with the words of these texts as dictionary; every row stays, null and empty
     texts as they are, and n_chars follows the text. An empty table gives no rows, and more columns are left out."""
-    detector = secret_scan.train(words=secret_scan.dictionary(docs))
+    detector = secret_scan.train(words=secret_scan.dictionary(docs, Scratch(spark)))
     return secret_scan.redact(docs.select(*COLUMNS), detector).select(*COLUMNS)
 
 
