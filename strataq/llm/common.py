@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,20 @@ def literal_doubles(values) -> Column:
     return F.split(F.lit(",".join(format(float(v), ".6g") for v in values)), ",").cast("array<double>")
 
 
+_kept: dict = {}
+
+
+def kept(key, make):
+    """What `make` gives, kept between a worker's tasks as long as they ask for the same key. A worker serves one operator
+    after another, so it keeps one thing at a time, else their caches would add up."""
+    if key not in _kept:
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def scratch_root(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir. Only where that is unset and the session is local, as in tests, a temporary
     one of this machine: on a cluster other machines would not see it, so there the setting is asked for."""

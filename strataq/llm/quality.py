@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import kept, sliced
 
 PRESENT, RATES = 1 << 18, 1 << 16
 PREFIXES = (4, 6)
@@ -46,7 +46,7 @@ class Model:
 class Hashed(dict):
     """What stands for each string, worked out once; forgotten when there are too many."""
 
-    def __init__(self, make, most: int = 100_000):
+    def __init__(self, make, most: int = 50_000):
         self.make, self.most = make, most
 
     def __missing__(self, key):
@@ -90,18 +90,6 @@ class Scorer:
         return math.fsum(seen) + math.fsum(w * n for w, n in rated) / max(1, sum(n for _, n in rated))
 
 
-_scorers: dict[int, Scorer] = {}
-
-
-def scorer(model: Model) -> Scorer:
-    """The worker's scorer for a model, kept between tasks with the words it has hashed."""
-    key = crc32(model.weights)
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(model)
-    return _scorers[key]
-
-
 def _lists(column) -> tuple[np.ndarray, np.ndarray]:
     """Flat values and lengths of an Arrow list column."""
     if isinstance(column, pa.ChunkedArray):
@@ -194,7 +182,7 @@ def classify(docs: DataFrame, model: Model | None, wanted: int, text_col: str =
 
     @F.arrow_udf("struct<e: double, p: double>")
     def grade(texts: pa.Array) -> pa.Array:
-        score = scorer(model) if model else (lambda text: 0.0)
+        score = kept(("quality", crc32(model.weights)), lambda: Scorer(model)) if model else (lambda text: 0.0)
         found, blank = np.zeros(len(texts)), np.zeros(len(texts), bool)
         for k in range(0, len(texts), 64):
             for i, t in enumerate(texts.slice(k, 64).to_pylist(), k):

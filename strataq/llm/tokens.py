@@ -13,6 +13,8 @@ from array import array
 
 import numpy as np
 
+from .common import kept
+
 VOCABULARY = "byte_bpe_50k.json"
 ID_BYTES = 4
 JOINED = 256
@@ -118,14 +120,9 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a vocabulary file, kept between tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return kept(("tokens", path), lambda: Encoder(path))
 
 
 def in_slices(column, size: int = 64):
