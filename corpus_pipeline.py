@@ -42,8 +42,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = scratch.save(near_dups.near_duplicates(docs, scratch, size=5, percent=80).select("doc_id", "text_key", "group"), "groups")
     row = F.struct(F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
     rows = found.groupBy("doc_id", "text_key").agg(F.first("group").alias("group"), F.count("*").alias("n"))
-    first = found.where("group is not null").groupBy("group").agg(F.min(row).alias("first"))
-    gone = rows.join(first, "group").where(row != F.col("first")).select("doc_id", "text_key")
+    first = found.where("group is not null").groupBy("group").agg(F.min(row).alias("first"), F.count("*").alias("size"))
+    first = scratch.save(first.where("size > 1"), "first")
+    hot = near_dups.hot_keys(first, "group", "size")
+    gone = near_dups.joined_by(rows.where("group is not null"), first.drop("size"), "group", hot).where(row != F.col("first")).select("doc_id", "text_key")
     gone = scratch.save(gone, "gone")
     repeated = scratch.save(rows.where("n > 1").select("doc_id", "text_key"), "repeated")
     left = docs.select(*COLUMNS).withColumn("text_key", F.xxhash64("text"))
