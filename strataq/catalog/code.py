@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers, text
 from ..operators import dependency_rules, practice_rules, resolve, secret_rules
 from ..plans import changes, reports
-from ..sources import brace_code, files, manifests, practices, python_code
+from ..sources import brace_code, files, manifests, practices, python_code, routes, schemas
 from ..sources.parse import parsed
 from ..sources.tables import inline, table, values
 
@@ -206,16 +206,16 @@ ENDPOINTS = [
 
 
 def endpoint_extract(spark, sf_dir):
-    return parsed(inline(spark, ENDPOINT_FILES, "path string, text string"), practices.endpoints, practices.ENDPOINTS).select("path", "method", "route", "line", "framework")
+    return parsed(inline(spark, ENDPOINT_FILES, "path string, text string"), routes.endpoints, routes.ENDPOINTS).select("path", "method", "route", "line", "framework")
 
 
 def api_rules(spark, sf_dir):
-    e = parsed(inline(spark, ENDPOINT_FILES, "path string, text string"), practices.endpoints, practices.ENDPOINTS)
+    e = parsed(inline(spark, ENDPOINT_FILES, "path string, text string"), routes.endpoints, routes.ENDPOINTS)
     return practice_rules.api_findings(e, False, False).groupBy("rule_id").agg(F.count("*").alias("n"))
 
 
 def endpoint_summary(spark, sf_dir):
-    e = parsed(inline(spark, ENDPOINT_FILES, "path string, text string"), practices.endpoints, practices.ENDPOINTS)
+    e = parsed(inline(spark, ENDPOINT_FILES, "path string, text string"), routes.endpoints, routes.ENDPOINTS)
     return practice_rules.endpoint_summary(e).select("what", "value", "n", "mutating")
 
 
@@ -234,7 +234,7 @@ SCHEMA_FILES = [
 
 
 def fk_index_cover(spark, sf_dir):
-    s = parsed(inline(spark, SCHEMA_FILES, "path string, text string"), practices.schema, practices.SCHEMA)
+    s = parsed(inline(spark, SCHEMA_FILES, "path string, text string"), schemas.schema, schemas.SCHEMA)
     return practice_rules.database_findings(s, has_migrations=False).select("rule_id", "path", "line", "evidence")
 
 

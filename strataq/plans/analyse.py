@@ -11,7 +11,7 @@ from ..functions.numbers import rank_of, threshold_severity
 from ..functions.rules import catalogue
 from ..functions.text import LAYER_ORDER, infer_layer, line_count
 from ..operators import aggregates, dependency_rules, graph, joins, practice_rules, query, resolve, score, secret_rules
-from ..sources import brace_code, files, manifests, practices, python_code, tooling
+from ..sources import brace_code, files, manifests, practices, python_code, routes, schemas, tooling
 from ..sources.parse import parsed
 from .scratch import Scratch
 
@@ -71,13 +71,13 @@ def analyse(spark: SparkSession, root: str, advisories: DataFrame | None = None,
     direct = s.save(parsed(inventory, manifests.dependencies, manifests.DEPENDENCIES), "dependencies")
     locked = s.save(parsed(inventory, manifests.locked, manifests.LOCKED), "locked")
     resolved = dependency_rules.resolved_by_lock(direct, locked)
-    endpoints = s.save(parsed(code.where("kind = 'SOURCE'"), practices.endpoints, practices.ENDPOINTS), "endpoints")
+    endpoints = s.save(parsed(code.where("kind = 'SOURCE'"), routes.endpoints, routes.ENDPOINTS), "endpoints")
     tests = parsed(code.where("kind = 'TEST'"), practices.tests, practices.TESTS)
     texts = inventory.where("text is not null")
     coverage = parsed(texts.where(F.col("path").rlike(r"(?i)(?:^|/)(?:lcov\.info|coverage-summary\.json|coverage\.json|coverage\.xml|cobertura[\w-]*\.xml|jacoco[\w-]*\.xml)$")), practices.coverage, practices.COVERAGE)
     sized = inventory.select("path", "kind", F.coalesce(line_count(F.col("text")), F.lit(0)).alias("lines"))
     ci = not texts.where(F.col("path").rlike(r"^\.github/workflows/|^\.gitlab-ci\.yml$|^Jenkinsfile$") & F.col("text").rlike(r"\b(?:npm|pnpm|yarn)\s+(?:run\s+)?test\b|\b(?:pytest|vitest|jest|mvn|gradle)\b")).isEmpty()
-    schema = parsed(texts.where(F.col("path").rlike(r"\.(?:sql|prisma)$")), practices.schema, practices.SCHEMA)
+    schema = parsed(texts.where(F.col("path").rlike(r"\.(?:sql|prisma)$")), schemas.schema, schemas.SCHEMA)
     test_imports = imports.join(inventory.where("kind = 'TEST'").select("path"), "path", "left_semi").select("specifier")
     some_tests = not sized.where("kind = 'TEST'").isEmpty()
     untested = practice_rules.untested(sized, test_imports).where(F.lit(some_tests)).select(F.lit("testing/untested-file").alias("rule_id"), F.lit("INFO").alias("severity"), "path", F.col("lines").cast("string").alias("evidence"))

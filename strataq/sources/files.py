@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import base_of, extension_of, line_count
 
 # Directories that are never read.
-IGNORED = ".git .hg .svn node_modules bower_components vendor dist build out target .next .nuxt .output .cache .parcel-cache .turbo coverage .nyc_output __pycache__ .venv venv .tox .mypy_cache .pytest_cache .ruff_cache .gradle .idea .vscode .terraform".split()
+IGNORED = "node_modules .git dist build out coverage .next .nuxt .svelte-kit .turbo .cache .parcel-cache venv .venv env __pycache__ .pytest_cache .mypy_cache .tox target .gradle .idea .vscode bower_components vendor __MACOSX Pods .terraform".split()
 
 # Languages by file name and by extension.
 LANGUAGE_NAMES = {"Dockerfile": "dockerfile", "Makefile": "makefile", "CMakeLists.txt": "cmake", "Jenkinsfile": "groovy"}
