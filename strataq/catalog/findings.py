@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import SEVERITIES, severity_rank
 from ..functions.text import line_count, redact_secrets
 from ..operators import query, score
+from ..plans.scratch import Scratch
 from ..sources.tables import table
 
 RULE = "secret/hardcoded-credential"
@@ -15,11 +16,11 @@ ASSIGNED = r'\b(token|password|secret|api_key)\b\s*=\s*"([^"]{20,})"'
 MAIL = r"[0-9A-Za-z._]+@[0-9A-Za-z.]+\.[a-z]+"
 
 
-def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def findings(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     """Findings in lines of documents: secrets, mail addresses, license lines and repeated words.
 
     A document is a file source/lang/id.txt. Severity falls with the kind of finding; the fingerprint holds the rule, the
-    path, a digest of what was found, and its ordinal.
+    path, a digest of what was found, and its ordinal. `keep`: of the columns line_text.
     """
     docs = table(spark, sf_dir, "documents")
     path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
@@ -28,8 +29,8 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     secret = F.when(F.col("line_text").rlike(ASSIGNED), F.struct(F.lit(RULE).alias("rule_id"), F.lit("SECRET").alias("category"), F.lit("hardcoded-credential").alias("type"), F.lit("HIGH").alias("severity"), F.regexp_extract("line_text", ASSIGNED, 2).alias("found")))
     mail = F.when(F.col("line_text").rlike(MAIL), F.struct(F.lit("privacy/mail-address").alias("rule_id"), F.lit("SECURITY").alias("category"), F.lit("mail-address").alias("type"), F.lit("MEDIUM").alias("severity"), F.regexp_extract("line_text", MAIL, 0).alias("found")))
     license_ = F.when(F.col("line_text").contains("Licensed under"), F.struct(F.lit("documentation/license-line").alias("rule_id"), F.lit("DOCUMENTATION").alias("category"), F.lit("license-line").alias("type"), F.lit("INFO").alias("severity"), F.regexp_extract("line_text", r"Licensed under .*", 0).alias("found")))
-    hits = lines.select("doc_id", "lang", "path", (F.col("at") + 1).cast("long").alias("line"), F.explode(F.filter(F.array(secret, mail, license_), lambda x: x.isNotNull())).alias("f"))
-    hits = hits.select("doc_id", "lang", "path", "line", "f.*").withColumn("key", F.sha2("found", 256))
+    hits = lines.select("doc_id", "lang", "path", (F.col("at") + 1).cast("long").alias("line"), *keep, F.explode(F.filter(F.array(secret, mail, license_), lambda x: x.isNotNull())).alias("f"))
+    hits = hits.select("doc_id", "lang", "path", "line", *keep, "f.*").withColumn("key", F.sha2("found", 256))
     return query.with_fingerprints(hits.withColumn("emit_order", F.col("line"))).drop("emit_order")
 
 
@@ -52,12 +53,15 @@ def triage(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
     return found.join(labels, "doc_id").select("fingerprint", F.when(F.col("toxic") == 1, "IGNORED").otherwise("EXPECTED").alias("status")).distinct()
 
 
+def _saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings, written, for queries that read them more than once: the texts are scanned once."""
+    return Scratch(spark).save(findings(spark, sf_dir), "findings")
+
+
 def secret_findings(spark, sf_dir):
-    found = findings(spark, sf_dir).where(F.col("category") == "SECRET")
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "t"))
-    evidence = F.regexp_extract(redact_secrets(F.trim(F.regexp_replace("t", r"\s+", " "))), r'(\w+ ?= ?"<redacted>")', 1)
-    shown = lines.where(F.col("t").rlike(ASSIGNED)).select("doc_id", (F.col("at") + 1).cast("long").alias("line"), evidence.alias("evidence"))
-    return found.join(shown, ["doc_id", "line"]).select("doc_id", "path", "line", "rule_id", "severity", "ordinal", "fingerprint", "evidence")
+    found = findings(spark, sf_dir, "line_text").where(F.col("category") == "SECRET")
+    evidence = F.regexp_extract(redact_secrets(F.trim(F.regexp_replace("line_text", r"\s+", " "))), r'(\w+ ?= ?"<redacted>")', 1)
+    return found.withColumn("evidence", evidence).select("doc_id", "path", "line", "rule_id", "severity", "ordinal", "fingerprint", "evidence")
 
 
 SECRET_FINDINGS = f"""WITH {FINDINGS},
@@ -67,7 +71,7 @@ FROM findings JOIN shown USING (doc_id, line) WHERE category = 'SECRET'"""
 
 
 def findings_page(spark, sf_dir):
-    found = findings(spark, sf_dir)
+    found = _saved(spark, sf_dir)
     rows = query.findings_page(found, triage(spark, sf_dir, found), number=2, size=20, category=["SECRET", "SECURITY"])
     return rows.select("fingerprint", "severity", "path", "line", "triage_status")
 
@@ -78,7 +82,7 @@ SELECT fingerprint, severity, path, line, status AS triage_status FROM p LEFT JO
 
 
 def findings_facets(spark, sf_dir):
-    found = findings(spark, sf_dir)
+    found = _saved(spark, sf_dir)
     return query.findings_facets(found, triage(spark, sf_dir, found), "untriaged", category=["SECRET", "SECURITY"])
 
 
@@ -89,7 +93,7 @@ SELECT 'severity' AS facet, severity AS value, count(*) AS n FROM s GROUP BY sev
 
 def _triaged(which):
     def run(spark, sf_dir):
-        found = findings(spark, sf_dir)
+        found = _saved(spark, sf_dir)
         return query.triaged(found, triage(spark, sf_dir, found), which).select("fingerprint", "path", "line", "severity")
 
     return run
@@ -116,7 +120,7 @@ WORST_PER_DOCUMENT = f"WITH {FINDINGS} SELECT path, min_by(severity, severity_ra
 
 
 def most_severe_kept(spark, sf_dir):
-    found = findings(spark, sf_dir)
+    found = _saved(spark, sf_dir)
     kept, _ = query.most_severe(found, 25)
     total = found.agg(F.count("*").alias("total"))
     return kept.select("fingerprint", "severity", "path", "line").crossJoin(F.broadcast(total)).withColumn("truncated", F.col("total") > 25)  # one row
@@ -128,7 +132,7 @@ SELECT fingerprint, severity, path, line, total, total > 25 AS truncated FROM (S
 
 def capped_lists(spark, sf_dir):
     """At most five findings of each rule, with how many there were."""
-    return query.capped(findings(spark, sf_dir), ["rule_id"], [F.col("path"), F.col("line"), F.col("fingerprint")], 5).select("rule_id", "path", "line", "total")
+    return query.capped(_saved(spark, sf_dir), ["rule_id"], [F.col("path"), F.col("line"), F.col("fingerprint")], 5).select("rule_id", "path", "line", "total")
 
 
 CAPPED_LISTS = f"""WITH {FINDINGS}
@@ -144,7 +148,7 @@ def _subjects(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
-    found = findings(spark, sf_dir).withColumn("subject", F.col("lang"))
+    found = _saved(spark, sf_dir).withColumn("subject", F.col("lang"))
     return found, _subjects(spark, sf_dir), triage(spark, sf_dir, found)
 
 

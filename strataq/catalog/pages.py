@@ -176,13 +176,13 @@ BROKEN_LINKS = f"WITH {FILES}, {LINKS} SELECT split_part(target, '/', 1) AS host
 
 def undocumented_terms(spark, sf_dir):
     """Words linked in pages that no benchmark item uses."""
-    used = links(spark, sf_dir).select(F.explode(tokens(F.substring("href", 2, 200))).alias("term"))
+    used = links(spark, sf_dir).select(F.explode(tokens(F.expr("substring(href, 2)"))).alias("term"))
     told = table(spark, sf_dir, "benchmark").select(F.explode(tokens(F.col("text"))).alias("term"))
     return joins.difference(used, told, ["term"])
 
 
 _TOK = r"list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace({0}, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g')), '[^a-z0-9]+'), lambda x: length(x) >= 2)"
-UNDOCUMENTED_TERMS = f"WITH {LINKS}, u AS (SELECT DISTINCT unnest({_TOK.format('substring(href, 2, 200)')}) AS term FROM links), b AS (SELECT DISTINCT unnest({_TOK.format('text')}) AS term FROM benchmark) SELECT term FROM u WHERE term NOT IN (SELECT term FROM b)"
+UNDOCUMENTED_TERMS = f"WITH {LINKS}, u AS (SELECT DISTINCT unnest({_TOK.format('substring(href, 2)')}) AS term FROM links), b AS (SELECT DISTINCT unnest({_TOK.format('text')}) AS term FROM benchmark) SELECT term FROM u WHERE term NOT IN (SELECT term FROM b)"
 
 PATHS = [
     ("src/api/orders.ts", "interface"), ("src/services/billing.ts", "service"), ("src/db/orders.repository.ts", "data"), ("src/utils/format.ts", "shared"), ("src/orders.controller.ts", "interface"),

@@ -143,14 +143,14 @@ SELECT doc_id, min(pos) AS start, original_id, min(a0) AS original_start, max(po
 
 
 def duplicated_lines(spark, sf_dir):
-    """Per document, lines of 30 characters or more that another place of the corpus repeats, and their share of all such lines."""
-    l = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.length("line") >= 30).select("doc_id", F.xxhash64("line").alias("h"), F.sha2("line", 256).alias("k"))
+    """Per document, lines that another place of the corpus repeats, and their share of all its lines; empty ones don't count."""
+    l = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where("line <> ''").select("doc_id", F.sha2("line", 256).alias("k"))
     often = l.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k", F.lit(1).alias("dup"))
     d = l.join(often, "k", "left").groupBy("doc_id").agg(F.count("*").alias("lines"), F.count("dup").alias("duplicated"))
     return d.where("duplicated > 0").withColumn("percent", F.floor(F.col("duplicated") * 1000.0 / F.col("lines") + 0.5) / 10)
 
 
-DUPLICATED_LINES = """WITH l AS (SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) >= 30), o AS (SELECT line FROM l GROUP BY line HAVING count(*) > 1)
+DUPLICATED_LINES = """WITH l AS (SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line <> ''), o AS (SELECT line FROM l GROUP BY line HAVING count(*) > 1)
 SELECT doc_id, count(*) AS lines, count(o.line) AS duplicated, floor(count(o.line) * 1000.0::DOUBLE / count(*) + 0.5) / 10 AS percent FROM l LEFT JOIN o ON o.line = l.line GROUP BY doc_id HAVING count(o.line) > 0"""
 
 

@@ -30,8 +30,9 @@ def bfs(edges: DataFrame, start: DataFrame, scratch: Scratch, direction: str = "
     return found if limit is None else found.orderBy("distance", "id").limit(limit)
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame, scratch: Scratch, rounds: int = 20, damping: float = 0.85, cut_every: int = 5) -> DataFrame:
-    """(id, rank): parallel edges count each, nodes without out-edges spread their rank over all."""
+def pagerank(edges: DataFrame, nodes: DataFrame, scratch: Scratch, rounds: int = 20, damping: float = 0.85) -> DataFrame:
+    """(id, rank): parallel edges count each, nodes without out-edges spread their rank over all. Ranks are written each
+    round, as a round reads them twice and its plan would double with every one that is not."""
     n = nodes.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("rank"))
@@ -39,21 +40,21 @@ def pagerank(edges: DataFrame, nodes: DataFrame, scratch: Scratch, rounds: int =
     links = scratch.save(edges.groupBy("src", "dst").agg(F.count("*").alias("k")).join(out, "src").select("src", "dst", (F.col("k") / F.col("out")).alias("share")), "shares")
     hanging = scratch.save(nodes.select("id").join(out, F.col("id") == F.col("src"), "left_anti"), "hanging")
     ranks = nodes.select("id", F.lit(1.0 / n).alias("rank"))
-    for k in range(1, rounds + 1):
+    for _ in range(rounds):
         loose = ranks.join(hanging, "id", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
         into = links.join(ranks, links["src"] == ranks["id"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("into"))
         new = nodes.select("id").join(into, F.col("id") == F.col("dst"), "left").crossJoin(F.broadcast(loose))  # one row
         ranks = new.select("id", ((1 - damping) / n + damping * (F.coalesce("into", F.lit(0.0)) + F.col("loose") / n)).alias("rank"))
-        if k % cut_every == 0:
-            ranks = scratch.save(ranks, "ranks")
+        ranks = scratch.save(ranks, "ranks")
     return ranks
 
 
-def reach(edges: DataFrame, scratch: Scratch, most: int = 40) -> DataFrame:
-    """(a, b): b can be reached from a by at least one edge. For module-sized graphs: paths double in length each round."""
+def reach(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): b can be reached from a by at least one edge. For module-sized graphs: paths double in length each round,
+    until no pair is new."""
     paths = scratch.save(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct(), "paths")
     known = paths.count()
-    for _ in range(most):
+    while True:
         longer = paths.alias("p").join(paths.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
         paths = scratch.save(paths.union(longer).distinct(), "paths")
         now = paths.count()
@@ -63,16 +64,17 @@ def reach(edges: DataFrame, scratch: Scratch, most: int = 40) -> DataFrame:
     return paths
 
 
-def strong_components(edges: DataFrame, scratch: Scratch, most: int = 100) -> DataFrame:
+def strong_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component): nodes on a cycle with the smallest node of their strongly connected component.
 
     Nodes that cannot lie on a cycle are trimmed round by round. Then every node takes the smallest label that reaches it
     (forward colouring); within a colour, the nodes from which its smallest node can be reached form one component. They
-    go, and the rest starts anew: each round settles at least one component per colour, with joins only.
+    go, and the rest starts anew until no cycle is left: each round settles at least one component per colour, with joins
+    only.
     """
     left = scratch.save(edges.where("src <> dst").select("src", "dst").distinct(), "left")
     done: DataFrame | None = None
-    for _ in range(most):
+    while True:
         left = _trim(left, scratch)
         if left.isEmpty():
             break
@@ -130,21 +132,28 @@ def cycles(components: DataFrame, most: int = 50) -> DataFrame:
     return c.orderBy(F.desc("size"), F.get("members", F.lit(0))).limit(most)
 
 
-def shortest_cycle(edges: DataFrame, components: DataFrame, scratch: Scratch, max_depth: int = 50) -> DataFrame:
-    """(component, length): the length of the shortest cycle through each component's smallest node."""
+def shortest_cycle(edges: DataFrame, components: DataFrame, scratch: Scratch) -> DataFrame:
+    """(component, length) of `cycle_paths`."""
+    return cycle_paths(edges, components, scratch).select("component", "length")
+
+
+def cycle_paths(edges: DataFrame, components: DataFrame, scratch: Scratch) -> DataFrame:
+    """(component, length, path): the shortest cycle through each component's smallest node, which its path begins and ends
+    with; of several the first in order. A component's search goes as deep as it has nodes."""
     inside = edges.where("src <> dst").join(components.select(F.col("id").alias("src"), "component"), "src").join(components.select(F.col("id").alias("dst"), F.col("component").alias("other")), "dst").where("component = other")
     inside = scratch.save(inside.select("src", "dst", "component").distinct(), "inside")
-    at = scratch.save(components.select("component").distinct().withColumn("id", F.col("component")), "at")
-    seen, found = at, None
-    for depth in range(1, max_depth + 1):
-        step = inside.join(at.select(F.col("id").alias("src"), "component"), ["src", "component"]).select("component", F.col("dst").alias("id")).distinct()
-        closed = step.where("id = component").select("component", F.lit(depth).alias("length"))
+    at = scratch.save(components.select("component").distinct().select("component", F.col("component").alias("id"), F.array("component").alias("path")), "at")
+    seen, found = at.select("component", "id"), None
+    while True:
+        step = inside.join(at.select(F.col("id").alias("src"), "component", "path"), ["src", "component"]).select("component", F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
+        step = scratch.save(step.groupBy("component", "id").agg(F.min("path").alias("path")), "step")  # one path to a node is enough
+        closed = step.where("id = component").select("component", (F.size("path") - 1).alias("length"), "path")
         found = closed if found is None else found.union(closed)
-        at = scratch.save(step.join(seen, ["component", "id"], "left_anti"), "at")
+        open_ = step.join(closed.select("component"), "component", "left_anti")
+        at = scratch.save(open_.join(seen, ["component", "id"], "left_anti"), "at")
         if at.isEmpty():
-            break
-        seen = seen.union(at)
-    return found.groupBy("component").agg(F.min("length").alias("length"))
+            return found
+        seen = seen.union(at.select("component", "id"))
 
 
 def impact(edges: DataFrame, target: str, tests: DataFrame, scratch: Scratch, max_depth: int = 10, limit: int = 200) -> DataFrame:

@@ -180,8 +180,11 @@ def first_per(df: DataFrame, keys: list[str], emitted: str) -> DataFrame:
 
 def capped(df: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
     """At most `most` rows of each key, with `total`, how many there were."""
-    w = W.partitionBy(*keys)
-    return df.withColumn("total", F.count("*").over(w)).withColumn("_n", F.row_number().over(w.orderBy(*order))).where(F.col("_n") <= most).drop("_n")
+    # the limit on the window lets each task keep `most` rows of a key; totals are counted before the shuffle
+    first = df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= most).drop("_n")
+    same = [F.col(f"_{k}").eqNullSafe(F.col(k)) for k in keys]
+    totals = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count("*").alias("total"))
+    return first.join(totals, same).select(*df.columns, "total")
 
 
 def most_severe(findings: DataFrame, most: int) -> tuple[DataFrame, Column]:

@@ -4,19 +4,47 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numbers import rank_of, threshold_severity
+from ..functions.numbers import rank_of, round_half_up, threshold_severity
 from ..functions.rules import catalogue
 from ..functions.text import LAYER_ORDER, infer_layer, line_count
-from ..operators import aggregates, dependency_rules, graph, joins, practice_rules, query, resolve, score, secret_rules
+from ..operators import aggregates, clones, dependency_rules, graph, joins, practice_rules, query, resolve, score, secret_rules
 from ..sources import brace_code, files, manifests, practices, python_code, routes, schemas, tooling
 from ..sources.parse import parsed
 from .scratch import Scratch
 
 MODULES = ("code", "security", "dependencies", "architecture", "practices")
 MOST_KEPT = 5000
+#: Lines beyond which a copied block is worse.
+LONG_COPY = 30
+
+# What shows a specification, its tools, its documents, a rate limit, and the placeholder of a test script.
+SPECIFICATION = r"(?i)(?:^|/)(?:openapi|swagger)[\w.-]*\.(?:json|ya?ml)$"
+SPECIFICATION_TOOLS = r"(?i)swagger|openapi|springdoc|drf-spectacular|drf-yasg|flasgger|\btsoa\b|apispec"
+API_DOCUMENTS = r"(?i)(?:^|/)(?:docs?/)?api[\w-]*\.(?:md|mdx|rst|adoc)$|(?:^|/)docs?/api/"
+RATE_LIMIT = r"(?i)rate[-_ ]?limit|throttl|slowapi|bucket4j|express-slow-down|\blimiter\b|brute"
+NO_TEST = "no test specified"
+MANIFEST = r"(?:^|/)(?:package\.json|requirements[^/]*\.txt|pyproject\.toml|pom\.xml|build\.gradle(?:\.kts)?)$"
+
+
+def _some(rows: DataFrame, condition: Column | None = None) -> bool:
+    return not (rows if condition is None else rows.where(condition)).isEmpty()
+
+
+def _copies(code: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(findings of copied blocks, duplicated lines of each path) of the production code of the tree, taken as one
+    repository, so its scan is one task; a tree has at most as many files as the inventory reads."""
+    source = code.where("kind = 'SOURCE'")
+    tokens = parsed(source.where("language = 'python'"), python_code.tokens, brace_code.TOKENS).union(parsed(source.where("language <> 'python'"), brace_code.tokens, brace_code.TOKENS))
+    found = s.save(clones.greedy_clones(tokens.withColumn("repository", F.lit("")).select("repository", "path", "hashes", "rows")), "clones")
+    lines = F.col("last_line") - F.col("first_line") + 1
+    evidence = F.format_string("lines %d-%d (%d tokens) are those of lines %d-%d of %s", "first_line", "last_line", "tokens", "original_first", "original_last", "original")
+    severity = F.when(lines > LONG_COPY, "MEDIUM").otherwise("LOW")
+    rows = found.select(F.lit("duplication/duplicate-block").alias("rule_id"), severity.alias("severity"), "path", F.col("first_line").alias("line"), evidence.alias("evidence"), F.concat_ws(":", F.lit("dup"), "original", F.col("tokens").cast("string")).alias("key"))
+    both = found.select("path", "first_line", "last_line").union(found.select(F.col("original"), F.col("original_first"), F.col("original_last")))
+    return rows, clones.duplicated_lines(both)
 
 
 def _raw(df: DataFrame, module: str) -> DataFrame:
@@ -83,6 +111,13 @@ def analyse(spark: SparkSession, root: str, advisories: DataFrame | None = None,
     untested = practice_rules.untested(sized, test_imports).where(F.lit(some_tests)).select(F.lit("testing/untested-file").alias("rule_id"), F.lit("INFO").alias("severity"), "path", F.col("lines").cast("string").alias("evidence"))
     migrations = not inventory.where(F.col("path").rlike(r"(?i)(?:^|/)(?:migrations?|alembic/versions|db/migrate)/")).isEmpty()
     documentation = texts.where("kind = 'DOCUMENTATION'")
+    told = texts.where((F.col("kind") == "SOURCE") | F.col("path").rlike(MANIFEST))  # sources and manifests
+    limited = _some(told, F.col("text").rlike(RATE_LIMIT))
+    specified = _some(endpoints, F.col("framework") == "FastAPI") or _some(inventory, F.col("path").rlike(SPECIFICATION) | F.col("path").rlike(API_DOCUMENTS)) or _some(told, F.col("text").rlike(SPECIFICATION_TOOLS))
+    test_script = F.get_json_object("text", "$.scripts.test")
+    scripted = texts.where("path = 'package.json'").where(test_script.isNull() | test_script.contains(NO_TEST))
+    script = not (_some(scripted) and _some(code, (F.col("kind") == "SOURCE") & F.col("language").isin("javascript", "typescript")))
+    copied, duplicated = _copies(code, s)
     found = [
         _raw(_threshold_findings(functions, metrics, symbols), "code"),
         _raw(parsed(python, python_code.quality, python_code.FINDINGS), "code"),
@@ -92,11 +127,12 @@ def analyse(spark: SparkSession, root: str, advisories: DataFrame | None = None,
         _raw(secret_rules.env_values(lines), "security"),
         _raw(dependency_rules.hygiene(resolved, locked).withColumn("evidence", F.coalesce("name", F.lit("no lock file"))), "dependencies"),
         _raw(practice_rules.architecture_findings(components, inventory.select(F.col("path").alias("id"), "language"), violations, fan), "architecture"),
-        _raw(practice_rules.api_findings(endpoints, False, False), "practices"),
+        _raw(copied, "code"),
+        _raw(practice_rules.api_findings(endpoints, specified, limited), "practices"),
         _raw(parsed(code.where("kind = 'SOURCE'"), practices.setup_checks, practices.CHECKS), "practices"),
         _raw(practice_rules.database_findings(schema, migrations), "practices"),
         _raw(untested, "practices"),
-        _raw(practice_rules.testing_findings(practice_rules.testing_summary(sized, tests, coverage), tests, ci, True), "practices"),
+        _raw(practice_rules.testing_findings(practice_rules.testing_summary(sized, tests, coverage), tests, ci, script), "practices"),
         _raw(practice_rules.documentation_findings(texts, parsed(documentation, practices.documentation_links, "path string, target string, line int"), parsed(code.where("kind = 'SOURCE'"), practices.environment, "path string, name string, line int"), texts.where(F.col("path").rlike(r"(?i)readme|\.env\.(?:example|sample|template)$")).select(F.explode(F.regexp_extract_all("text", F.lit(r"\b([A-Z][A-Z0-9_]{2,})\b"), F.lit(1))).alias("name")).distinct()), "practices"),
     ]
     if advisories is not None:
@@ -109,7 +145,9 @@ def analyse(spark: SparkSession, root: str, advisories: DataFrame | None = None,
     lines_of_code = metrics.join(inventory.where("kind = 'SOURCE'").select("path"), "path", "left_semi").agg(F.coalesce(F.sum("code_lines"), F.lit(0)).alias("lines"))
     some_code = not code.where("kind = 'SOURCE'").isEmpty()
     present = F.array_compact(F.array(F.when(F.lit(some_code), "codeQuality"), F.when(F.lit(some_code), "testing"), F.when(F.lit(not direct.isEmpty()), "dependencies"), F.when(F.lit(not edges.isEmpty()), "architecture"), F.when(F.lit(not endpoints.isEmpty()), "api"), F.when(F.lit(not schema.isEmpty()), "database")))
-    subjects = lines_of_code.select(F.lit(root).alias("subject"), "lines", F.lit(0.0).alias("duplication"), present.alias("present"))
+    twice = duplicated.agg(F.coalesce(F.sum("lines"), F.lit(0)).alias("twice"))
+    percent = round_half_up(F.coalesce(F.try_divide(F.col("twice") * 100.0, F.col("lines")), F.lit(0.0)), 2)
+    subjects = lines_of_code.crossJoin(F.broadcast(twice)).select(F.lit(root).alias("subject"), "lines", percent.alias("duplication"), present.alias("present"))  # one row each
     none = spark.createDataFrame([], "fingerprint string") if excluded is None else excluded
     health = score.health(findings.withColumn("subject", F.lit(root)), subjects, none)
     summary = findings.agg(F.count("*").alias("findings"), F.lit(truncated).alias("truncated"), (F.count("*") > MOST_KEPT).alias("findings_truncated"))

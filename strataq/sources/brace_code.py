@@ -7,6 +7,7 @@ approximations from token order and say so in `approximate`.
 from __future__ import annotations
 
 import re
+from zlib import crc32
 
 from .python_code import MOST_TODO
 
@@ -21,6 +22,9 @@ OPENS = {"if", "for", "while", "do", "switch", "try", "else", "catch", "finally"
 NOT_FUNCTIONS = OPENS | {"return", "new", "function", "with", "synchronized", "throw", "typeof", "sizeof", "await"}
 
 
+TOKENS = "path string, hashes array<bigint>, rows array<int>"
+
+
 class Token(tuple):
     """(kind, text, line)"""
 
@@ -38,6 +42,12 @@ def lex(text: str) -> list[Token]:
     return out
 
 
+def tokens(path: str, text: str) -> list[tuple]:
+    """Hashes of a file's tokens and the rows they begin in, from 0; comments and white space are no tokens."""
+    code = [t for t in lex(text) if t.kind != "comment"]
+    return [(path, [crc32(t.text.encode("utf-8", "replace")) for t in code], [t.line - 1 for t in code])] if code else []
+
+
 def _closing(tokens: list[Token], at: int, pair: str) -> int:
     depth = 0
     for i in range(at, len(tokens)):

@@ -7,6 +7,7 @@ import io
 import re
 import tokenize
 from collections.abc import Iterator
+from zlib import crc32
 
 METRICS = "path string, code_lines int, comment_lines int, blank_lines int, logical_lines int, functions int, classes int, max_complexity int, max_nesting int, error boolean"
 FUNCTIONS = "path string, name string, line int, end_line int, complexity int, nesting int, parameters int, code_lines int"
@@ -58,6 +59,18 @@ def line_classes(text: str, tree: ast.Module | None) -> tuple[set[int], set[int]
     return code, comment, blank
 
 
+def tokens(path: str, text: str) -> list[tuple]:
+    """Hashes of a file's tokens and the rows they begin in, from 0; comments, line ends and indents are no tokens."""
+    code = []
+    try:
+        for t in tokenize.generate_tokens(io.StringIO(text).readline):
+            if t.type not in (tokenize.COMMENT, tokenize.NL, tokenize.NEWLINE, tokenize.INDENT, tokenize.DEDENT, tokenize.ENDMARKER):
+                code.append((crc32(t.string.encode("utf-8", "replace")), t.start[0] - 1))
+    except (tokenize.TokenError, SyntaxError):
+        pass  # what stands before the fault counts
+    return [(path, [h for h, _ in code], [row for _, row in code])] if code else []
+
+
 def _own(node: ast.AST) -> Iterator[ast.AST]:
     """Nodes of a function without those of functions and classes inside it."""
     todo = list(ast.iter_child_nodes(node))

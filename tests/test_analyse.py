@@ -52,3 +52,29 @@ def test_service(spark, tree):
     assert t["findings"].where("rule_id = 'injection/os-command'").count() == 1 and t["findings"].where("rule_id = 'injection/sql'").count() == 1
     assert t["findings"].select("fingerprint").distinct().count() == t["findings"].count()
     assert t["health"].first()["score"] <= 69
+
+
+def _block(n):
+    return "\n".join(f"  const v{i} = f{i}(a, {i}) + g{i}(b);" for i in range(n))
+
+
+def test_copies_and_flags_of_a_tree(spark, tree):
+    """Copied blocks are found and cost points; specification, rate limit and test script are read from the tree."""
+    routes = "import express from 'express';\nconst app = express();\n" + "".join(f"app.get('/r{i}', h);\n" for i in range(12)) + "app.post('/login', h);\n"
+    py = "def f(a):\n" + "".join(f"    x{i} = g{i}(a, {i})  # note\n" for i in range(12)) + "    return x0\n"
+    base = {
+        "web/a.ts": f"export function one(a, b) {{\n{_block(40)}\n}}\n", "web/b.ts": f"// other\nexport function two(a, b) {{\n{_block(40)}\n}}\n", "web/server.ts": routes,
+        "lib/p.py": py, "lib/q.py": "import os\n\n\n" + py, "web/a.test.ts": "it('a', f);\n", "package.json": '{"scripts": {"test": "echo no test specified"}}',
+    }
+    t = analyse(spark, tree(base))
+    rows = t["findings"].collect()
+    got = {(r["rule_id"], r["path"], r["severity"]) for r in rows}
+    assert {x for x in got if x[0] == "duplication/duplicate-block"} == {("duplication/duplicate-block", "web/b.ts", "MEDIUM"), ("duplication/duplicate-block", "lib/q.py", "LOW")}
+    rules = {r["rule_id"] for r in rows}
+    assert {"api/no-specification", "api/auth-without-rate-limit", "testing/no-test-script"} <= rules
+    score = t["health"].first()["score"]
+    fixed = {"web/b.ts": "export const two = 2;\n", "lib/q.py": "import os\n\nprint(os)\n", "openapi.yaml": "openapi: 3.0.0\n", "package.json": '{"scripts": {"test": "vitest"}, "dependencies": {"express-rate-limit": "7.0.0"}}'}
+    better = analyse(spark, tree(base | fixed))
+    rules = {r["rule_id"] for r in better["findings"].collect()}
+    assert not rules & {"duplication/duplicate-block", "api/no-specification", "api/auth-without-rate-limit", "testing/no-test-script"}
+    assert better["health"].first()["score"] > score

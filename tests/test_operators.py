@@ -98,6 +98,22 @@ def test_strong_components_of_a_chain(spark):
     assert graph.strong_components(chain, Scratch(spark)).count() == 0
 
 
+def test_cycle_paths(spark):
+    far = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)] + [("n060", "n000")]  # longer than any fixed depth
+    e = edges(spark, [("a", "c"), ("c", "a"), ("a", "b"), ("b", "a"), *far[:8], ("n008", "n000")])
+    s = Scratch(spark)
+    found = {r["component"]: (r["length"], r["path"]) for r in graph.cycle_paths(e, graph.strong_components(e, s), s).collect()}
+    assert found == {"a": (2, ["a", "b", "a"]), "n000": (9, [f"n{i:03d}" for i in range(9)] + ["n000"])}
+
+
+def test_scratch_is_shared_or_local():
+    from types import SimpleNamespace
+
+    unset = SimpleNamespace(get=lambda *_: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        Scratch(SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: unset, master="spark://host:7077"), conf=unset))
+
+
 def test_shortest_cycle(spark):
     e = edges(spark, [("a", "b"), ("b", "a"), ("b", "c"), ("c", "a")])
     s = Scratch(spark)
