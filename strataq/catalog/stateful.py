@@ -131,7 +131,7 @@ def _hashed(spark, sf_dir):
 
 def clones_windows(spark, sf_dir):
     """Maximal runs of 50 words or more that a document shares with the first document that has them."""
-    c = clones.window_clones(_hashed(spark, sf_dir), 50, "doc_id")
+    c = clones.window_clones(_hashed(spark, sf_dir), 50, "doc_id", Scratch(spark))
     return c.select(F.col("path").alias("doc_id"), F.col("start").cast("long").alias("start"), F.col("original").alias("original_id"), F.col("original_start").cast("long").alias("original_start"), F.col("tokens").cast("long").alias("words"))
 
 

@@ -7,11 +7,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.scratch import Scratch
 
-def _joined(a: str, b: str, step: int) -> Column:
+
+def _joined(a: str, b: str, step: int, join=F.xxhash64) -> Column:
     """Hashes of runs that are made of a run of column a and, `step` places on, one of column b."""
     left = F.greatest(F.least(F.size(a), F.size(b) - step), F.lit(0))
-    return F.zip_with(F.slice(a, F.lit(1), left), F.slice(b, F.lit(step + 1), left), lambda x, y: F.xxhash64(x, y))
+    return F.zip_with(F.slice(a, F.lit(1), left), F.slice(b, F.lit(step + 1), left), lambda x, y: join(x, y))
+
+
+def with_sliding_least(df: DataFrame, column: str, n: int, out: str) -> DataFrame:
+    """Adds the least of every n neighbours of an array, from those of 2, 4, 8, ..."""
+    keep, power, have = df.columns, column, 1
+    while have * 2 <= n:
+        df = df.withColumn(f"_l{have * 2}", _joined(power, power, have, F.least))
+        power, have = f"_l{have * 2}", have * 2
+    made = _joined(power, power, n - have, F.least) if have < n else F.col(power)
+    return df.select(*keep, made.alias(out))
 
 
 def with_run_hashes(df: DataFrame, hashes: str, n: int, out: str) -> DataFrame:
@@ -34,17 +46,31 @@ def with_run_hashes(df: DataFrame, hashes: str, n: int, out: str) -> DataFrame:
     return df.select(*keep, F.col(made).alias(out))
 
 
-def window_clones(docs: DataFrame, window: int, id_col: str = "path") -> DataFrame:
+def window_clones(docs: DataFrame, window: int, id_col: str = "path", scratch: Scratch | None = None) -> DataFrame:
     """Maximal runs of at least `window` equal tokens between a text and the first text (by id, then position) that has
     them: (path, start, original, original_start, tokens), token positions from 0.
 
-    docs: id_col, hashes (array of token hashes). Windows are counted by hash and joined to the smallest occurrence only,
-    so a very common window costs one row per occurrence, not one per pair. Neighbouring windows with the same offset to
+    docs: id_col, hashes (array of token hashes). A window's anchor is the least hash of its runs of half its length, so equal
+    windows have equal anchors and neighbours mostly share one: what is counted over the corpus is a row for each stretch
+    of windows with one anchor, a thirteenth of all for 50 tokens, and only windows whose anchor recurs go on. They are
+    counted by hash and joined to the smallest occurrence only, so a very common window costs one row per occurrence, not
+    one per pair. Neighbouring windows with the same offset to
     their original are one run. Overlapping matches inside one text don't count.
     """
     d = with_run_hashes(docs.select(F.col(id_col).alias("path"), "hashes"), "hashes", window, "windows")
-    # outer, as the filter that a plain explode infers would be pushed down with all that makes the windows inside it
-    w = d.select("path", F.posexplode_outer("windows").alias("pos", "h")).where("h is not null")
+    scratch, half = scratch or Scratch(docs.sparkSession), max(1, window // 2)
+    span = window - half + 1
+    d = with_sliding_least(with_run_hashes(d, "hashes", half, "grams"), "grams", span, "anchors")
+    d = scratch.save(d.select("path", "windows", "anchors"), "windows")
+    # outer, as the filter that a plain explode infers would be pushed down with all that makes its array
+    fresh = F.zip_with("anchors", F.slice(F.concat(F.array(F.lit(None).cast("long")), "anchors"), F.lit(1), F.size("anchors")), lambda a, b: F.when(~a.eqNullSafe(b), a))
+    # one place of a run anchors at most `span` windows, so windows so far apart with one anchor have it at two places
+    left = F.greatest(F.size("anchors") - span, F.lit(0))
+    again = F.zip_with(F.slice("anchors", F.lit(1), left), F.slice("anchors", F.lit(span + 1), left), lambda a, b: F.when(a == b, a))
+    stretch = d.select(F.explode_outer(F.filter(F.concat(fresh, F.array_distinct(again)), lambda a: a.isNotNull())).alias("anchor")).where("anchor is not null")
+    often = scratch.save(stretch.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
+    w = d.select("path", F.posexplode_outer(F.arrays_zip(F.col("windows").alias("h"), F.col("anchors").alias("anchor"))).alias("pos", "w")).select("path", "pos", "w.*")
+    w = scratch.save(w.where("h is not null").join(often, "anchor", "left_semi").drop("anchor"), "recurring")
     first = w.groupBy("h").agg(F.min(F.struct("path", "pos")).alias("o"), F.count("*").alias("n")).where("n > 1").select("h", F.col("o.path").alias("original"), F.col("o.pos").alias("at"))
     m = w.join(first, "h").where((F.col("path") != F.col("original")) | (F.col("at") + window <= F.col("pos")))
     same = W.partitionBy("path", "original", F.col("pos") - F.col("at")).orderBy("pos")
