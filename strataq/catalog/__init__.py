@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package; each has QUERIES, a dict from name to (function, oracle or None).
-MODULES = ("findings", "measures", "pages", "graphs", "stateful", "code", "more")
+MODULES = ("findings", "measures", "pages", "graphs", "stateful", "code", "more", "texts")
 
 
 def _all() -> dict:
