@@ -36,7 +36,7 @@ def durations(spark, sf_dir):
     return e.select("user_id", F.coalesce(duration(F.col("first").cast("timestamp"), end.cast("timestamp")), F.lit(-1)).alias("took"), duration(F.col("last").cast("timestamp"), F.col("first").cast("timestamp")).alias("back"))
 
 
-DURATIONS = "SELECT user_id, CASE WHEN user_id % 7 <> 0 THEN epoch_ms(max(ts)) - epoch_ms(min(ts)) ELSE -1 END AS took, 0::BIGINT AS back FROM events GROUP BY user_id"
+DURATIONS = "SELECT user_id, CASE WHEN user_id % 7 <> 0 THEN epoch_us(max(ts)) // 1000 - epoch_us(min(ts)) // 1000 ELSE -1 END AS took, 0::BIGINT AS back FROM events GROUP BY user_id"
 
 
 def first_emitted(spark, sf_dir):

@@ -60,7 +60,8 @@ def timeline(events: DataFrame, most: int = TIMELINE) -> DataFrame:
 
 def duration(start: Column, end: Column) -> Column:
     """Milliseconds, null while one end is open, never below 0."""
-    return F.greatest(F.lit(0), F.unix_millis(end) - F.unix_millis(start))
+    took = F.unix_millis(end) - F.unix_millis(start)
+    return F.when(took.isNotNull(), F.greatest(F.lit(0), took))  # greatest passes over nulls
 
 
 def new_reports(reports: DataFrame, stored: DataFrame) -> DataFrame:
