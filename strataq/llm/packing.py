@@ -138,12 +138,12 @@ class Packer:
                 self.sequence(out)
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", most_pieces: int = tokens.MOST) -> DataFrame:
     """One row per piece: doc_id, start (its document's ids before it), length, ids (little-endian unsigned 32-bit),
     doc_tokens, sequence_id and offset (gapless from 0 within a sequence).
 
     A null or empty text is its end id alone. Repeated rows are packed each. A very long text is cut into many pieces.
-    Empty tables give no rows; other columns are ignored whatever their names.
+    Empty tables give no rows; other columns are ignored whatever their names. `most_pieces` bounds a worker's cache.
     """
     path = vocabulary or tokens.default_path()
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -152,7 +152,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, end = tokens.encoder(path), np.array([end_id], "<u4").tobytes()
+        encode, end = tokens.encoder(path, most_pieces), np.array([end_id], "<u4").tobytes()
         out: list[list] = [[] for _ in range(7)]
         size = [0]
         id_type = [pa.int64()]

@@ -18,6 +18,8 @@ from .common import kept
 VOCABULARY = "byte_bpe_50k.json"
 ID_BYTES = 4
 JOINED = 256
+#: Pieces whose ids a worker keeps, some 230 bytes each.
+MOST = 1_400_000
 #: Marks that are no letters, digits, white space or apostrophes.
 PLAIN = ".,;:!?&%$#*|"
 
@@ -31,7 +33,7 @@ def default_path(name: str = VOCABULARY) -> str:
 class Encoder:
     """texts -> bytes of ids as the library gives them with add_special_tokens=False. One per worker: use `encoder(path)`."""
 
-    def __init__(self, path: str, most: int = 1_400_000):
+    def __init__(self, path: str, most: int = MOST):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -120,9 +122,9 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a vocabulary file, kept between tasks."""
-    return kept(("tokens", path), lambda: Encoder(path))
+def encoder(path: str, most: int = MOST) -> Encoder:
+    """The worker's encoder for a vocabulary file, kept between tasks; it holds the ids of at most about `most` pieces."""
+    return kept(("tokens", path, most), lambda: Encoder(path, most))
 
 
 def in_slices(column, size: int = 64):
