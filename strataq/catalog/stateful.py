@@ -156,10 +156,10 @@ SELECT doc_id, count(*) AS lines, count(o.line) AS duplicated, floor(count(o.lin
 
 def clones_greedy(spark, sf_dir):
     """The order-dependent scan of each source's documents in id order, by lines as rows."""
-    d = table(spark, sf_dir, "documents").select(F.col("source").alias("repository"), F.format_string("%012d", "doc_id").alias("path"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("row", "line"))
-    d = d.withColumn("words", F.transform(F.array_remove(F.split("line", r"\s+"), ""), lambda w: F.xxhash64(w)))
-    rows = d.groupBy("repository", "path").agg(F.sort_array(F.collect_list(F.struct("row", "words"))).alias("l"))
-    flat = rows.select("repository", "path", F.flatten(F.transform("l", lambda x: x["words"])).alias("hashes"), F.flatten(F.transform("l", lambda x: F.transform(x["words"], lambda _: x["row"]))).alias("rows"))
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("repository"), F.format_string("%012d", "doc_id").alias("path"), F.split(F.coalesce("text", F.lit("")), "\n").alias("l"))
+    d = d.withColumn("words", F.transform("l", lambda x: F.transform(F.array_remove(F.split(x, r"\s+"), ""), lambda w: F.xxhash64(w))))
+    rows = F.flatten(F.transform("words", lambda x, i: F.array_repeat(i, F.size(x))))
+    flat = d.select("repository", "path", F.flatten("words").alias("hashes"), rows.alias("rows"))
     return clones.greedy_clones(flat, 50, 2)
 
 

@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zlib
+from array import array
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -102,7 +110,7 @@ def duplicated_lines(clones: DataFrame) -> DataFrame:
 def greedy_scan(files: list[tuple[str, list[int], list[int]]], window: int = 50, least_lines: int = 6, most_kept: int = 8) -> list[tuple]:
     """Clones of files (path, token hashes, token rows) in order: (path, first line, last line, original, its first line, its
     last line, tokens). A clone is skipped past; the first earlier occurrence that holds wins; windows without a match are
-    remembered, a few of each."""
+    remembered, a few of each. All files are held in memory; greedy_clones gives the same for any number of them."""
     known: dict[tuple, list[tuple[int, int]]] = {}
     out = []
     for f, (path, tokens, rows) in enumerate(files):
@@ -138,20 +146,306 @@ def greedy_scan(files: list[tuple[str, list[int], list[int]]], window: int = 50,
     return out
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+def _pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return _mixed(x * np.uint64(0x9E3779B97F4A7C15) + y)
+
+
+def _runs(x: np.ndarray, n: int, join) -> np.ndarray:
+    """What `join` makes of every n neighbours, by runs of 1, 2, 4, ... as in with_run_hashes."""
+    power, have, made, width = x, 1, None, 0
+    while have <= n:
+        if n & have:
+            if made is None:
+                made, width = power, have
+            else:
+                size = max(0, len(x) - width - have + 1)
+                made, width = join(made[:size], power[width : width + size]), width + have
+        if have * 2 <= n:
+            power = join(power[: max(0, len(power) - have)], power[have:])
+        have *= 2
+    return made[: max(0, len(x) - n + 1)]
+
+
+#: Tokens of texts that are worked on at once (a longer text is by itself), and the most bits of the filter of anchors.
+SLICE, FILTER_BITS = 1 << 19, 1 << 28
+
+
+def _anchored(batch: pa.RecordBatch, window: int) -> Iterator[tuple]:
+    """Slices of a batch: (first text, one past the last, tokens of each text, then of each window its text, its position
+    there, its hash and its anchor). An anchor, as in window_clones, is mixed with the repository, whose texts alone count."""
+    half = max(1, window // 2)
+    lists = batch["hashes"]
+    sizes = np.asarray(lists.value_lengths().fill_null(0), np.int64)
+    ends = np.cumsum(sizes)
+    flat = np.asarray(lists.flatten()).view(np.uint64)
+    seeds = np.array([0 if r is None else zlib.crc32(r.encode()) << 32 | len(r) + 1 for r in batch["repository"].to_pylist()], np.uint64)
+    lo = 0
+    while lo < len(sizes):
+        begin = ends[lo] - sizes[lo]
+        hi = max(lo + 1, int(np.searchsorted(ends, begin + SLICE, "right")))
+        n = sizes[lo:hi]
+        tokens = _mixed(flat[begin : ends[hi - 1]])
+        text = np.repeat(np.arange(hi - lo), n)
+        pos = np.arange(len(tokens)) - np.repeat(np.cumsum(n) - n, n)
+        at = np.flatnonzero(pos <= n[text] - window)
+        hashes = _runs(tokens, window, _pair)
+        anchors = _runs(_runs(tokens, half, _pair), window - half + 1, np.minimum)
+        text, pos = text[at], pos[at]
+        yield lo, hi, n, text, pos, hashes[at], _mixed(anchors[at] ^ seeds[lo:hi][text])
+        lo = hi
+
+
+def _anchor_filter(tokens: DataFrame, window: int, scratch: Scratch):
+    """A broadcast bit per value of an anchor's last bits: whether such an anchor may be at two places of its repository. One
+    place anchors at most `span` neighbouring windows, so longer stretches count for several."""
+    span = window - max(1, window // 2) + 1
+
+    def count(batches):
+        for batch in batches:
+            for _, _, _, text, _, _, anchors in _anchored(batch, window):
+                begins = np.flatnonzero(np.r_[True, (np.diff(text) != 0) | (anchors[1:] != anchors[:-1])]) if len(anchors) else np.empty(0, np.int64)
+                places = -(-np.diff(np.r_[begins, len(anchors)]) // span)
+                each, which = np.unique(anchors[begins], return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(each.view(np.int64)), pa.array(np.bincount(which, places, len(each)).astype(np.int64))], names=["anchor", "n"])
+
+    counted = tokens.select("repository", "hashes").mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    often = scratch.save(counted.where("n > 1").select("anchor"), "anchors")
+    bits = min(FILTER_BITS, max(1 << 16, 1 << (32 * often.count()).bit_length()))
+    page = min(bits, 1 << 20)
+
+    def pack(table: pa.Table) -> pa.Table:
+        slots = np.zeros(page, bool)
+        slots[np.asarray(table["slot"]) % page] = True
+        return pa.table({"page": table["page"][:1].cast(pa.int64()), "bits": pa.array([np.packbits(slots).tobytes()], pa.binary())})
+
+    slot = F.col("anchor").bitwiseAND(F.lit(bits - 1).cast("long"))
+    pages = often.select(slot.alias("slot")).withColumn("page", F.floor(F.col("slot") / page).cast("long")).distinct()
+    made = np.zeros(bits // 8, np.uint8)
+    for r in pages.groupBy("page").applyInArrow(pack, "page long, bits binary").toLocalIterator():
+        made[r["page"] * page // 8 : (r["page"] + 1) * page // 8] = np.frombuffer(r["bits"], np.uint8)
+    return tokens.sparkSession.sparkContext.broadcast(made.tobytes()), bits
+
+
+SHARED = "repository string, path string, content long, n long, starts array<int>, lines array<int>, pos array<int>, hashes array<long>, anchors array<long>"
+
+
+def _sharing(tokens: DataFrame, window: int, scratch: Scratch) -> DataFrame:
+    """Texts with windows whose anchor may recur, with these windows only and the tokens that begin a line, with its number."""
+    kept, bits = _anchor_filter(tokens, window, scratch)
+
+    def select(batches):
+        for batch in batches:
+            held = np.frombuffer(kept.value, np.uint8)
+            lists = batch["rows"]
+            ends = np.cumsum(np.asarray(lists.value_lengths().fill_null(0), np.int64))
+            rows = np.asarray(lists.flatten())
+            for lo, hi, n, text, pos, hashes, anchors in _anchored(batch, window):
+                slot = (anchors & np.uint64(bits - 1)).astype(np.int64)
+                on = np.flatnonzero(held[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1)
+                if not len(on):
+                    continue
+                some, counts = np.unique(text[on], return_counts=True)
+                begins, lines = [], []
+                for t in (lo + some).tolist():
+                    r = rows[ends[t - 1] if t else 0 : ends[t]]
+                    begins.append(np.flatnonzero(np.r_[True, r[1:] != r[:-1]]).astype(np.int32))
+                    lines.append(r[begins[-1]].astype(np.int32))
+                texts = pa.array(lo + some)
+                offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
+                row_offsets = pa.array(np.r_[0, np.cumsum([len(x) for x in begins])].astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [batch[c].take(texts) for c in ("repository", "path", "content")]
+                    + [pa.array(n[some]), *(pa.ListArray.from_arrays(row_offsets, np.concatenate(x)) for x in (begins, lines)), pa.ListArray.from_arrays(offsets, pos[on].astype(np.int32))]
+                    + [pa.ListArray.from_arrays(offsets, x[on].view(np.int64)) for x in (hashes, anchors)],
+                    names=[x.split()[0] for x in SHARED.split(", ")],
+                )
+
+    found = tokens.select("repository", "path", F.xxhash64("hashes", "rows").alias("content"), "hashes", "rows").mapInArrow(select, SHARED)
+    return scratch.save(found.withColumn("file", F.monotonically_increasing_id()), "sharing")
+
+
+class _Numbers:
+    """Arrays of whole numbers in a sparse file of the machine, 0 where nothing was written; its end deletes it."""
+
+    def __init__(self, width: int = 1):
+        places = [x for x in os.environ.get("SPARK_LOCAL_DIRS", "").split(",") if os.path.isdir(x)]
+        self.file, self.width = tempfile.TemporaryFile(dir=places[0] if places else None, buffering=0), width
+
+    def read(self, at: int, n: int) -> np.ndarray:
+        got = os.pread(self.file.fileno(), n * self.width * 8, at * self.width * 8)
+        out = np.zeros(n * self.width, np.int64)
+        out[: len(got) // 8] = np.frombuffer(got, np.int64, len(got) // 8)
+        return out.reshape(n, self.width)
+
+    def write(self, at: int, x: np.ndarray) -> None:
+        view, at = memoryview(np.ascontiguousarray(x, np.int64)).cast("B"), at * self.width * 8
+        while view:
+            done = os.pwrite(self.file.fileno(), view, at)
+            view, at = view[done:], at + done
+
+    def gather(self, keys: np.ndarray, gap: int) -> np.ndarray:
+        """The rows of ascending keys; neighbours up to `gap` apart are read at once."""
+        out = np.zeros((len(keys), self.width), np.int64)
+        cuts = np.r_[0, np.flatnonzero(np.diff(keys) > gap) + 1, len(keys)].tolist()
+        for lo, hi in zip(cuts, cuts[1:]):
+            if lo < hi:
+                out[lo:hi] = self.read(int(keys[lo]), int(keys[hi - 1] - keys[lo]) + 1)[keys[lo:hi] - keys[lo]]
+        return out
+
+    def scatter(self, keys: np.ndarray, rows: np.ndarray) -> None:
+        cuts = np.r_[0, np.flatnonzero(np.diff(keys) > 1) + 1, len(keys)].tolist()
+        for lo, hi in zip(cuts, cuts[1:]):
+            if lo < hi:
+                self.write(int(keys[lo]), rows[lo:hi])
+
+
+class _Scan:
+    """The greedy scan of one repository, file by file, over windows that recur there. A window has a place (a number that
+    ascends over files and positions) and a key (its first place). Keys by place and remembered places by key are on disk;
+    memory holds one file and 16 bytes of each earlier one."""
+
+    def __init__(self, window: int, least_lines: int, most_kept: int):
+        self.window, self.least_lines, self.most_kept = window, least_lines, most_kept
+        self.keys, self.first, self.more = _Numbers(), _Numbers(), _Numbers(max(1, most_kept - 1))
+        self.bases, self.files = array("q"), array("q")
+
+    def file(self, number: int, base: int, n: int, starts: list[int], lines: list[int], places: np.ndarray, keys: np.ndarray) -> Iterator[tuple]:
+        """Its clones: (first line, last line, original's number, its first token, its last token, tokens)."""
+        self.bases.append(base)
+        self.files.append(number)
+        if not len(places):
+            return
+        window, origin = self.window, int(places[0])
+        own = np.zeros(int(places[-1]) - origin + 1, np.int64)
+        own[places - origin] = keys + 1
+        self.keys.write(origin, own)
+        ends = np.r_[np.flatnonzero(np.diff(places) != 1) + 1, len(places)]
+        further = (np.repeat(ends, np.diff(np.r_[0, ends])) - np.arange(len(places)) - 1).tolist()
+        each, which = np.unique(keys, return_inverse=True)
+        first = self.first.gather(each, 512)[:, 0]
+        more = np.zeros((len(each), self.more.width), np.int64)
+        old = np.flatnonzero(first)
+        more[old] = self.more.gather(each[old], 64)
+        count = ((first > 0) + (more > 0).sum(1)).tolist()
+        changed: set[int] = set()
+        at, which, i = places.tolist(), which.tolist(), 0
+        while i < len(at):
+            k, here = which[i], at[i]
+            length = 0
+            if count[k] and self.trimmed(here - base, window + further[i], n, starts, lines):
+                for other in (first[k], *more[k, : count[k] - 1]):
+                    other = int(other) - 1
+                    if other >= base and other + window > here:
+                        continue
+                    most = min(further[i], here - other - window) if other >= base else further[i]
+                    length = window + self.same(other, own if other >= base else None, origin, keys, i, most)
+                    if found := self.trimmed(here - base, length, n, starts, lines):
+                        break
+                    length = 0
+            if length:
+                lo, hi, first_line, last_line = found
+                g = bisect_right(self.bases, other) - 1
+                shift = other - self.bases[g] - (here - base)
+                yield first_line + 1, last_line + 1, self.files[g], lo + shift, hi + shift, hi - lo + 1
+                i = bisect_left(at, here + length, i + 1)
+                continue
+            if count[k] < self.most_kept:
+                if count[k]:
+                    more[k, count[k] - 1] = here + 1
+                else:
+                    first[k] = here + 1
+                count[k] += 1
+                changed.add(k)
+            i += 1
+        new = np.array(sorted(changed), np.int64)
+        self.first.scatter(each[new], first[new])
+        new = new[more[new, 0] > 0]
+        self.more.scatter(each[new], more[new])
+
+    def same(self, other: int, own: np.ndarray | None, origin: int, keys: np.ndarray, i: int, most: int) -> int:
+        """How many of the `most` windows after window i are those after the place `other`."""
+        have, step = 0, 64
+        while have < most:
+            size = min(step, most - have)
+            begin = other + 1 + have
+            theirs = self.keys.read(begin, size)[:, 0] if own is None else own[begin - origin : begin - origin + size]
+            unlike = np.flatnonzero(theirs != keys[i + 1 + have : i + 1 + have + size] + 1)
+            if len(unlike):
+                return have + int(unlike[0])
+            have, step = have + size, step * 4
+        return have
+
+    def trimmed(self, at: int, length: int, n: int, starts: list[int], lines: list[int]) -> tuple | None:
+        """(first token, last, their lines) of a match cut to whole lines, if it is long enough. A longer match never is
+        where a shorter one at the same token isn't the worse."""
+        lo, hi = at, at + length - 1
+        j = bisect_left(starts, at)
+        lo = min(starts[j] if j < len(starts) else n, hi + 1)
+        if hi > lo and hi + 1 < n:
+            hi = max(lo, starts[bisect_right(starts, hi + 1) - 1] - 1)
+        if hi - lo + 1 < self.window:
+            return None
+        a, b = (lines[bisect_right(starts, x) - 1] for x in (lo, hi))
+        return (lo, hi, a, b) if b - a + 1 >= self.least_lines else None
+
+
 CLONES = "repository string, path string, first_line int, last_line int, original string, original_first int, original_last int, tokens int"
 
 
-def greedy_clones(tokens: DataFrame, window: int = 50, least_lines: int = 6) -> DataFrame:
-    """The greedy scan of each repository's files in path order. tokens: repository, path, hashes, rows. A repository is one
-    task, as the scan is sequential by definition; across repositories it is parallel."""
+def greedy_clones(tokens: DataFrame, window: int = 50, least_lines: int = 6, most_kept: int = 8, scratch: Scratch | None = None) -> DataFrame:
+    """The greedy scan (greedy_scan) of each repository's files in path order; files with the same path stand apart. tokens:
+    repository, path, hashes, rows (ascending).
+
+    Only windows that recur in their repository can match or be matched, so these are found first, over all files at once:
+    by a filter of recurring anchors, then exactly by hash and anchor. The scan itself is sequential by definition, so a
+    repository is one task, which reads them in order as a stream and keeps what it remembers on disk.
+    """
+    scratch = scratch or Scratch(tokens.sparkSession)
+    d = _sharing(tokens, window, scratch)
+    before = W.partitionBy("repository").orderBy("path", "content", "file").rowsBetween(W.unboundedPreceding, -1)
+    bases = scratch.save(d.select("file", F.coalesce(F.sum(F.col("n") + 1).over(before), F.lit(0)).cast("long").alias("base")), "bases")
+    files = d.join(bases, "file").select("repository", F.col("base").alias("at"), F.lit(None).cast("long").alias("key"), "file", "n", "path", "starts", "lines")
+    w = d.select("file", "repository", F.posexplode(F.arrays_zip("pos", "hashes", "anchors")).alias("_", "w")).select("file", "repository", "w.*")
+    w = w.join(bases, "file").select("repository", "anchors", "hashes", (F.col("base") + F.col("pos")).alias("at"))
+    equal = W.partitionBy("repository", "anchors", "hashes")
+    w = w.select("repository", "at", F.min("at").over(equal).alias("key"), F.count("*").over(equal).alias("c")).where("c > 1")
+    stream = files.unionByName(w.drop("c"), allowMissingColumns=True)
+
+    def run(batches):
+        scan, repository, current, parts = None, None, None, []
+        names = ["repository", "path", "first_line", "last_line", "file", "lo", "hi", "tokens"]
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
 
-    def run(table: pa.Table) -> pa.Table:
-        files = sorted(zip(table["path"].to_pylist(), table["hashes"].to_pylist(), table["rows"].to_pylist(), strict=True))
-        rows = [(table["repository"][0].as_py(), *c) for c in greedy_scan(files, window, least_lines)]
-        names = [x.split()[0] for x in CLONES.split(", ")]
-        kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
-        columns = list(zip(*rows, strict=True)) or [()] * len(names)
-        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+        def done():
+            path, *file = current
+            places, keys = (np.concatenate(x) for x in zip(*parts, strict=True))
+            rows = [(repository, path, *c) for c in scan.file(*file, places, keys)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names) if rows else None
 
-    return tokens.select("repository", "path", "hashes", "rows").groupBy("repository").applyInArrow(run, CLONES)
+        for batch in batches:
+            places, keys = np.asarray(batch["at"]), np.asarray(batch["key"].fill_null(-1))
+            begins = np.flatnonzero(keys < 0).tolist()
+            for lo, hi in zip([0, *begins], [*begins, len(keys)], strict=True):
+                if lo < hi and keys[lo] < 0:
+                    if current and (out := done()):
+                        yield out
+                    r = {c: batch[c][lo].as_py() for c in ("repository", "path", "file", "at", "n", "starts", "lines")}
+                    if scan is None or r["repository"] != repository:
+                        scan, repository = _Scan(window, least_lines, most_kept), r["repository"]
+                    current, parts, lo = (r["path"], r["file"], r["at"], r["n"], r["starts"], r["lines"]), [(places[:0], keys[:0])], lo + 1
+                if lo < hi:
+                    parts.append((places[lo:hi].copy(), keys[lo:hi].copy()))
+        if current and (out := done()):
+            yield out
 
+    parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = stream.repartition(parts, "repository").sortWithinPartitions("repository", "at", F.col("key").asc_nulls_first())
+    found = scratch.save(found.mapInArrow(run, "repository string, path string, first_line int, last_line int, file long, lo int, hi int, tokens int"), "greedy")
+    other = d.select("file", F.col("path").alias("original"), "starts", "lines")
+    line = lambda at: F.element_at("lines", F.size(F.filter("starts", lambda s: s <= F.col(at)))) + 1
+    return found.join(other, "file").select("repository", "path", "first_line", "last_line", "original", line("lo").alias("original_first"), line("hi").alias("original_last"), "tokens")

@@ -1,3 +1,8 @@
+import pathlib
+import random
+import resource
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,3 +210,55 @@ def test_results_do_not_depend_on_partitions(spark, sf_dir):
             got.append(sorted(map(str, queries[name](spark, sf_dir).collect())))
             spark.conf.set("spark.sql.shuffle.partitions", before)
         assert got[0] == got[1]
+
+
+@pytest.mark.parametrize("window,least_lines,most_kept", [(7, 2, 8), (6, 1, 2), (50, 2, 8), (1, 1, 3)])
+def test_greedy_clones_of_a_stream_are_those_of_the_scan_in_memory(spark, window, least_lines, most_kept):
+    """Copies, near copies, periods, shared lines, one-line files, null and equal repositories and repeated paths."""
+    r = random.Random(window)
+    blocks = [[r.randrange(10**9) for _ in range(r.choice((window, 3 * window)))] for _ in range(6)] + [[5] * (4 * window), [1, 2, 3] * (2 * window)]
+    files = []
+    for i in range(150):
+        tokens = [t for _ in range(r.randrange(6)) for t in r.choice((r.choice(blocks), [r.randrange(40) for _ in range(r.randrange(20))]))]
+        if files and r.random() < 0.3:
+            tokens = list(r.choice(files)[2])
+            if tokens and r.random() < 0.5:
+                tokens[r.randrange(len(tokens))] = 77
+        rows, row = [], 0
+        wide = r.choice((0.05, 0.3, 0.0))
+        for _ in tokens:
+            rows.append(row)
+            row += r.random() < wide
+        files.append((r.choice(("a", "b", None)), f"{i:04d}", tokens, rows))
+    wanted = sorted(
+        ((repository, *c) for repository in ("a", "b", None) for c in clones.greedy_scan([f[1:] for f in files if f[0] == repository], window, least_lines, most_kept)),
+        key=repr,
+    )
+    d = spark.createDataFrame(files, "repository string, path string, hashes array<bigint>, rows array<int>").repartition(5)
+    assert len(wanted) > 20 and sorted(map(tuple, clones.greedy_clones(d, window, least_lines, most_kept).collect()), key=repr) == wanted
+
+
+def test_greedy_clones_hold_no_whole_repository(spark):
+    """A repository of 2 million tokens in 40 files, each in two copies: no worker may hold them or all their windows."""
+    peak, over = [0], threading.Event()
+
+    def watch():
+        while not over.wait(0.05):
+            for p in pathlib.Path("/proc").glob("[0-9]*"):
+                try:
+                    if b"pyspark.daemon" in (p / "cmdline").read_bytes():
+                        peak[0] = max(peak[0], int((p / "statm").read_text().split()[1]) * resource.getpagesize())
+                except OSError:
+                    pass
+
+    hashes = F.transform(F.sequence(F.lit(0), F.lit(49999)), lambda i: F.xxhash64(i, F.floor(F.col("id") / 2)))
+    d = spark.range(40).select(F.lit("r").alias("repository"), F.format_string("%05d", "id").alias("path"), hashes.alias("hashes"), F.transform(F.sequence(F.lit(0), F.lit(49999)), lambda i: (i / 10).cast("int")).alias("rows"))
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        found = clones.greedy_clones(d).orderBy("path").collect()
+    finally:
+        over.set()
+        watcher.join()
+    assert [tuple(r) for r in found] == [("r", f"{i:05d}", 1, 5000, f"{i - 1:05d}", 1, 5000, 50000) for i in range(1, 40, 2)]
+    assert 0 < peak[0] < 500e6
