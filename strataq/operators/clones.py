@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
-import zlib
 from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -176,14 +176,16 @@ SLICE, FILTER_BITS = 1 << 19, 1 << 28
 
 
 def _anchored(batch: pa.RecordBatch, window: int) -> Iterator[tuple]:
-    """Slices of a batch: (first text, one past the last, tokens of each text, then of each window its text, its position
-    there, its hash and its anchor). An anchor, as in window_clones, is mixed with the repository, whose texts alone count."""
+    """Slices of a batch: (first text, tokens of each text; of each window its text, its position there, its hash and its
+    anchor; the first window of each piece). An anchor, as in window_clones, is mixed with the repository, whose texts alone
+    count. A piece is a stretch of windows with one anchor; one place anchors at most `span` windows, so a longer one is cut."""
     half = max(1, window // 2)
+    span = window - half + 1
     lists = batch["hashes"]
     sizes = np.asarray(lists.value_lengths().fill_null(0), np.int64)
     ends = np.cumsum(sizes)
     flat = np.asarray(lists.flatten()).view(np.uint64)
-    seeds = np.array([0 if r is None else zlib.crc32(r.encode()) << 32 | len(r) + 1 for r in batch["repository"].to_pylist()], np.uint64)
+    seeds = np.array([0 if r is None else int.from_bytes(blake2b(r.encode(), digest_size=8).digest()) for r in batch["repository"].to_pylist()], np.uint64)
     lo = 0
     while lo < len(sizes):
         begin = ends[lo] - sizes[lo]
@@ -193,75 +195,108 @@ def _anchored(batch: pa.RecordBatch, window: int) -> Iterator[tuple]:
         text = np.repeat(np.arange(hi - lo), n)
         pos = np.arange(len(tokens)) - np.repeat(np.cumsum(n) - n, n)
         at = np.flatnonzero(pos <= n[text] - window)
-        hashes = _runs(tokens, window, _pair)
-        anchors = _runs(_runs(tokens, half, _pair), window - half + 1, np.minimum)
+        hashes = _runs(tokens, window, _pair)[at]
+        anchors = _runs(_runs(tokens, half, _pair), span, np.minimum)[at]
         text, pos = text[at], pos[at]
-        yield lo, hi, n, text, pos, hashes[at], _mixed(anchors[at] ^ seeds[lo:hi][text])
+        anchors = _mixed(anchors ^ seeds[lo:hi][text])
+        if len(at):
+            begins = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (anchors[1:] != anchors[:-1])])
+            cuts = -(-np.diff(np.r_[begins, len(at)]) // span)
+            nth = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+            yield lo, n, text, pos, hashes, anchors, np.repeat(begins, cuts) + nth * span
         lo = hi
 
 
-def _anchor_filter(tokens: DataFrame, window: int, scratch: Scratch):
-    """A broadcast bit per value of an anchor's last bits: whether such an anchor may be at two places of its repository. One
-    place anchors at most `span` neighbouring windows, so longer stretches count for several."""
+def _contents(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """A hash of each piece's windows in their order."""
+    sizes = np.diff(np.r_[begins, len(hashes)])
+    nth = (np.arange(len(hashes)) - np.repeat(begins, sizes) + 1).astype(np.uint64)
+    return _pair(np.add.reduceat(_pair(nth, hashes), begins), sizes.astype(np.uint64))
+
+
+def _anchor_bits(tokens: DataFrame, window: int, scratch: Scratch):
+    """Broadcast bits per value of an anchor's last bits: whether such an anchor may be at two places of its repository, and
+    whether its pieces may then differ or hold a window twice."""
     span = window - max(1, window // 2) + 1
+    least, most = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
     def count(batches):
         for batch in batches:
-            for _, _, _, text, _, _, anchors in _anchored(batch, window):
-                begins = np.flatnonzero(np.r_[True, (np.diff(text) != 0) | (anchors[1:] != anchors[:-1])]) if len(anchors) else np.empty(0, np.int64)
-                places = -(-np.diff(np.r_[begins, len(anchors)]) // span)
-                each, which = np.unique(anchors[begins], return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(each.view(np.int64)), pa.array(np.bincount(which, places, len(each)).astype(np.int64))], names=["anchor", "n"])
-
-    counted = tokens.select("repository", "hashes").mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-    often = scratch.save(counted.where("n > 1").select("anchor"), "anchors")
+            for _, _, text, _, hashes, anchors, begins in _anchored(batch, window):
+                low = _contents(hashes, begins).view(np.int64)
+                high = low.copy()
+                for d in range(1, span):
+                    twice = np.flatnonzero(hashes[d:] == hashes[:-d])
+                    twice = np.searchsorted(begins, twice[(text[twice + d] == text[twice])], "right") - 1
+                    low[twice], high[twice] = least, most
+                order = np.argsort(anchors[begins], kind="stable")
+                each = anchors[begins][order]
+                firsts = np.flatnonzero(np.r_[True, each[1:] != each[:-1]])
+                columns = each[firsts].view(np.int64), np.diff(np.r_[firsts, len(each)]), np.minimum.reduceat(low[order], firsts), np.maximum.reduceat(high[order], firsts)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["anchor", "n", "low", "high"])
+
+    counted = tokens.select("repository", "hashes").mapInArrow(count, "anchor long, n long, low long, high long").groupBy("anchor")
+    counted = counted.agg(F.sum("n").alias("n"), (F.min("low") < F.max("high")).alias("differ"))
+    often = scratch.save(counted.where("n > 1").select("anchor", "differ"), "anchors")
     bits = min(FILTER_BITS, max(1 << 16, 1 << (32 * often.count()).bit_length()))
     page = min(bits, 1 << 20)
 
     def pack(table: pa.Table) -> pa.Table:
-        slots = np.zeros(page, bool)
-        slots[np.asarray(table["slot"]) % page] = True
-        return pa.table({"page": table["page"][:1].cast(pa.int64()), "bits": pa.array([np.packbits(slots).tobytes()], pa.binary())})
+        slots = np.zeros((2, page), bool)
+        slot, differ = (np.asarray(table[c]) for c in ("slot", "differ"))
+        slots[0, slot % page] = True
+        slots[1, slot[differ] % page] = True
+        return pa.table({"page": table["page"][:1].cast(pa.int64()), **{c: pa.array([np.packbits(x).tobytes()], pa.binary()) for c, x in zip(("recurs", "differs"), slots, strict=True)}})
 
     slot = F.col("anchor").bitwiseAND(F.lit(bits - 1).cast("long"))
-    pages = often.select(slot.alias("slot")).withColumn("page", F.floor(F.col("slot") / page).cast("long")).distinct()
-    made = np.zeros(bits // 8, np.uint8)
-    for r in pages.groupBy("page").applyInArrow(pack, "page long, bits binary").toLocalIterator():
-        made[r["page"] * page // 8 : (r["page"] + 1) * page // 8] = np.frombuffer(r["bits"], np.uint8)
-    return tokens.sparkSession.sparkContext.broadcast(made.tobytes()), bits
+    pages = often.select(slot.alias("slot"), "differ").withColumn("page", F.floor(F.col("slot") / page).cast("long"))
+    made = {c: np.zeros(bits // 8, np.uint8) for c in ("recurs", "differs")}
+    for r in pages.groupBy("page").applyInArrow(pack, "page long, recurs binary, differs binary").toLocalIterator():
+        for c, x in made.items():
+            x[r["page"] * page // 8 : (r["page"] + 1) * page // 8] = np.frombuffer(r[c], np.uint8)
+    return tokens.sparkSession.sparkContext.broadcast(tuple(x.tobytes() for x in made.values())), bits
 
 
-SHARED = "repository string, path string, content long, n long, starts array<int>, lines array<int>, pos array<int>, hashes array<long>, anchors array<long>"
+SHARED = "repository string, path string, content long, n long, starts array<int>, lines array<int>, pos array<int>, windows array<int>, units array<long>, anchors array<long>"
 
 
 def _sharing(tokens: DataFrame, window: int, scratch: Scratch) -> DataFrame:
-    """Texts with windows whose anchor may recur, with these windows only and the tokens that begin a line, with its number."""
-    kept, bits = _anchor_filter(tokens, window, scratch)
+    """Texts with windows whose anchor may recur, with the tokens that begin a line, its number, and units of such windows:
+    whole pieces where all pieces of the anchor are alike, else single windows."""
+    kept, bits = _anchor_bits(tokens, window, scratch)
 
     def select(batches):
         for batch in batches:
-            held = np.frombuffer(kept.value, np.uint8)
+            recurs, differs = (np.frombuffer(x, np.uint8) for x in kept.value)
             lists = batch["rows"]
             ends = np.cumsum(np.asarray(lists.value_lengths().fill_null(0), np.int64))
             rows = np.asarray(lists.flatten())
-            for lo, hi, n, text, pos, hashes, anchors in _anchored(batch, window):
-                slot = (anchors & np.uint64(bits - 1)).astype(np.int64)
-                on = np.flatnonzero(held[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1)
-                if not len(on):
+            for lo, n, text, pos, hashes, anchors, begins in _anchored(batch, window):
+                slot = (anchors[begins] & np.uint64(bits - 1)).astype(np.int64)
+                on, fine = ((x[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool) for x in (recurs, differs))
+                if not on.any():
                     continue
-                some, counts = np.unique(text[on], return_counts=True)
-                begins, lines = [], []
+                sizes = np.diff(np.r_[begins, len(pos)])
+                single = np.flatnonzero(np.repeat(on & fine, sizes))
+                whole = on & ~fine
+                at = np.r_[begins[whole], single]
+                order = np.argsort(at)
+                units = np.r_[_contents(hashes, begins)[whole], hashes[single]][order]
+                windows = np.r_[sizes[whole], np.ones(len(single), np.int64)][order]
+                at = at[order]
+                some, counts = np.unique(text[at], return_counts=True)
+                firsts, lines = [], []
                 for t in (lo + some).tolist():
                     r = rows[ends[t - 1] if t else 0 : ends[t]]
-                    begins.append(np.flatnonzero(np.r_[True, r[1:] != r[:-1]]).astype(np.int32))
-                    lines.append(r[begins[-1]].astype(np.int32))
+                    firsts.append(np.flatnonzero(np.r_[True, r[1:] != r[:-1]]).astype(np.int32))
+                    lines.append(r[firsts[-1]].astype(np.int32))
                 texts = pa.array(lo + some)
                 offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
-                row_offsets = pa.array(np.r_[0, np.cumsum([len(x) for x in begins])].astype(np.int32))
+                line_offsets = pa.array(np.r_[0, np.cumsum([len(x) for x in lines])].astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [batch[c].take(texts) for c in ("repository", "path", "content")]
-                    + [pa.array(n[some]), *(pa.ListArray.from_arrays(row_offsets, np.concatenate(x)) for x in (begins, lines)), pa.ListArray.from_arrays(offsets, pos[on].astype(np.int32))]
-                    + [pa.ListArray.from_arrays(offsets, x[on].view(np.int64)) for x in (hashes, anchors)],
+                    + [pa.array(n[some]), *(pa.ListArray.from_arrays(line_offsets, np.concatenate(x)) for x in (firsts, lines))]
+                    + [pa.ListArray.from_arrays(offsets, x) for x in (pos[at].astype(np.int32), windows.astype(np.int32), units.view(np.int64), anchors[at].view(np.int64))],
                     names=[x.split()[0] for x in SHARED.split(", ")],
                 )
 
@@ -402,19 +437,23 @@ def greedy_clones(tokens: DataFrame, window: int = 50, least_lines: int = 6, mos
     repository, path, hashes, rows (ascending).
 
     Only windows that recur in their repository can match or be matched, so these are found first, over all files at once:
-    by a filter of recurring anchors, then exactly by hash and anchor. The scan itself is sequential by definition, so a
-    repository is one task, which reads them in order as a stream and keeps what it remembers on disk.
+    by a filter of recurring anchors, then exactly by hash and anchor, a piece at a time where all of its copies are alike.
+    The scan itself is sequential by definition, so a repository is one task, which reads them in order as a stream and
+    keeps what it remembers on disk.
     """
     scratch = scratch or Scratch(tokens.sparkSession)
     d = _sharing(tokens, window, scratch)
-    before = W.partitionBy("repository").orderBy("path", "content", "file").rowsBetween(W.unboundedPreceding, -1)
-    bases = scratch.save(d.select("file", F.coalesce(F.sum(F.col("n") + 1).over(before), F.lit(0)).cast("long").alias("base")), "bases")
-    files = d.join(bases, "file").select("repository", F.col("base").alias("at"), F.lit(None).cast("long").alias("key"), "file", "n", "path", "starts", "lines")
-    w = d.select("file", "repository", F.posexplode(F.arrays_zip("pos", "hashes", "anchors")).alias("_", "w")).select("file", "repository", "w.*")
-    w = w.join(bases, "file").select("repository", "anchors", "hashes", (F.col("base") + F.col("pos")).alias("at"))
-    equal = W.partitionBy("repository", "anchors", "hashes")
-    w = w.select("repository", "at", F.min("at").over(equal).alias("key"), F.count("*").over(equal).alias("c")).where("c > 1")
-    stream = files.unionByName(w.drop("c"), allowMissingColumns=True)
+    totals = d.groupBy("repository").agg(F.sum(F.col("n") + 1).alias("all"))
+    origin = totals.select(F.col("repository").alias("_r"), (F.sum("all").over(W.orderBy("repository")) - F.col("all")).alias("origin"))
+    before = F.sum(F.col("n") + 1).over(W.partitionBy("repository").orderBy("path", "content", "file").rowsBetween(W.unboundedPreceding, -1))
+    bases = d.select("file", "repository", F.coalesce(before, F.lit(0)).alias("before")).join(F.broadcast(origin), F.col("repository").eqNullSafe(F.col("_r")))
+    bases = scratch.save(bases.select("file", "origin", (F.col("origin") + F.col("before")).alias("base")), "bases")
+    w = d.select("file", "pos", "windows", "units", "anchors").join(bases, "file").select("origin", "base", F.inline(F.arrays_zip("pos", "windows", "units", "anchors")))
+    equal = W.partitionBy("anchors", "units", "windows")
+    w = w.select("origin", "anchors", "units", "windows", (F.col("base") + F.col("pos")).alias("at"))
+    w = w.select("origin", "at", "windows", F.min("at").over(equal).alias("key"), F.count("*").over(equal).alias("c")).where("c > 1").drop("c")
+    files = d.join(bases, "file").select("origin", F.col("base").alias("at"), F.lit(None).cast("long").alias("key"), "repository", "file", "n", "path", "starts", "lines")
+    stream = files.unionByName(w, allowMissingColumns=True)
 
     def run(batches):
         scan, repository, current, parts = None, None, None, []
@@ -423,12 +462,14 @@ def greedy_clones(tokens: DataFrame, window: int = 50, least_lines: int = 6, mos
 
         def done():
             path, *file = current
-            places, keys = (np.concatenate(x) for x in zip(*parts, strict=True))
+            places, keys, windows = (np.concatenate(x) for x in zip(*parts, strict=True))
+            nth = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+            places, keys = (np.repeat(x, windows) + nth for x in (places, keys))
             rows = [(repository, path, *c) for c in scan.file(*file, places, keys)]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names) if rows else None
 
         for batch in batches:
-            places, keys = np.asarray(batch["at"]), np.asarray(batch["key"].fill_null(-1))
+            places, keys, windows = np.asarray(batch["at"]), np.asarray(batch["key"].fill_null(-1)), np.asarray(batch["windows"].fill_null(0), np.int64)
             begins = np.flatnonzero(keys < 0).tolist()
             for lo, hi in zip([0, *begins], [*begins, len(keys)], strict=True):
                 if lo < hi and keys[lo] < 0:
@@ -437,14 +478,14 @@ def greedy_clones(tokens: DataFrame, window: int = 50, least_lines: int = 6, mos
                     r = {c: batch[c][lo].as_py() for c in ("repository", "path", "file", "at", "n", "starts", "lines")}
                     if scan is None or r["repository"] != repository:
                         scan, repository = _Scan(window, least_lines, most_kept), r["repository"]
-                    current, parts, lo = (r["path"], r["file"], r["at"], r["n"], r["starts"], r["lines"]), [(places[:0], keys[:0])], lo + 1
+                    current, parts, lo = (r["path"], r["file"], r["at"], r["n"], r["starts"], r["lines"]), [(places[:0], keys[:0], windows[:0])], lo + 1
                 if lo < hi:
-                    parts.append((places[lo:hi].copy(), keys[lo:hi].copy()))
+                    parts.append((places[lo:hi].copy(), keys[lo:hi].copy(), windows[lo:hi]))
         if current and (out := done()):
             yield out
 
     parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = stream.repartition(parts, "repository").sortWithinPartitions("repository", "at", F.col("key").asc_nulls_first())
+    found = stream.repartition(parts, "origin").sortWithinPartitions("at", F.col("key").asc_nulls_first())
     found = scratch.save(found.mapInArrow(run, "repository string, path string, first_line int, last_line int, file long, lo int, hi int, tokens int"), "greedy")
     other = d.select("file", F.col("path").alias("original"), "starts", "lines")
     line = lambda at: F.element_at("lines", F.size(F.filter("starts", lambda s: s <= F.col(at)))) + 1
