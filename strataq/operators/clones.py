@@ -7,11 +7,12 @@ import tempfile
 from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from contextlib import contextmanager
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -171,8 +172,20 @@ def _runs(x: np.ndarray, n: int, join) -> np.ndarray:
     return made[: max(0, len(x) - n + 1)]
 
 
-#: Tokens of texts that are worked on at once (a longer text is by itself), and the most bits of the filter of anchors.
-SLICE, FILTER_BITS = 1 << 19, 1 << 28
+#: Tokens of texts that are worked on at once (a longer text is by itself), texts sent at once, and the most bits of the filter of anchors.
+SLICE, TEXTS, FILTER_BITS = 1 << 19, 1000, 1 << 27
+
+
+@contextmanager
+def _small_batches(spark: SparkSession):
+    """Rows are token lists here, so the usual 10,000 to an Arrow batch would be some 100 MB a task in the JVM and again here."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(name)
+    spark.conf.set(name, str(min(TEXTS, int(usual)) if int(usual) > 0 else TEXTS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, usual)
 
 
 def _anchored(batch: pa.RecordBatch, window: int) -> Iterator[tuple]:
@@ -237,7 +250,8 @@ def _anchor_bits(tokens: DataFrame, window: int, scratch: Scratch):
 
     counted = tokens.select("repository", "hashes").mapInArrow(count, "anchor long, n long, low long, high long").groupBy("anchor")
     counted = counted.agg(F.sum("n").alias("n"), (F.min("low") < F.max("high")).alias("differ"))
-    often = scratch.save(counted.where("n > 1").select("anchor", "differ"), "anchors")
+    with _small_batches(tokens.sparkSession):
+        often = scratch.save(counted.where("n > 1").select("anchor", "differ"), "anchors")
     bits = min(FILTER_BITS, max(1 << 16, 1 << (32 * often.count()).bit_length()))
     page = min(bits, 1 << 20)
 
@@ -301,7 +315,8 @@ def _sharing(tokens: DataFrame, window: int, scratch: Scratch) -> DataFrame:
                 )
 
     found = tokens.select("repository", "path", F.xxhash64("hashes", "rows").alias("content"), "hashes", "rows").mapInArrow(select, SHARED)
-    return scratch.save(found.withColumn("file", F.monotonically_increasing_id()), "sharing")
+    with _small_batches(tokens.sparkSession):
+        return scratch.save(found.withColumn("file", F.monotonically_increasing_id()), "sharing")
 
 
 class _Numbers:
