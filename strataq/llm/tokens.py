@@ -1,29 +1,56 @@
 """Token ids of whole texts with a public tokenizer, as little-endian unsigned 32-bit bytes.
 
 A byte-level BPE never joins characters across a space that stands between two other characters, so a text is encoded
-piece by piece, and pieces seen before come from a bounded cache. A text in which white space meets a space is encoded
-as a whole, as there the split could differ; so is a text that holds the string of an added token, which is one id.
+piece by piece, and pieces seen before come from a bounded cache. A line feed between two other characters is an id of
+its own and parts pieces likewise. A text in which white space meets a space is encoded as a whole, as there the split
+could differ; so is a text that holds the string of an added token, which is one id.
+
+New words of letters are what takes the time. The library's splitter would leave them as they are, so they go to its
+model in byte-level form, parted by a character, without the splitter's regular expression.
 """
 
 from __future__ import annotations
 
+import codecs
 import os
+import re
 import sys
+import unicodedata
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import kept
 
 VOCABULARY = "byte_bpe_50k.json"
 ID_BYTES = 4
 JOINED = 256
+#: Stands for a line feed between two other characters, and parts words in byte-level form.
+LINE, LINES = "\0", re.compile(r"\n(?<=\S\n)(?=\S)")
+SPLITTER = "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)"
 #: Pieces whose ids a worker keeps, some 230 bytes each.
 MOST = 1_400_000
 #: Marks that are no letters, digits, white space or apostrophes.
 PLAIN = ".,;:!?&%$#*|"
 
 
+def byte_level() -> str:
+    """The characters that stand for bytes in a byte-level vocabulary; 0 stays, as it parts words."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    table = [chr(b if b in plain else next(others)) for b in range(256)]
+    return LINE + "".join(table[1:])
+
+
+def letters() -> re.Pattern:
+    """Runs of what has been a letter since Unicode 3.2, so that the library's tables say so too."""
+    old, new = unicodedata.ucd_3_2_0.category, unicodedata.category
+    found = [c for c in map(chr, range(0x80, 0xD800)) if new(c)[0] == old(c)[0] == "L"]
+    return re.compile(f"[A-Za-z{LINE} \n{''.join(found)}]*")
+
+
 def default_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
@@ -36,89 +63,105 @@ class Encoder:
     def __init__(self, path: str, most: int = MOST):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tok = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.most, self.first, self.later, self.marks = most, {}, {}, {}
-        (self.feed,) = self.tok.encode("\n", add_special_tokens=False).ids
+        self.most, self.cache, self.marks = most, {}, {}
+        self.bare, self.table, self.letters = None, byte_level(), letters()
+        if self.tok.normalizer is None and repr(self.tok.pre_tokenizer) == SPLITTER:
+            self.bare = Tokenizer(self.tok.model)  # the same model
+            self.bare.pre_tokenizer = CharDelimiterSplit(LINE)
+        vocabulary = self.tok.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that begin with a space, and that of a line feed
+        self.opens[[i for t, i in vocabulary.items() if t[0] == self.table[32] or t == self.table[10]]] = True
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        found = [array("I", e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        found = [array("I", e.ids) for e in (self.tok.encode_batch_fast(texts, add_special_tokens=False) if texts else ())]
         if sys.byteorder == "big":
             for x in found:
                 x.byteswap()
         return [x.tobytes() for x in found]
 
-    def _joined(self, pieces: list[str], lead: str) -> list[bytes]:
-        """Ids of pieces without line feeds: encoded by the hundred, a line feed between them, and split at its id."""
-        if not pieces:
-            return []
+    def _joined(self, pieces: list[str], lead: str, words: bool) -> list[bytes]:
+        """Ids of pieces without line feeds, each with its lead, a space or a line feed: encoded by the hundred, and split
+        where an id begins with a lead. words: they are letters only."""
         out: list[bytes] = []
-        sep = "\n" + lead
-        runs = [lead + sep.join(pieces[k : k + JOINED]) for k in range(0, len(pieces), JOINED)]
-        for e in self.tok.encode_batch_fast(runs, add_special_tokens=False):
+        for k in range(0, len(pieces), JOINED):
+            part = pieces[k : k + JOINED]
+            if words and self._plain(part):
+                lead_in = lead if lead == " " else lead + LINE  # the splitter leaves a line feed alone
+                (e,) = self.bare.encode_batch_fast([codecs.charmap_decode((lead_in + (LINE + lead_in).join(part)).encode(), "strict", self.table)[0]], add_special_tokens=False)
+            else:
+                (e,) = self.tok.encode_batch_fast([lead + lead.join(part)], add_special_tokens=False)
             ids = np.array(e.ids, "<u4")
-            cuts, data, at = (np.flatnonzero(ids == self.feed) * ID_BYTES).tolist(), ids.tobytes(), 0
-            for cut in cuts:
-                out.append(data[at:cut])
-                at = cut + ID_BYTES
-            out.append(data[at:])
+            data, cuts = ids.tobytes(), (np.flatnonzero(self.opens.take(ids)) * ID_BYTES).tolist()
+            out += [data[x:y] for x, y in zip(cuts, [*cuts[1:], len(data)], strict=True)]
         return out
 
-    def _learn(self, cache: dict, pieces: set[str], lead: str) -> None:
-        """Ids of new pieces. A run of PLAIN marks after a word of letters stands for itself, so only the word is encoded."""
+    def _plain(self, words: list[str]) -> bool:
+        text = "".join(words)
+        return self.bare is not None and (text.isascii() or self.letters.fullmatch(text) is not None)
+
+    def _learn(self, new: list[str], lead: str) -> None:
+        """Ids of new pieces. A run of PLAIN marks after a word of letters stands for itself, so only the word is encoded.
+        A piece that only its text can settle, as white space is at its ends, is left out."""
+        cache, marks, key = self.cache, self.marks, "" if lead == " " else LINE
         words, marked, other = [], [], []
-        for p in pieces.difference(cache):
+        for p in new:
             if p.isalpha():
                 words.append(p)
                 continue
             word = p.rstrip(PLAIN)
             if word.isalpha():
                 marked.append((p, word))
-            elif not p or p[0].isspace() or p[-1].isspace():
-                cache[p] = None  # only its text can settle it
-            else:
+            elif p and not p[0].isspace() and not p[-1].isspace():
                 other.append(p)
-        words += {w for _, w in marked}.difference(cache, words)
-        cache.update(zip(words, self._joined(words, lead), strict=True))
-        marks = self.marks
+        words += [w for w in {w for _, w in marked}.difference(words) if key + w not in cache]
+        lined = [p for p in other if "\n" in p]
+        plain = [p for p in other if "\n" not in p]
+        for some, ids in ((words, self._joined(words, lead, True)), (plain, self._joined(plain, lead, False)), (lined, self._whole([lead + p for p in lined]))):
+            cache.update(zip([key + p for p in some] if key else some, ids, strict=True))
         for p, word in marked:
             mark = p[len(word) :]
             if mark not in marks:
                 (marks[mark],) = self._whole([mark])
-            cache[p] = cache[word] + marks[mark]
-        lined = [p for p in other if "\n" in p]
-        plain = [p for p in other if "\n" not in p]
-        cache.update(zip(plain, self._joined(plain, lead), strict=True))
-        cache.update(zip(lined, self._whole([lead + p for p in lined]), strict=True))
+            cache[key + p] = cache[key + word] + marks[mark]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """A null text counts as empty."""
-        if len(self.later) + len(self.first) > self.most:
-            self.first, self.later, self.marks = {}, {}, {}
-        hard = [i for i, t in enumerate(texts) if t and any(a in t for a in self.added)]
-        apart = set(hard)
-        split = [t.split(" ") if t and i not in apart else None for i, t in enumerate(texts)]
-        heads, tails = set(), set()
-        for pieces in split:
-            if pieces:
-                heads.add(pieces[0])
-                tails.update(pieces[1:])
-        self._learn(self.first, heads, "")
-        self._learn(self.later, tails, " ")
-        out = []
-        get = self.later.get
-        for i, pieces in enumerate(split):
-            if not pieces:
-                out.append(b"")
-                continue
-            try:
-                out.append(b"".join([self.first[pieces[0]], *map(get, pieces[1:])]))
-            except TypeError:  # an unsafe piece
-                out.append(b"")
+        if len(self.cache) > self.most:
+            self.cache, self.marks = {}, {}
+        out, hard, rows = [b""] * len(texts), [], []
+        for i, t in enumerate(texts):
+            if t:
+                (hard if LINE in t or any(a in t for a in self.added) else rows).append(i)
+        # as if a line feed stood before each
+        split = pc.split_pattern(pa.array([LINE + LINES.sub(f" {LINE}", texts[i]) for i in rows], pa.large_string()), " ")
+        pieces = split.values.dictionary_encode()
+        distinct = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.cache.get, distinct))
+        new = [p for p, x in zip(distinct, found, strict=True) if x is None]
+        if new:
+            self._learn([p[1:] for p in new if p[:1] == LINE], "\n")
+            self._learn([p for p in new if p[:1] != LINE], " ")
+            get = self.cache.get
+            found = [get(p) if x is None else x for p, x in zip(distinct, found, strict=True)]
+        ids = pa.array(found, pa.large_binary()).take(pieces.indices)
+        first = split.offsets.to_numpy()
+        unsafe = set()  # texts with a piece that only they can settle
+        if ids.null_count:
+            unsafe.update((np.searchsorted(first, np.flatnonzero(ids.is_null().to_numpy(zero_copy_only=False)), "right") - 1).tolist())
+        if rows:
+            _, ends, data = ids.buffers()
+            cuts, view = np.frombuffer(ends, np.int64)[first].tolist(), memoryview(data or b"")
+        for k, i in enumerate(rows):
+            if k in unsafe:
                 hard.append(i)
-        for i, ids in zip(hard, self._whole([texts[i] for i in hard]) if hard else [], strict=True):
-            out[i] = ids
+            else:
+                out[i] = bytes(view[cuts[k] + ID_BYTES : cuts[k + 1]])
+        for i, found in zip(hard, self._whole([texts[i] for i in hard]), strict=True):
+            out[i] = found
         return out
 
 
@@ -127,7 +170,12 @@ def encoder(path: str, most: int = MOST) -> Encoder:
     return kept(("tokens", path, most), lambda: Encoder(path, most))
 
 
-def in_slices(column, size: int = 64):
-    """(start, texts) of an Arrow string column, so that few whole texts are held as Python objects at once."""
-    for k in range(0, len(column), size):
-        yield k, column.slice(k, size).to_pylist()
+def in_slices(column, size: int = 1 << 22):
+    """(start, texts) of an Arrow string column, so that few whole texts are held as Python objects at once: `size` bytes
+    of them, or one text."""
+    before = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    k = 0
+    while k < len(column):
+        end = max(k + 1, int(np.searchsorted(before, (before[k - 1] if k else 0) + size, "right")))
+        yield k, column.slice(k, end - k).to_pylist()
+        k = end

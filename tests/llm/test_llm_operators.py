@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -134,6 +135,25 @@ def test_added_tokens_are_one_id():
     assert e(texts) == want and e(texts[::-1]) == want[::-1] and np.frombuffer(want[0], "<u4").tolist() == [64, 220, 50256, 275]
 
 
+def test_encoder_parts_pieces_at_line_feeds():
+    texts = ["one.\nTwo three,\nFour", "five\n\nsix", "a \nb", "a\n b", "\nx", "x\n", "a\0b\nc", "ⴀe Აb\nᏸ ꟋQ", "été\nÊtre œuvre", "it's\n's I'LL\n'll", "1.\n2 b\t\nc", "\n", "", None]
+    want = [x[:-4] for x in ids_of(texts, 0)]
+    e = tokens.Encoder(tokens.default_path())
+    assert e(texts) == want and [x for t in texts for x in e([t])] == want and e([]) == []
+    alone, whole = [], e._whole
+    e._whole = lambda found: alone.extend(found) or whole(found)
+    e([f"uno{k * 'a'}.\nDos{k * 'b'} tres{k * 'c'},\nQuatro{k * 'd'}" for k in range(40)])
+    assert not alone  # no piece goes to the library by itself
+    e.tok = None
+    assert e(["quinze\nSeize été"])[0]  # nor words of letters to its splitter
+
+
+def test_slices_hold_few_bytes():
+    column = pa.array(["ab", None, "c" * 9, "", "dé", "f"])
+    assert [(k, t) for k, t in tokens.in_slices(column, 4)] == [(0, ["ab", None]), (2, ["c" * 9]), (3, ["", "dé", "f"])]
+    assert [k for k, _ in tokens.in_slices(column.slice(2, 3), 1)] == [0, 1, 2] and not list(tokens.in_slices(column.slice(0, 0)))
+
+
 # --- 2 near duplicates
 
 
