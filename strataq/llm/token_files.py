@@ -8,8 +8,10 @@ names; counts become frequencies at the steps of EPOCHS. An id that no slot hold
 weights of orders 2 and 1 are learned at the same steps, from how often a prediction of the same confidence came true.
 The mixture's interval for the id narrows a 64-bit carry-less range coder.
 
-All blocks of a segment are coded in step, one id of each at a time, so a step is a few array operations; the decoder
-does the same, and gives the same ids for a block when it is coded alone. Layout, little-endian:
+Tables are coded in the JVM (`native`), block after block; Python makes the ids and the files. The same coder over arrays is
+here too, for files outside Spark and sessions whose JVM is out of reach: it codes all blocks of a segment in step, one id
+of each at a time, so a step is a few array operations. Both give the same words, and the same ids for a block when it is
+coded alone. Layout, little-endian:
 
     file     magic "SQTK", version, then segments
     segment  header (ids, docs, blocks, largest id, section sizes), symbols, documents, block sizes, crcs, words
@@ -33,11 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import tokens
+from . import native, tokens
 from .common import Scratch
 from .warc import storage
 
 MAGIC, VERSION = b"SQTK", 2
+PREFIX = MAGIC + struct.pack("<I", VERSION)
+#: Blocks of a segment that the JVM codes: a row of 2 MB.
+ROW_LANES = 64
 BLOCK, LANES, STRETCH = 8192, 1536, 16
 SLOTS0, SLOTS1, SLOTS2, CONFIDENT = 1024, 1024, 2048, 15
 #: Units as powers of two: of the mixture, of order-0 frequencies, of the code of unseen ids and of its look-up.
@@ -61,7 +66,7 @@ class Law:
         share = (lengths + 1) ** 2
         n = np.where(lengths > 0, 1 << np.maximum(lengths - 1, 0), 1)
         grain = 1 << LAW - GRAINS
-        width = share * (1 << GRAINS) // share.sum() * grain  # of a length: whole grains, so that `find` is a look-up
+        width = np.maximum(share * (1 << GRAINS) // share.sum(), 1) * grain  # of a length: whole grains, so that `find` is a look-up
         self.first, self.size, self.begin, self.largest = np.where(lengths > 0, n, 0), width // n, np.cumsum(width) - width, largest
         self.length = np.repeat(lengths, width // grain)
         self.length = np.pad(self.length, (0, (1 << GRAINS) - len(self.length)), mode="edge")
@@ -295,52 +300,72 @@ def decode_blocks(total: int, largest: int, used: np.ndarray, words: np.ndarray)
     return np.ascontiguousarray(grid[2:].T).ravel()[:total]
 
 
-def pack_segment(ids: np.ndarray, docs: list[tuple[int, int, int]]) -> bytes:
-    """docs: (doc_id, how many of its ids are here, whether it ends here)."""
+def described(ids: np.ndarray, docs: list[tuple[int, int, int]]) -> tuple[dict, np.ndarray]:
+    """What a segment holds besides the coded ids, and these; docs: (doc_id, how many of its ids are here, whether it ends here)."""
     coded, symbols = ids, np.zeros(0, np.uint32)
     if int(ids.max()) >> ID_BITS:
         symbols, coded = np.unique(ids, return_inverse=True)
-    largest = int(coded.max())
-    used, words = encode_blocks(coded, largest)
-    data = ids.astype("<u4").tobytes()
+    data = ids.astype("<u4", copy=False).tobytes()
     crcs = np.array([zlib.crc32(data[k : k + 4 * BLOCK]) for k in range(0, len(data), 4 * BLOCK)], "<u4")
-    sections = [zlib.compress(np.diff(symbols, prepend=np.uint32(0)).astype("<u4").tobytes()), zlib.compress(np.array(docs, "<i8").tobytes()), used.astype("<u4").tobytes(), crcs.tobytes(), np.concatenate(words).astype("<u4").tobytes()]
-    return HEADER.pack(len(ids), len(docs), len(used), largest, *map(len, sections)) + b"".join(sections)
+    symbols = zlib.compress(np.diff(symbols, prepend=np.uint32(0)).astype("<u4").tobytes())
+    return {"total": len(ids), "n_docs": len(docs), "largest": int(coded.max()), "symbols": symbols, "docs": zlib.compress(np.array(docs, "<i8").tobytes()), "crcs": crcs.tobytes()}, coded
 
 
-def read_segment(f) -> tuple[np.ndarray, np.ndarray] | None:
-    """(ids, docs) of the next segment, None at the end; damage anywhere in it raises ValueError."""
+def joined(held: dict, used: bytes, words: bytes) -> bytes:
+    """A segment of its parts."""
+    sections = [held["symbols"], held["docs"], used, held["crcs"], words]
+    return HEADER.pack(held["total"], held["n_docs"], len(used) // 4, held["largest"], *map(len, sections)) + b"".join(sections)
+
+
+def pack_segment(ids: np.ndarray, docs: list[tuple[int, int, int]]) -> bytes:
+    held, coded = described(ids, docs)
+    used, words = encode_blocks(coded, held["largest"])
+    return joined(held, used.astype("<u4").tobytes(), np.concatenate(words).astype("<u4").tobytes())
+
+
+def raw_segment(f) -> dict | None:
+    """The parts of the next segment as they are in the file, None at the end."""
     head = f.read(HEADER.size)
     if not head:
         return None
     try:
-        return _read(f, head)
-    except (zlib.error, struct.error, IndexError) as e:
+        total, n_docs, _, largest, *sizes = HEADER.unpack(head)
+    except struct.error as e:
         raise ValueError("damaged segment") from e
+    parts = dict(zip(("symbols", "docs", "used", "crcs", "words"), [f.read(k) for k in sizes], strict=True))
+    return {"total": total, "n_docs": n_docs, "largest": largest, **parts}
 
 
-def _read(f, head: bytes) -> tuple[np.ndarray, np.ndarray]:
-    total, n_docs, n_blocks, largest, *sizes = HEADER.unpack(head)
-    part = [f.read(k) for k in sizes]
-    symbols = np.cumsum(np.frombuffer(zlib.decompress(part[0]), "<u4"), dtype=np.uint32)
-    docs = np.frombuffer(zlib.decompress(part[1]), "<i8").reshape(n_docs, 3)
-    used, crcs = np.frombuffer(part[2], "<u4").astype(np.int64), np.frombuffer(part[3], "<u4")
-    ids = decode_blocks(total, largest, used, np.frombuffer(part[4], "<u4")).astype("<u4")
-    if len(symbols):
-        ids = symbols[ids].astype("<u4")
+def read_segment(f) -> tuple[np.ndarray, np.ndarray] | None:
+    """(ids, docs) of the next segment, None at the end; damage anywhere in it raises ValueError."""
+    held = raw_segment(f)
+    if held is None:
+        return None
+    try:
+        used = np.frombuffer(held["used"], "<u4").astype(np.int64)
+        return checked(held, decode_blocks(held["total"], held["largest"], used, np.frombuffer(held["words"], "<u4")))
+    except (zlib.error, IndexError) as e:
+        raise ValueError("damaged segment") from e
+
+
+def checked(held: dict, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, docs) of a segment whose blocks are decoded."""
+    symbols = np.cumsum(np.frombuffer(zlib.decompress(held["symbols"]), "<u4"), dtype=np.uint32)
+    docs = np.frombuffer(zlib.decompress(held["docs"]), "<i8").reshape(held["n_docs"], 3)
+    crcs = np.frombuffer(held["crcs"], "<u4")
+    ids = (symbols[ids] if len(symbols) else ids).astype("<u4", copy=False)
     data = ids.tobytes()
-    for i in range(n_blocks):
+    for i in range(len(held["used"]) // 4):
         if zlib.crc32(data[4 * BLOCK * i : 4 * BLOCK * (i + 1)]) != crcs[i]:
             raise ValueError(f"damaged block {i}")
     return ids, docs
 
 
-class FileWriter:
-    """Gathers documents to segments; memory is one segment."""
+class Segments:
+    """Gathers documents to segments, `put(ids, docs)` gets each; memory is one segment."""
 
-    def __init__(self, out, most: int = BLOCK * LANES):
-        self.out, self.most, self.parts, self.docs, self.held, self.total = out, most, [], [], 0, 0
-        out.write(MAGIC + struct.pack("<I", VERSION))
+    def __init__(self, put, most: int = BLOCK * LANES):
+        self.put, self.most, self.parts, self.docs, self.held, self.total = put, most, [], [], 0, 0
 
     def add(self, doc: int, ids: np.ndarray) -> None:
         at = 0
@@ -357,26 +382,54 @@ class FileWriter:
 
     def flush(self) -> None:
         if self.held:
-            self.out.write(pack_segment(np.concatenate(self.parts), self.docs))
+            self.put(np.concatenate(self.parts), self.docs)
         self.parts, self.docs, self.held = [], [], 0
 
 
+class FileWriter(Segments):
+    """A file of the documents added, coded over arrays."""
+
+    def __init__(self, out, most: int = BLOCK * LANES):
+        super().__init__(lambda ids, docs: out.write(pack_segment(ids, docs)), most)
+        out.write(PREFIX)
+
+
+class Documents:
+    """(doc_id, ids, crc32 of its ids) of every document that ends in a segment; one may begin in an earlier one."""
+
+    def __init__(self):
+        self.n = self.crc = 0
+
+    def of(self, ids: np.ndarray, docs: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        data, at = memoryview(ids.tobytes()), 0
+        for doc, here, ends in docs.tolist():
+            self.crc = zlib.crc32(data[4 * at : 4 * (at + here)], self.crc)
+            at, self.n = at + here, self.n + here
+            if ends:
+                yield doc, self.n, self.crc
+                self.n = self.crc = 0
+
+
+def opened(f) -> None:
+    if f.read(len(PREFIX)) != PREFIX:
+        raise ValueError("not a token file")
+
+
 def read_file(f) -> Iterator[tuple[int, int, int]]:
     """(doc_id, ids, crc32 of its ids) of every document of a file, a segment at a time."""
-    if f.read(8) != MAGIC + struct.pack("<I", VERSION):
-        raise ValueError("not a token file")
-    n = crc = 0
+    opened(f)
+    found = Documents()
     while segment := read_segment(f):
-        data, at = segment[0].tobytes(), 0
-        for doc, here, ends in segment[1].tolist():
-            crc = zlib.crc32(data[4 * at : 4 * (at + here)], crc)
-            at, n = at + here, n + here
-            if ends:
-                yield doc, n, crc
-                n = crc = 0
+        yield from found.of(*segment)
 
 
 NULL_ID = -(2**63)
+SEGMENT = "total long, n_docs long, largest long, symbols binary, docs binary, crcs binary"
+CODED = "total long, n_docs long, largest long, symbols binary, docs binary, used binary, crcs binary, words binary"  # as `raw_segment` gives them
+CONSTANTS = {
+    **{k: globals()[k] for k in ("BLOCK", "SLOTS0", "SLOTS1", "SLOTS2", "CONFIDENT", "BITS", "COUNTS", "LAW", "GRAINS", "SHIFT0", "SHIFT1", "SHIFT2")},
+    "HASH1": f"0x{int(HASH1):X}", "HASH2": f"0x{int(HASH2):X}", "EPOCHS": ", ".join(map(str, EPOCHS)),
+}
 
 
 def write_files(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -391,48 +444,132 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str | None = None, end
     d = d.select("*", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
     d = d.repartitionByRange(*order).sortWithinPartitions(*order)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
+    def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
         encode, end = tokens.encoder(path), np.array([end_id], "<u4").tobytes()
-        files, base = storage(folder)
-        name, out, writer = f"{uuid.uuid4().hex}.ids", None, None
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             for k, texts in tokens.in_slices(batch.column("text")):
-                if writer is None:
-                    files.create_dir(base, recursive=True)
-                    out = files.open_output_stream(f"{base}/.{name}", compression=None)
-                    writer = FileWriter(out)
                 for doc, found in zip(ids[k : k + len(texts)], encode(texts), strict=True):
-                    writer.add(doc, np.frombuffer(found + end, "<u4"))
-        if writer:
-            writer.flush()
+                    yield doc, np.frombuffer(found + end, "<u4")
+
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = []
+        gathered = Segments(lambda ids, docs: ready.append(described(ids, docs)), BLOCK * ROW_LANES)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for held, coded in ready:
+                yield pa.RecordBatch.from_pydict({**{k: [x] for k, x in held.items()}, "ids": [coded.astype("<u4", copy=False).tobytes()]})
+            ready.clear()
+
+        for doc, ids in ids_of(batches):
+            gathered.add(doc, ids)
+            if ready:
+                yield from out()
+        gathered.flush()
+        yield from out()
+
+    def write(pieces: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        """pieces: (ids, bytes) of the file, after its prefix."""
+        from pyspark import TaskContext
+
+        files, base = storage(folder)
+        name, out, total = f"{uuid.uuid4().hex}.ids", None, 0
+        for n, data in pieces:
+            if out is None:
+                files.create_dir(base, recursive=True)
+                out = files.open_output_stream(f"{base}/.{name}", compression=None)
+                out.write(PREFIX)
+            out.write(data)
+            total += n
+        if out:
             out.close()
             files.move(f"{base}/.{name}", f"{base}/{name}")
-            yield pa.RecordBatch.from_pydict({"shard": [TaskContext.get().partitionId()], "file": [name], "n_ids": [writer.total]})
-
-    return d.mapInArrow(run, "shard long, file string, n_ids long")
+            yield pa.RecordBatch.from_pydict({"shard": [TaskContext.get().partitionId()], "file": [name], "n_ids": [total]})
+
+    def write_coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pieces() -> Iterator[tuple[int, bytes]]:
+            for batch in batches:
+                for k in range(len(batch)):
+                    (held,) = batch.slice(k, 1).to_pylist()
+                    cut = len(held["crcs"])  # as many blocks
+                    yield held["total"], joined(held, held["coded"][:cut], held["coded"][cut:])
+
+        return write(pieces())
+
+    def write_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pieces() -> Iterator[tuple[int, bytes]]:
+            ready = []
+            gathered = Segments(lambda ids, docs: ready.append((len(ids), pack_segment(ids, docs))))
+            for doc, ids in ids_of(batches):
+                gathered.add(doc, ids)
+                yield from ready
+                ready.clear()
+            gathered.flush()
+            yield from ready
+
+        return write(pieces())
+
+    kind = "shard long, file string, n_ids long"
+    coder = native.coder(docs.sparkSession, CONSTANTS)
+    if coder is None:
+        return d.mapInArrow(write_all, kind)
+    held = d.mapInArrow(segments, SEGMENT + ", ids binary")
+    with native.own_workers(docs.sparkSession, "files"):  # these never hold a tokenizer's cache
+        return held.withColumn("coded", coder.encode(F.col("ids"), F.col("largest"))).drop("ids").mapInArrow(write_coded, kind)
 
 
 def read_files(manifest: DataFrame, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the files; manifest: file, first (ids in all files before it)."""
+    names = ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+    def listed(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        for some in batched(rows, 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*some, strict=True)], names)
+
+    def placed(found: Iterator[tuple[int, int, int]], start: int) -> Iterator[tuple]:
+        for doc, n, crc in found:
+            yield None if doc == NULL_ID else doc, start, n, crc
+            start += n
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    def opened_files(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         files, base = storage(folder)
         for batch in batches:
             for r in batch.to_pylist():
-                start = r["first"]
                 with files.open_input_file(f"{base}/{r['file']}") as f:
-                    for doc, n, crc in read_file(f):
-                        yield None if doc == NULL_ID else doc, start, n, crc
-                        start += n
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in batched(rows(batches), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*some, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return manifest.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+                    yield r["first"], f
+
+    def read_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return listed(row for first, f in opened_files(batches) for row in placed(read_file(f), first))
+
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for first, f in opened_files(batches):
+            opened(f)
+            while held := raw_segment(f):
+                yield pa.RecordBatch.from_pydict({"first": pa.array([first], pa.int64()), **{k: [x] for k, x in held.items()}})
+                first = None
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            found, start = Documents(), 0
+            for batch in batches:
+                for k in range(len(batch)):
+                    (held,) = batch.slice(k, 1).to_pylist()
+                    if held["first"] is not None:
+                        found, start = Documents(), held["first"]
+                    for row in placed(found.of(*checked(held, np.frombuffer(held["ids"], "<u4"))), start):
+                        yield row
+                        start = row[1] + row[2]
+
+        return listed(rows())
+
+    kind = "doc_id long, start long, n_tokens long, ids_crc32 long"
+    coder = native.coder(manifest.sparkSession, CONSTANTS)
+    if coder is None:
+        return manifest.mapInArrow(read_all, kind)
+    with native.own_workers(manifest.sparkSession, "files"):
+        held = manifest.mapInArrow(segments, "first long, " + CODED)
+        ids = coder.decode(F.col("total"), F.col("largest"), F.col("used"), F.col("words"))
+        return held.withColumn("ids", ids).drop("words").mapInArrow(digests, kind)
 
 
 def round_trip(docs: DataFrame, scratch: Scratch, vocabulary: str | None = None, end_id: int = 0) -> DataFrame:

@@ -918,6 +918,60 @@ def test_documents_span_segments():
     assert list(token_files.read_file(out)) == [(i, len(x), zlib.crc32(x.tobytes())) for i, x in docs]
 
 
+def test_jvm_codes_as_arrays_do(spark):
+    r = np.random.default_rng(21)
+    n = token_files.BLOCK
+    coder = token_files.native.coder(spark, token_files.CONSTANTS)
+    few = np.tile(r.integers(0, 300, 97), 300)
+    for ids in ([0], [7, 0, 0, 50_256], r.zipf(1.2, n + 1) % 50_257, few[: 2 * n], r.integers(0, 2**25, 2 * n + 100), r.integers(0, 2, 900)):
+        ids = np.array(ids, "<u4")
+        held, coded = token_files.described(ids, [(0, len(ids), 1)])
+        used, words = token_files.encode_blocks(coded, held["largest"])
+        want = used.astype("<u4").tobytes() + np.concatenate(words).astype("<u4").tobytes()
+        df = spark.createDataFrame([(ids.tobytes(), held["largest"], len(ids))], "ids binary, largest long, n long")
+        got = df.select(coder.encode(F.col("ids"), F.col("largest")).alias("coded")).first()["coded"]
+        assert got == want
+        cut = 4 * len(used)
+        df = spark.createDataFrame([(len(ids), held["largest"], want[:cut], want[cut:])], "n long, largest long, used binary, words binary")
+        assert df.select(coder.decode(*map(F.col, df.columns)).alias("ids")).first()["ids"] == ids.tobytes()
+
+
+def test_id_0_beside_large_ids():
+    ids = np.array([2**24, 5, 0, 2**23, 1, 0, 2**25 - 1], "<u4")
+    got, _ = token_files.read_segment(io.BytesIO(token_files.pack_segment(ids, [(0, 7, 1)])))
+    assert got.tolist() == ids.tolist()
+
+
+def test_files_are_those_of_the_python_reader(spark, tmp_path):
+    r = random.Random(22)
+    df = spark.createDataFrame([(i, prose(r, r.randrange(300))) for i in range(60)], "doc_id long, text string")
+    (file,) = token_files.write_files(df.coalesce(1), str(tmp_path / "ids")).collect()
+    with open(tmp_path / "ids" / file.file, "rb") as f:
+        found = list(token_files.read_file(f))
+    want = ids_of([x["text"] for x in df.collect()], 0)
+    assert found == [(i, len(x) // 4, zlib.crc32(x)) for i, x in enumerate(want)] and file.n_ids == sum(len(x) // 4 for x in want)
+
+
+def test_files_without_the_jvm(spark, monkeypatch):
+    monkeypatch.setattr(token_files.native, "coder", lambda *_: None)
+    df = awkward(spark)
+    check_files(spark, df, token_files.round_trip(clashing(df), Scratch(spark)))
+
+
+@pytest.mark.parametrize("at", [30, 60, -40, -3])
+def test_damage_is_noticed_in_tables(spark, tmp_path, at):
+    df = spark.createDataFrame([(1, "some words of a text " * 50)], "doc_id long, text string")
+    folder = str(tmp_path / "ids")
+    (file,) = token_files.write_files(df, folder).collect()
+    path = tmp_path / "ids" / file.file
+    data = bytearray(path.read_bytes())
+    data[at] ^= 255
+    path.write_bytes(data)
+    manifest = spark.createDataFrame([(file.file, 0)], "file string, first long")
+    with pytest.raises(Exception):  # noqa: B017
+        token_files.read_files(manifest, folder).collect()
+
+
 def test_files_awkward(spark):
     df = awkward(spark)
     check_files(spark, df, token_files.round_trip(clashing(df), Scratch(spark)))
