@@ -43,6 +43,8 @@ MAGIC, VERSION = b"SQTK", 2
 PREFIX = MAGIC + struct.pack("<I", VERSION)
 #: Blocks of a segment that the JVM codes: a row of 2 MB.
 ROW_LANES = 64
+#: Pieces that a worker's tokenizer keeps; fewer than elsewhere, as the files have workers of their own beside it.
+MOST_PIECES = 1_000_000
 BLOCK, LANES, STRETCH = 8192, 1536, 16
 SLOTS0, SLOTS1, SLOTS2, CONFIDENT = 1024, 1024, 2048, 15
 #: Units as powers of two: of the mixture, of order-0 frequencies, of the code of unseen ids and of its look-up.
@@ -432,11 +434,11 @@ CONSTANTS = {
 }
 
 
-def write_files(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_files(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", most_pieces: int = MOST_PIECES) -> DataFrame:
     """Writes ids in ascending doc_id order, a file for each range of ids, and returns (shard, file, n_ids) lazily.
 
     Ranges are dealt by Spark, so none holds more than its share; null ids come first. A file counts once the task that
-    wrote it has reported its name, so a lost executor leaves nothing that is read.
+    wrote it has reported its name, so a lost executor leaves nothing that is read. `most_pieces` bounds a worker's cache.
     """
     path = vocabulary or tokens.default_path()
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).alias("text"))
@@ -445,7 +447,7 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str | None = None, end
     d = d.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
-        encode, end = tokens.encoder(path), np.array([end_id], "<u4").tobytes()
+        encode, end = tokens.encoder(path, most_pieces), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             for k, texts in tokens.in_slices(batch.column("text")):

@@ -170,7 +170,7 @@ def encoder(path: str, most: int = MOST) -> Encoder:
     return kept(("tokens", path, most), lambda: Encoder(path, most))
 
 
-def in_slices(column, size: int = 1 << 22):
+def in_slices(column, size: int = 1 << 20):
     """(start, texts) of an Arrow string column, so that few whole texts are held as Python objects at once: `size` bytes
     of them, or one text."""
     before = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
@@ -178,4 +178,5 @@ def in_slices(column, size: int = 1 << 22):
     while k < len(column):
         end = max(k + 1, int(np.searchsorted(before, (before[k - 1] if k else 0) + size, "right")))
         yield k, column.slice(k, end - k).to_pylist()
+        pa.default_memory_pool().release_unused()
         k = end
