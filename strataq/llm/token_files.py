@@ -43,8 +43,8 @@ MAGIC, VERSION = b"SQTK", 2
 PREFIX = MAGIC + struct.pack("<I", VERSION)
 #: Blocks of a segment that the JVM codes: a row of 2 MB.
 ROW_LANES = 64
-#: Pieces that a worker's tokenizer keeps; fewer than elsewhere, as the files have workers of their own beside it.
-MOST_PIECES = 1_000_000
+#: Files that begin within so many ids share a task that reads them: each task starts processes and writes a file of rows.
+READ_IDS = 1 << 20
 BLOCK, LANES, STRETCH = 8192, 1536, 16
 SLOTS0, SLOTS1, SLOTS2, CONFIDENT = 1024, 1024, 2048, 15
 #: Units as powers of two: of the mixture, of order-0 frequencies, of the code of unseen ids and of its look-up.
@@ -434,7 +434,7 @@ CONSTANTS = {
 }
 
 
-def write_files(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", most_pieces: int = MOST_PIECES) -> DataFrame:
+def write_files(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", most_pieces: int = tokens.MOST) -> DataFrame:
     """Writes ids in ascending doc_id order, a file for each range of ids, and returns (shard, file, n_ids) lazily.
 
     Ranges are dealt by Spark, so none holds more than its share; null ids come first. A file counts once the task that
@@ -581,12 +581,11 @@ def round_trip(docs: DataFrame, scratch: Scratch, vocabulary: str | None = None,
     write no file and give no rows. Other columns are ignored whatever their names.
     """
     folder = scratch.path("ids")
-    manifest = scratch.save(write_files(docs, folder, vocabulary, end_id), "manifest")
-    rows = sorted(manifest.collect())  # a row per file
+    rows = sorted(write_files(docs, folder, vocabulary, end_id).collect())  # a row per file
     first, out = 0, []
-    for shard, file, n in rows:
-        out.append((shard, file, first))
+    for _, file, n in rows:
+        out.append((first // READ_IDS, file, first))
         first += n
     spark = scratch.spark
-    listed = spark.createDataFrame(out, "shard long, file string, first long")
-    return read_files(listed.repartition(max(1, len(out)), "shard"), folder)
+    listed = spark.createDataFrame(out, "part long, file string, first long")
+    return read_files(listed.repartition(max(1, len({part for part, *_ in out})), "part"), folder)

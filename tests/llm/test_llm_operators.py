@@ -4,6 +4,7 @@ import collections
 import hashlib
 import io
 import math
+import os
 import random
 import re
 import zlib
@@ -148,6 +149,38 @@ def test_encoder_parts_pieces_at_line_feeds():
     assert e(["quinze\nSeize été"])[0]  # nor words of letters to its splitter
 
 
+def test_encoder_keeps_a_bounded_table(monkeypatch):
+    r = random.Random(5)
+    wide = ["Donaudampfschifffahrtsgesellschaft,", "x1y2z3w4v5u6t7", "漢字漢字漢字", "don't", "9.", "été!", "a\n b", "z" * 24, "z" * 25]
+    words = ["".join(r.choice("abcdefgäöü") for _ in range(r.randrange(1, 9))) + r.choice(["", "", ".", "?!"]) for _ in range(5000)]
+    texts = [r.choice([" ", "\n"]).join(r.choice(r.choice([words, words[:20], wide])) for _ in range(r.randrange(40))) for _ in range(2000)]
+    want = [x[:-4] for x in ids_of(texts, 0)]
+    e = tokens.Encoder(tokens.default_path(), 64)
+    held = e.rows.nbytes
+    learnt, learn = [], e._learn
+    monkeypatch.setattr(e, "_learn", lambda new: learnt.append(len(new)) or learn(new))
+    assert e(texts) == want and e.rows.nbytes == held == 64 * 64
+    monkeypatch.setattr(tokens, "STEP", 7)
+    assert e(texts) == want
+    e = tokens.Encoder(tokens.default_path(), 1 << 16)
+    assert e(["alpha beta, gamma\ndelta"] * 2)[0] == ids_of(["alpha beta, gamma\ndelta"], 0)[0][:-4]
+    monkeypatch.setattr(e, "_learn", None)
+    assert e(["alpha gamma beta,\ndelta"])  # pieces seen before are not learnt again
+
+
+def test_a_piece_that_was_found_again_keeps_its_row():
+    e = tokens.Encoder(tokens.default_path(), 2)
+    e(["often"])
+    for _ in range(2):
+        e(["often"])
+    row, key = np.flatnonzero(e.rows[:, 3])[0], e.rows[:, 0].max()
+    others = [f"w{chr(97 + k)}" for k in range(26)]
+    for w in others:  # two rows: some ask for that of `often`
+        before = e.rows[row].copy()
+        assert e([w, "often"]) == [x[:-4] for x in ids_of([w, "often"], 0)]
+        assert e.rows[row, 0] == key and before[0] == key
+
+
 def test_slices_hold_few_bytes():
     column = pa.array(["ab", None, "c" * 9, "", "dé", "f"])
     assert [(k, t) for k, t in tokens.in_slices(column, 4)] == [(0, ["ab", None]), (2, ["c" * 9]), (3, ["", "dé", "f"])]
@@ -978,6 +1011,24 @@ def test_files_awkward(spark):
     assert token_files.round_trip(df.limit(0), Scratch(spark)).count() == 0
 
 
+def test_small_files_share_a_task_and_only_files_are_written(spark, monkeypatch):
+    """A check on 211 ranges stopped while executors started a process for each of the many files of rows."""
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("a row of words"), F.col("id")).alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        scratch = Scratch(spark)
+        found = token_files.round_trip(df, scratch)
+        check_files(spark, df, found)
+        assert len(os.listdir(scratch.root.removeprefix("file://"))) == 1
+        assert found.select(F.spark_partition_id()).distinct().count() == 1
+        monkeypatch.setattr(token_files, "READ_IDS", 5000)
+        found = token_files.round_trip(df, Scratch(spark))
+        check_files(spark, df, found)
+        assert found.select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_rows_that_share_an_id_fill_several_files(spark):
     df = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same row again and again").alias("text")).repartition(4)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which joins ranges as small as these
