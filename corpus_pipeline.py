@@ -73,7 +73,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed pieces of all rows. A null or empty text is its end id alone; a very long one is cut into pieces; rows that
     share an id are packed each. An empty table gives no rows, and other columns are ignored whatever their names."""
-    return packing.pack(docs, most_pieces=250_000)  # beside what earlier stages leave in the workers
+    return packing.pack(docs, most_pieces=1 << 18)  # beside what earlier stages leave in the workers
 
 
 STAGES = [
